@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, quality, secret_scan
+from . import fingerprint, langid, lm_score, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
 from .common import documents
 
 #: Files of public tokenizers; they are read where they lie.
@@ -19,24 +19,64 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(documents(spark, sf_dir))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir), size="n_chars", temperature=mixing.TEMPERATURE).drop("_r")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.match(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), VOCABULARY)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), VOCABULARY)
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+def fingerprint_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.source_overlap(documents(spark, sf_dir))
+
+
+ALL = (
+    op1_ngram_jaccard_join,
+    op2_pii_bootstrap,
+    op3_quality_rules,
+    op4_language_id,
+    op5_source_mixing,
+    op6_url_filter,
+    op7_pattern_packing,
+    op8_lm_score,
+    op9_secret_scan,
+    op10_document_fingerprints,
+    fingerprint_source_overlap,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op5_source_mixing, op7_pattern_packing, op9_secret_scan)}
+    return {f.__name__: f for f in ALL}
 
 
 NGRAM_JOIN_SQL = """
@@ -55,4 +95,4 @@ SELECT rep AS doc_a, m AS doc_b, 1.0::DOUBLE AS jaccard FROM (SELECT rep, unnest
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op3_quality_rules": quality.sql()}
+    return {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op3_quality_rules": quality.sql(), "op6_url_filter": url_filter.sql()}
