@@ -14,7 +14,7 @@ matches; the innermost decides.
 
 ``match(pages, rules)`` returns ``page_id, url, key, rule_id, action, n_rules`` of each page
 (``rule_id`` of the innermost rule, number of open rules). Without a match the action is
-``DEFAULT`` and rule_id null.
+``DEFAULT`` and rule_id 0; rules need ids above 0.
 
 Edge cases: a null URL and one without a host have a null key and the action ``invalid``; of rules
 with equal prefixes the one with the largest id is innermost and all count; rules with a null or
@@ -86,7 +86,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]):
             if rule is not None:
                 stack.append((k, rule, action))
             else:
-                top = stack[-1] if stack else (None, None, DEFAULT)
+                top = stack[-1] if stack else (None, 0, DEFAULT)
                 for o, v in zip(out, (page, url, k, top[1], top[2], len(stack))):
                     o.append(v)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -107,7 +107,7 @@ def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     spread = rules.select(F.explode(F.sequence(part("key"), part(F.concat("key", F.lit(TOP))))).alias("part"), "key", "rule_id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "action")
     rows = good.unionByName(spread).repartition(parts, "part").sortWithinPartitions("part", "key", F.col("rule_id").asc_nulls_last())
     found = rows.mapInArrow(_sweep, "page_id long, url string, key string, rule_id long, action string, n_rules long")
-    bad = keyed.filter("key is null").select("page_id", "url", "key", F.lit(None).cast("long").alias("rule_id"), F.lit(INVALID).alias("action"), F.lit(0).cast("long").alias("n_rules"))
+    bad = keyed.filter("key is null").select("page_id", "url", "key", F.lit(0).cast("long").alias("rule_id"), F.lit(INVALID).alias("action"), F.lit(0).cast("long").alias("n_rules"))
     return found.unionByName(bad)
 
 
@@ -129,4 +129,4 @@ p AS (SELECT page_id, url, {k("url")} AS key FROM pages),
 m AS (SELECT page_id, url, key, rule_id, action, row_number() OVER (PARTITION BY page_id, url ORDER BY length(prefix) DESC NULLS LAST, rule_id DESC) AS n,
       count(rule_id) OVER (PARTITION BY page_id, url) AS n_rules
       FROM p LEFT JOIN r ON starts_with(key, prefix))
-SELECT page_id, url, key, rule_id, CASE WHEN key IS NULL THEN 'invalid' ELSE coalesce(action, 'allow') END AS action, n_rules FROM m WHERE n = 1"""
+SELECT page_id, url, key, coalesce(rule_id, 0) AS rule_id, CASE WHEN key IS NULL THEN 'invalid' ELSE coalesce(action, 'allow') END AS action, n_rules FROM m WHERE n = 1"""
