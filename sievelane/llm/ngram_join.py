@@ -10,11 +10,11 @@ Jaccard similarity of at least ``threshold``. Candidate generation is exact, not
 3. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach
    the threshold share one of the first ``n - ceil(t n) + 1``. Only these are shuffled.
    The *length* and *positional filters* are conditions of the sort-merge join on the shingle.
-   A match whose preceding prefix shingle matches as well is skipped: the pair has been found
-   at the start of that run.
-4. *Suffix filter*: the cell histograms bound the overlap from above before any set is moved.
+   Matches of a pair are then counted: the set whose prefix ends first has no shingle of its
+   prefix in the other's suffix, so the overlap is at most that count plus its suffix.
+4. *Suffix filter*: the cell histograms bound the overlap from above before any text is moved.
 5. Each remaining pair is verified once. Pairs are grouped in blocks by the smallest partner, so
-   that a group of copies ships every set once rather than once per pair; large blocks are split
+   that a group of copies ships every text once rather than once per pair; large blocks are split
    into a grid of bounded size.
 
 The frequency table only orders shingles. Its size is fixed, it is all that is broadcast, and
@@ -33,6 +33,7 @@ texts; other columns are ignored whatever their names; an empty table gives an e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, flat, release, slices
-from .textkit import distinct_shingles, mix64, set_digest
+from .textkit import distinct_shingles, set_digest
 
 NGRAM, THRESHOLD = 3, 0.55
 #: Counters of the frequency table (4 bytes each), and how many of them one shuffled row holds.
@@ -51,7 +52,7 @@ SKETCH, CHUNK = 1 << 20, 1 << 14
 CELLS, BLOCK_PAIRS = 128, 200_000
 
 _PROFILE = "doc_id long, n int, d1 long, d2 long, cells binary, chunk int, counts binary"
-_PREFIX = "h long, doc_id long, n int, pos int, prev int"
+_PREFIX = "h long, doc_id long, n int, pos int"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -87,9 +88,9 @@ def _profile(n: int):
             )
         if sketch.any():
             sketch = np.minimum(sketch, 2**32 - 1).astype(np.uint32)
-            k = SKETCH // CHUNK
+            k = SKETCH // CHUNK  # counts compress to a few bits each
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in sketch.reshape(k, CHUNK)], pa.binary())],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in sketch.reshape(k, CHUNK)], pa.binary())],
                 names=["doc_id", "n", "d1", "d2", "cells", "chunk", "counts"],
             )
 
@@ -100,7 +101,7 @@ def _add_chunks(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(flat(batch, "chunk").to_pylist(), flat(batch, "counts")):
-            total[k] = total.get(k, 0) + np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64)
+            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32).astype(np.uint64)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for c in total.values()], pa.binary())], names=["chunk", "counts"])
 
@@ -114,6 +115,11 @@ def frequency_table(profile: DataFrame) -> np.ndarray:
     return out
 
 
+def _suffix(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles outside the prefix: ceil(threshold x size) - 1."""
+    return np.ceil(threshold * size - 1e-9).astype(np.int64) - 1
+
+
 def _prefixes(n: int, threshold: float, table):
     def run(batches):
         counts = table.value
@@ -125,13 +131,11 @@ def _prefixes(n: int, threshold: float, table):
             rank = counts[(values % np.uint64(SKETCH)).astype(np.int64)]
             order = np.lexsort((values, rank, owner))
             values, pos = values[order], np.arange(len(values)) - np.repeat(first[:-1], size)
-            prev = np.concatenate((np.zeros(1, np.uint64), values[:-1]))
-            prev = np.where(pos == 0, -1, (mix64(prev) >> np.uint64(33)).astype(np.int64))
-            keep = pos < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+            keep = pos < (size - _suffix(size, threshold))[owner]
             own = owner[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(size[own], pa.int32()), pa.array(pos[keep], pa.int32()), pa.array(prev[keep], pa.int32())],
-                names=["h", "doc_id", "n", "pos", "prev"],
+                [pa.array(values[keep].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(size[own], pa.int32()), pa.array(pos[keep], pa.int32())],
+                names=["h", "doc_id", "n", "pos"],
             )
 
     return run
@@ -148,31 +152,12 @@ def _suffix_filter(threshold: float):
     return passes
 
 
-def _to_sets(n: int):
-    """Rows (doc_id, text, keys) to one row for each key, with the set as bytes."""
-
-    def run(batches):
-        for batch in batches:
-            text, ids, keys = flat(batch, "text"), flat(batch, "doc_id"), flat(batch, "keys")
-            for lo, hi in slices(text):
-                values, first = distinct_shingles(text.slice(lo, hi - lo), n)
-                out: tuple[list, list, list] = ([], [], [])
-                for i, d, ks in zip(range(hi - lo), ids.slice(lo, hi - lo).to_pylist(), keys.slice(lo, hi - lo).to_pylist()):
-                    blob = values[first[i] : first[i + 1]].tobytes()
-                    for k in ks:
-                        out[0].append(k)
-                        out[1].append(d)
-                        out[2].append(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["key", "doc_id", "shingles"])
-
-    return run
-
-
-def _verify(threshold: float):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+def _verify(n: int, threshold: float):
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         by: dict[int, list[np.ndarray]] = {}
-        for d, s in zip(sets["doc_id"].to_pylist(), sets["shingles"]):
-            by.setdefault(d, []).append(np.frombuffer(s.as_buffer(), np.uint64))
+        for ids, values, first in _sets(iter(texts.combine_chunks().to_batches()), n):
+            for i, d in enumerate(ids.tolist()):
+                by.setdefault(d, []).append(values[first[i] : first[i + 1]])
         out: tuple[list, list, list] = ([], [], [])
         for a, b in zip(pairs["doc_a"].to_pylist(), pairs["doc_b"].to_pylist()):
             best = 0.0
@@ -210,19 +195,20 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     copies = classed.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("rep")).alias("first")).filter("not first").select("doc_id")
 
     rows = docs.join(copies, "doc_id", "left_anti").mapInArrow(_prefixes(n, threshold, table), _PREFIX)
-    a = rows.select("h", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "pos", "prev")])
-    b = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "prev")])
-    need = threshold / (1 + threshold)
-    found = (
+    a = rows.select("h", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "pos")])
+    b = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos")])
+    need = f"{threshold / (1 + threshold)} * (n_a + n_b) - 1e-9"
+    met = (
         a.join(b, "h")
-        .filter("doc_id_a < doc_id_b and (prev_a <> prev_b or pos_a = 0 or pos_b = 0)")
+        .filter("doc_id_a < doc_id_b")
         .filter(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9")
-        .filter(f"least(pos_a, pos_b) + 1 + least(n_a - pos_a, n_b - pos_b) - 1 >= {need} * (n_a + n_b) - 1e-9")
-        .select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"))
-        .repartition("doc_b")
-        .distinct()
+        .filter(f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}")
+        .groupBy(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), "n_a", "n_b")
+        .agg(F.count("*").alias("met"))
     )
+    found = met.filter(f"met + ceil({threshold} * greatest(n_a, n_b) - 1e-9) - 1 >= {need}").select("doc_a", "doc_b").distinct()
     found = cut(found)
+    del rows, a, b, met
     release(spark)
 
     side = members.groupBy("doc_id", "n", "cells").agg(F.lit(1).alias("one")).drop("one")
@@ -232,6 +218,6 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     pairs = pairs.withColumn("k", F.expr(f"cast(ceil(sqrt(count(*) over (partition by block) / {float(BLOCK_PAIRS)})) as int)"))
     pairs = cut(pairs.select("doc_a", "doc_b", F.expr("concat_ws(':', block, pmod(xxhash64(doc_a), k), pmod(xxhash64(doc_b), k))").alias("key")))
     wanted = pairs.select(F.col("doc_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("doc_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    sets = docs.join(wanted, "doc_id").mapInArrow(_to_sets(n), "key string, doc_id long, shingles binary")
-    verified = pairs.groupBy("key").cogroup(sets.groupBy("key")).applyInArrow(_verify(threshold), "doc_a long, doc_b long, jaccard double")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key"))
+    verified = pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold), "doc_a long, doc_b long, jaccard double")
     return stars.unionByName(verified).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))

@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,9 +96,8 @@ def redact(docs: DataFrame, vocabulary: str, known: frozenset[str] = frozenset()
     """The rows of ``docs`` with their secrets masked. Texts without a candidate run stay in the
     JVM: the function below is evaluated for the others only."""
 
-    def clean(texts):
-        import pandas as pd
-
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
         enc, out = encoder(vocabulary), []
         for t in texts:
             if t is not None:
@@ -109,7 +109,7 @@ def redact(docs: DataFrame, vocabulary: str, known: frozenset[str] = frozenset()
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    masked = F.pandas_udf("string")(_series(clean))(F.when(F.col("text").rlike(RUN_SQL), F.col("text")))
+    masked = clean(F.when(F.col("text").rlike(RUN_SQL), F.col("text")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), masked.alias("masked"))
     cols = []
     for c in docs.columns:
@@ -122,11 +122,3 @@ def redact(docs: DataFrame, vocabulary: str, known: frozenset[str] = frozenset()
             cols.append(F.col(f"row.`{c}`").alias(c))
     return row.select(*cols)
 
-
-def _series(f):
-    import pandas as pd
-
-    def g(texts: pd.Series) -> pd.Series:
-        return f(texts)
-
-    return g
