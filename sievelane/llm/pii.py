@@ -15,7 +15,8 @@ pattern's confidence for a kind is the summed score of its values divided by the
 ``DOUBT``; a value's score is 1 for seeds and otherwise 1 - prod(1 - confidence) over its patterns
 with at least ``TRUST``. Values that reach ``ACCEPT`` are identifiers of the best kind, though they
 fail every strict test (a card number with a mistyped digit, say); in the next round they lend
-support to their patterns.
+support to their patterns. Candidates of a shape that often fails its checksum are evidence against
+that shape, since a pattern's confidence divides by all its values.
 
 ``extract(docs)`` returns ``doc_id, start, length, kind, score, origin`` (``seed`` or
 ``induced``), ``value_md5``; positions count characters. Values aren't repeated in the result.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, flat
 
-ROUNDS, DOUBT, TRUST, ACCEPT = 3, 2.0, 0.5, 0.6
+ROUNDS, DOUBT, TRUST, ACCEPT = 3, 2.0, 0.6, 0.6
 CANDIDATE = re.compile(
     r"(?P<at>[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*)"
     r"|(?<![\w.@+\-/=])(?P<code>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}\d{6,9})(?!\w)"
@@ -83,21 +84,33 @@ def shape(value: str) -> str:
     return re.sub(r"[A-Za-z]+", "a", re.sub(r"\d+", "9", value))
 
 
+def pieces(value: str) -> Iterator[tuple[int, str]]:
+    """(offset, part): identifiers that only a space separates are split where one of them is a seed."""
+    if seed(value) is None:
+        for at in (i for i, c in enumerate(value) if c == " "):
+            left, right = value[:at].rstrip(), value[at + 1 :]
+            if seed(left) or seed(right):
+                yield from pieces(left)
+                yield from ((at + 1 + o, v) for o, v in pieces(right))
+                return
+    yield 0, value
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str | None, list[str]]]:
     """(start, value, seed kind, patterns) of one text."""
     for m in CANDIDATE.finditer(text):
-        value = m.group().rstrip(".-_ (")
-        if m.lastgroup == "num" and (sum(c.isdigit() for c in value) < MIN_DIGITS):
-            continue
-        kind, s, c = seed(value), shape(value), m.lastgroup
+        whole, c = m.group().rstrip(".-_ ("), m.lastgroup
         before = WORD.findall(text[max(0, m.start() - 40) : m.start()])
-        after = WORD.match(text[m.start() + len(value) : m.start() + len(value) + 40].lstrip(" ,;:"))
-        pats = ["shape " + s]
-        if before:
-            pats.append(f"before {before[-1].lower()} {c}")
-        if after:
-            pats.append(f"after {after.group().lower()} {c}")
-        yield m.start(), value, kind, pats
+        after = WORD.match(text[m.start() + len(whole) : m.start() + len(whole) + 40].lstrip(" ,;:"))
+        for at, value in pieces(whole) if c == "num" else ((0, whole),):
+            if c == "num" and sum(x.isdigit() for x in value) < MIN_DIGITS:
+                continue
+            pats = ["shape " + shape(value)]
+            if before:
+                pats.append(f"before {before[-1].lower()} {c}")
+            if after:
+                pats.append(f"after {after.group().lower()} {c}")
+            yield m.start() + at, value, seed(value), pats
 
 
 def _find(batches: Iterator[pa.RecordBatch]):
