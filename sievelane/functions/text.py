@@ -13,8 +13,10 @@ def normalize_text(t: Column) -> Column:
 
 def shingles(t: Column, n: int = 4) -> Column:
     """Distinct character n-grams; a shorter text is its own n-gram, an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(grams))
+    # characters are split off once: a substring would be counted from the text's start each time
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    grams = F.transform(F.array(chars), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), ""))))[0]
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams)
 
 
 def approx_tokens(t: Column) -> Column:

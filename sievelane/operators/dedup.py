@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
@@ -48,7 +49,7 @@ def signature(text: str) -> np.ndarray | None:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def band_keys(texts: pd.Series) -> pd.Series:
     rows = HASHES // BANDS
     out = []
@@ -140,8 +141,10 @@ def head_share(fam: DataFrame, top: int = 10) -> DataFrame:
 
 
 def word_grams(t, n: int):
-    w = F.filter(F.split(tx.normalize_text(t), " "), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(tx.normalize_text(t), " "), lambda x: x != "")
+    # bound once as a lambda's variable, or the text would be split again for each n-gram
+    grams = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(words), grams)[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 8, threshold: float = 0.5) -> DataFrame:
