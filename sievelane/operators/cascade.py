@@ -67,11 +67,13 @@ def grid_cells(aligned: DataFrame, tiers: list[str], grid: int, knots: dict[str,
     right or wrong of each tier): (grid + 1)^tiers x 2^tiers cells at most, whatever the rows."""
     points = [float(x) for x in np.linspace(0, 1, grid)]
     cols = []
+    # a lambda with a second parameter would be given the index, so the confidence is closed over
+    reached = lambda c: F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= c))
     for t in tiers:
         c = F.col(f"conf_{t}").cast("double")
         if knots is not None:
             c = _interpolate(c, *knots[t])
-        cols.append(F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p, c=c: p <= c)).alias(f"k_{t}"))
+        cols.append(reached(c).alias(f"k_{t}"))
     right = [(F.col("gold") == F.col(f"predicted_{t}")).cast("int").alias(f"ok_{t}") for t in tiers]
     return aligned.select(*cols, *right).groupBy(*[f"k_{t}" for t in tiers], *[f"ok_{t}" for t in tiers]).agg(F.count("*").alias("n"))
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions.records import unblind
 from ..functions.text import slug_label, strip_think_tags, strip_thinking
@@ -25,7 +26,7 @@ def stub_teacher(labels: list[str]) -> Generator:
 
 def generate(df: DataFrame, prompt: str, fn: Generator, out: str = "output") -> DataFrame:
     """Adds a column of the generator's answers, batch by batch."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
