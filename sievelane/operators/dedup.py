@@ -117,7 +117,8 @@ def replay(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_dedup(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Survivors of the exact and then the greedy near-duplicate pass; empty texts stay (once)."""
+    """Survivors of the exact and then the greedy near-duplicate pass; empty texts stay
+    (once), and so do nulls (once)."""
     edges = lsh_edges(df, pos, text, threshold)
     comp = label_components(edges, "a", "b")
     gone = edges.join(comp, F.col("a") == F.col("node")).groupBy("component").applyInPandas(lambda g: replay(g), "p long")
