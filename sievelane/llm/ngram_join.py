@@ -5,8 +5,10 @@ Jaccard similarity of at least ``threshold``. Candidate generation is exact, not
 
 1. One pass over the texts makes each document's shingle set, its size, a 128-bit digest, a cell
    histogram for the suffix filter, and a fixed-size table of shingle frequencies.
-2. Documents with equal sets (equal digests) become one class. The join runs on the smallest
-   ``doc_id`` of each class, so a thousand copies cost no more than one.
+2. Equal sets (equal digests) become one class. The join runs on one set of each class, that of
+   its smallest ``doc_id``, so a thousand copies cost no more than one. A set is named by that
+   ``doc_id`` and a number ``k``, since a ``doc_id`` that repeats with several texts may be the
+   smallest one of several classes.
 3. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach
    the threshold share one of the first ``n - ceil(t n) + 1``. Only these are shuffled.
    The *length* and *positional filters* are conditions of the sort-merge join on the shingle.
@@ -52,7 +54,9 @@ SKETCH, CHUNK = 1 << 20, 1 << 14
 CELLS, BLOCK_PAIRS = 128, 200_000
 
 _PROFILE = "doc_id long, n int, d1 long, d2 long, cells binary, chunk int, counts binary"
-_PREFIX = "h long, doc_id long, n int, pos int"
+_PREFIX = "h long, doc_id long, k int, n int, pos int"
+
+_PAIR = ["doc_a", "k_a", "doc_b", "k_b"]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -63,6 +67,25 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
             yield np.asarray(ids.slice(lo, hi - lo)), values, first
 
 
+def _named(batches: Iterator[pa.RecordBatch], n: int):
+    """Ids, numbers, values and offsets of the sets that are joined. ``firsts`` has the digests of a
+    repeated id's sets that are first of their class, in order; it is null where all are."""
+    for batch in batches:
+        ids, text, firsts = flat(batch, "doc_id"), flat(batch, "text"), flat(batch, "firsts")
+        for lo, hi in slices(text):
+            values, first = distinct_shingles(text.slice(lo, hi - lo), n)
+            size, k = np.diff(first), np.zeros(hi - lo, np.int32)
+            own = firsts.slice(lo, hi - lo)
+            if own.null_count < hi - lo:
+                d1 = set_digest(values, first)[0].view(np.int64).tolist()
+                for i, known in enumerate(own.to_pylist()):
+                    if known is not None:
+                        k[i] = known.index(d1[i]) if d1[i] in known else -1
+                values, size = values[np.repeat(k >= 0, size)], np.where(k >= 0, size, 0)
+                first = np.concatenate(([0], np.cumsum(size)))
+            yield np.asarray(ids.slice(lo, hi - lo)), k, values, first
+
+
 def _cells(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Counts, cut at 255, of each set's values in ``CELLS`` equal ranges of the hash space. Cutting
     only lowers differences, so the suffix filter stays a bound."""
@@ -123,7 +146,7 @@ def _suffix(size: np.ndarray, threshold: float) -> np.ndarray:
 def _prefixes(n: int, threshold: float, table):
     def run(batches):
         counts = table.value
-        for ids, values, first in _sets(batches, n):
+        for ids, number, values, first in _named(batches, n):
             size = np.diff(first)
             if not len(values):
                 continue
@@ -134,8 +157,8 @@ def _prefixes(n: int, threshold: float, table):
             keep = pos < (size - _suffix(size, threshold))[owner]
             own = owner[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(size[own], pa.int32()), pa.array(pos[keep], pa.int32())],
-                names=["h", "doc_id", "n", "pos"],
+                [pa.array(values[keep].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(number[own], pa.int32()), pa.array(size[own], pa.int32()), pa.array(pos[keep], pa.int32())],
+                names=["h", "doc_id", "k", "n", "pos"],
             )
 
     return run
@@ -154,33 +177,30 @@ def _suffix_filter(threshold: float):
 
 def _verify(n: int, threshold: float):
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        by: dict[int, list[np.ndarray]] = {}
-        for ids, values, first in _sets(iter(texts.combine_chunks().to_batches()), n):
-            for i, d in enumerate(ids.tolist()):
-                by.setdefault(d, []).append(values[first[i] : first[i + 1]])
-        out: tuple[list, list, list] = ([], [], [])
-        for a, b in zip(pairs["doc_a"].to_pylist(), pairs["doc_b"].to_pylist()):
-            best = 0.0
-            for x in by.get(a, ()):
-                for y in by.get(b, ()):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if not len(x):
-                        continue
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int((y[at] == x).sum())
-                    best = max(best, both / (len(x) + len(y) - both))
-            if best >= threshold:
-                for o, v in zip(out, (a, b, round(best, 6))):
-                    o.append(v)
-        return pa.table({"doc_a": pa.array(out[0], pa.int64()), "doc_b": pa.array(out[1], pa.int64()), "jaccard": pa.array(out[2], pa.float64())})
+        by: dict[tuple[int, int], np.ndarray] = {}
+        for ids, number, values, first in _named(iter(texts.combine_chunks().to_batches()), n):
+            for i, d in enumerate(zip(ids.tolist(), number.tolist())):
+                by[d] = values[first[i] : first[i + 1]]
+        keep, found = [], []
+        for i, (a, ka, b, kb) in enumerate(zip(*(pairs[c].to_pylist() for c in _PAIR))):
+            x, y = by[a, ka], by[b, kb]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum())
+            jaccard = both / (len(x) + len(y) - both)
+            if jaccard >= threshold:
+                keep.append(i)
+                found.append(round(jaccard, 6))
+        return pairs.select(_PAIR).take(pa.array(keep, pa.int64())).append_column("jaccard", pa.array(found, pa.float64()))
 
     return run
 
 
-def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents with n-gram Jaccard similarity >= ``threshold``; see the module text."""
+def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members of classes (``doc_id, d1, d2, rep, k``; ``k`` numbers the classes of which a
+    ``doc_id`` is the first) and the verified pairs of classes (``doc_a, k_a, doc_b, k_b, jaccard``)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -189,35 +209,44 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     table = spark.sparkContext.broadcast(frequency_table(profile))
 
     members = profile.filter("doc_id is not null").select("doc_id", "n", "d1", "d2", "cells")
-    classed = cut(members.select("doc_id", "d1", "d2").withColumn("rep", F.expr("min(doc_id) over (partition by d1, d2)")).select("doc_id", "rep"))
-    stars = classed.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    # one row for each document that isn't the first of its class; the texts of all others are joined
-    copies = classed.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("rep")).alias("first")).filter("not first").select("doc_id")
-
-    rows = docs.join(copies, "doc_id", "left_anti").mapInArrow(_prefixes(n, threshold, table), _PREFIX)
-    a = rows.select("h", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "pos")])
-    b = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos")])
+    classed = members.select("doc_id", "d1", "d2").distinct().withColumn("rep", F.expr("min(doc_id) over (partition by d1, d2)"))
+    classed = cut(classed.withColumn("k", F.expr("cast(row_number() over (partition by doc_id, doc_id = rep order by d1, d2) - 1 as int)")))
+    # texts of documents that are first of no class aren't joined; ids with several sets say which are
+    marks = classed.groupBy("doc_id").agg(F.count("*").alias("sets"), F.array_sort(F.collect_list(F.when(F.col("doc_id") == F.col("rep"), F.col("d1")))).alias("firsts")).filter("sets > 1 or size(firsts) = 0").drop("sets")
+
+    rows = docs.join(marks, "doc_id", "left").filter("firsts is null or size(firsts) > 0").select("doc_id", "text", "firsts").mapInArrow(_prefixes(n, threshold, table), _PREFIX)
+    a = rows.select("h", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "k", "n", "pos")])
+    b = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "k", "n", "pos")])
     need = f"{threshold / (1 + threshold)} * (n_a + n_b) - 1e-9"
     met = (
         a.join(b, "h")
-        .filter("doc_id_a < doc_id_b")
+        .filter("doc_id_a < doc_id_b or doc_id_a = doc_id_b and k_a < k_b")
         .filter(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9")
         .filter(f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}")
-        .groupBy(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), "n_a", "n_b")
+        .groupBy(F.col("doc_id_a").alias("doc_a"), "k_a", F.col("doc_id_b").alias("doc_b"), "k_b", "n_a", "n_b")
         .agg(F.count("*").alias("met"))
     )
-    found = met.filter(f"met + ceil({threshold} * greatest(n_a, n_b) - 1e-9) - 1 >= {need}").select("doc_a", "doc_b").distinct()
-    found = cut(found)
+    found = cut(met.filter(f"met + ceil({threshold} * greatest(n_a, n_b) - 1e-9) - 1 >= {need}").select(*_PAIR))
     del rows, a, b, met
     release(spark)
 
-    side = members.groupBy("doc_id", "n", "cells").agg(F.lit(1).alias("one")).drop("one")
-    pairs = found.join(side.withColumnsRenamed({"doc_id": "doc_a", "n": "n_a", "cells": "c_a"}), "doc_a").join(side.withColumnsRenamed({"doc_id": "doc_b", "n": "n_b", "cells": "c_b"}), "doc_b")
-    pairs = pairs.filter(_suffix_filter(threshold)("n_a", "n_b", "c_a", "c_b")).select("doc_a", "doc_b").distinct()
+    side = members.join(classed.filter("doc_id = rep").select("doc_id", "d1", "d2", "k"), ["doc_id", "d1", "d2"]).groupBy("doc_id", "k").agg(F.first("n").alias("n"), F.first("cells").alias("c"))
+    pairs = found
+    for x in "ab":
+        pairs = pairs.join(side.withColumnsRenamed({"doc_id": f"doc_{x}", "k": f"k_{x}", "n": f"n_{x}", "c": f"c_{x}"}), [f"doc_{x}", f"k_{x}"])
+    pairs = pairs.filter(_suffix_filter(threshold)("n_a", "n_b", "c_a", "c_b")).select(*_PAIR)
     pairs = pairs.withColumn("block", F.expr("min(doc_a) over (partition by doc_b)"))
-    pairs = pairs.withColumn("k", F.expr(f"cast(ceil(sqrt(count(*) over (partition by block) / {float(BLOCK_PAIRS)})) as int)"))
-    pairs = cut(pairs.select("doc_a", "doc_b", F.expr("concat_ws(':', block, pmod(xxhash64(doc_a), k), pmod(xxhash64(doc_b), k))").alias("key")))
+    pairs = pairs.withColumn("cut", F.expr(f"cast(ceil(sqrt(count(*) over (partition by block) / {float(BLOCK_PAIRS)})) as int)"))
+    pairs = cut(pairs.select(*_PAIR, F.expr("concat_ws(':', block, pmod(xxhash64(doc_a), cut), pmod(xxhash64(doc_b), cut))").alias("key")))
     wanted = pairs.select(F.col("doc_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("doc_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key"))
-    verified = pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold), "doc_a long, doc_b long, jaccard double")
-    return stars.unionByName(verified).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    wanted = wanted.join(marks, "doc_id", "left")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "firsts", F.explode("keys").alias("key"))
+    near = pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold), "doc_a long, k_a int, doc_b long, k_b int, jaccard double")
+    return classed, near
+
+
+def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of documents with n-gram Jaccard similarity >= ``threshold``; see the module text."""
+    classed, near = _joined(docs, n, threshold)
+    stars = classed.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return stars.unionByName(near.filter("doc_a < doc_b").select("doc_a", "doc_b", "jaccard")).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
