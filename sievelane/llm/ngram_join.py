@@ -25,7 +25,8 @@ collisions in it can cost time but never a pair.
 Result: ``doc_a < doc_b``, ``jaccard`` (rounded to 6 digits). A class of equal sets is given as a
 star: each member with the smallest one, jaccard 1.0; all other pairs are between the smallest
 members of two classes and hold for all members of both. This keeps the result linear in the
-number of copies and loses nothing.
+number of copies and loses nothing. ``all_pairs`` expands it: every pair of members of a class and
+of two similar classes is a row.
 
 Edge cases: null, empty and punctuation-only texts have no shingles and pair with nothing; texts
 shorter than ``n`` words are one shingle; rows with a null ``doc_id`` are ignored; rows that
@@ -52,6 +53,8 @@ NGRAM, THRESHOLD = 3, 0.55
 SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Cells of the suffix filter's histogram, and pairs that one verification block holds.
 CELLS, BLOCK_PAIRS = 128, 200_000
+#: Members of a class that one row of the expansion holds; two such rows give at most PART^2 pairs.
+PART = 256
 
 _PROFILE = "doc_id long, n int, d1 long, d2 long, cells binary, chunk int, counts binary"
 _PREFIX = "h long, doc_id long, k int, n int, pos int"
@@ -250,3 +253,20 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     classed, near = _joined(docs, n, threshold)
     stars = classed.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return stars.unionByName(near.filter("doc_a < doc_b").select("doc_a", "doc_b", "jaccard")).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def all_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of documents with n-gram Jaccard similarity >= ``threshold``, copies included:
+    classes and verified pairs of classes are joined back to their members. Members travel in parts
+    of bounded size, so that a large class is spread over tasks."""
+    classed, near = _joined(docs, n, threshold)
+    near = cut(near)
+    firsts = classed.filter("doc_id = rep").select("d1", "d2", F.col("k").alias("class"))
+    parts = classed.select("doc_id", "d1", "d2", "rep").join(firsts, ["d1", "d2"]).withColumn("part", F.expr(f"(row_number() over (partition by rep, class order by doc_id) - 1) div {PART}"))
+    parts = cut(parts.groupBy("rep", "class", "part").agg(F.collect_list("doc_id").alias("ids")))
+    side = lambda x: parts.select(F.col("rep").alias(f"doc_{x}"), F.col("class").alias(f"k_{x}"), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"))
+    inner = side("a").join(side("b").withColumnsRenamed({"doc_b": "doc_a", "k_b": "k_a"}), ["doc_a", "k_a"]).filter("part_a <= part_b").select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"))
+    outer = near.join(side("a"), ["doc_a", "k_a"]).join(side("b"), ["doc_b", "k_b"]).select("ids_a", "ids_b", "jaccard")
+    both = inner.unionByName(outer).repartition(F.xxhash64("ids_a", "ids_b"))
+    pairs = both.select(F.explode("ids_a").alias("a"), "ids_b", "jaccard").select("a", F.explode("ids_b").alias("b"), "jaccard").filter("a <> b")
+    return pairs.groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))

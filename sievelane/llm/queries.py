@@ -19,6 +19,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(documents(spark, sf_dir))
 
 
+def op1_ngram_jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.all_pairs(documents(spark, sf_dir))
+
+
 def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def fingerprint_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_ngram_jaccard_join,
+    op1_ngram_jaccard_all_pairs,
     op2_pii_bootstrap,
     op3_quality_rules,
     op4_language_id,
@@ -93,6 +98,18 @@ UNION ALL
 SELECT rep AS doc_a, m AS doc_b, 1.0::DOUBLE AS jaccard FROM (SELECT rep, unnest(members) AS m FROM c) WHERE m <> rep
 """
 
+#: Every pair, without the classes; sets of a document that repeats with several texts are apart.
+NGRAM_ALL_PAIRS_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN len(w) >= 3
+        THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        ELSE [array_to_string(w, ' ')] END AS s FROM w WHERE len(w) > 0),
+e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM s),
+k AS (SELECT any_value(a.doc_id) AS doc_a, any_value(b.doc_id) AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS joint
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.r, b.r)
+SELECT doc_a, doc_b, round(max(joint / (na + nb - joint)), 6) AS jaccard FROM k WHERE joint / (na + nb - joint) >= 0.55 GROUP BY doc_a, doc_b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op3_quality_rules": quality.sql(), "op6_url_filter": url_filter.sql()}
+    return {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op1_ngram_jaccard_all_pairs": NGRAM_ALL_PAIRS_SQL, "op3_quality_rules": quality.sql(), "op6_url_filter": url_filter.sql()}

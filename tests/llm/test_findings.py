@@ -24,3 +24,10 @@ def test_join_of_a_document_with_two_texts(spark):
     got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = similar(rows)
     assert {(1, 5), (5, 7), (5, 9), (1, 8)} == set(got) and all(want[p] == j for p, j in got.items())
+
+
+def test_join_gives_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 2)
+    rows = [(1, X), (5, X), (5, Y), (7, Y), (9, Y + " end"), (8, X + " end"), (4, X + " end"), (5, X + " other end"), *((i, X) for i in range(20, 26))]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.all_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similar(rows)
