@@ -10,6 +10,16 @@ smallest distinct values of their union. From sketches alone follow estimates of
 * containment |A and B| / |A|: share of A's values, up to the smaller of the two largest values
   of full sketches, that B has.
 
+``pairs(docs)`` finds documents that resemble or contain each other: every pair with an estimated
+resemblance, or containment either way, of at least ``LEAST``. The rows of a repeated ``doc_id`` are
+merged. Documents with equal sketches are one class, which is expanded at the end. Candidates share
+a sketch value; no value and no document is capped. One of the two must have the value in a
+*prefix*, rare values first: if A is contained in B, at least ``LEAST`` of those values of A that
+lie below B's end are shared, and these are A's j smallest for some j. So the values that come
+among the first ``j - ceil(LEAST j) + 1`` of A's j smallest, for any j, miss no pair. Resemblance
+needs ``LEAST`` of all values of A, which is the last j. The fixed-size table of frequencies only
+orders values.
+
 Hashes are shifted by 2^63 into signed integers, which keeps their order in Spark.
 
 Edge cases: null, empty and punctuation-only texts have an empty sketch and 0 shingles; both
@@ -27,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import cut, flat, release, slices
 from .textkit import distinct_shingles
 
-NGRAM, K = 3, 128
+NGRAM, K, LEAST = 3, 128, 0.5
+#: Counters of the table that orders sketch values.
+COUNTERS = 1 << 20
 #: Keys that a task merges in memory before it passes partial sketches on.
 MERGE_KEYS = 50_000
 
@@ -73,9 +85,11 @@ def _merge(k: int):
             names, code = keys.dictionary.to_pylist(), np.asarray(keys.indices.fill_null(-1))
             off = np.asarray(lists.offsets)
             owner, values = np.repeat(code, np.diff(off)), np.asarray(lists.values)[off[0] : off[-1]]
-            for c in np.unique(code):
+            order, codes = np.argsort(owner, kind="stable"), np.unique(code)
+            lo, hi = (np.searchsorted(owner[order], codes, side) for side in ("left", "right"))
+            for c, i, j in zip(codes.tolist(), lo.tolist(), hi.tolist()):
                 name = None if c < 0 else names[c]
-                held[name] = np.unique(np.concatenate((held.get(name, np.zeros(0, np.int64)), values[owner == c])))[:k]
+                held[name] = np.unique(np.concatenate((held.get(name, np.zeros(0, np.int64)), values[order[i:j]])))[:k]
             if len(held) > MERGE_KEYS:
                 yield out()
         if held:
@@ -115,6 +129,83 @@ def fingerprints(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
     return sketch(docs, n, k).select("doc_id", distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"), "sketch")
 
 
+def _leads(v: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Which values of an ascending sketch are in a prefix; see the module text."""
+    f, at = counts[v.view(np.uint64) % np.uint64(COUNTERS)], np.arange(len(v))
+    rarer = (f[None, :] < f[:, None]) | ((f[None, :] == f[:, None]) & (at[None, :] < at[:, None]))
+    size = at + 2 - np.ceil(least * (at + 1) - 1e-9).astype(np.int64)
+    return ((np.cumsum(rarer, 1, dtype=np.int32) < size) & (at[None, :] >= at[:, None])).any(1)
+
+
+def _values(table, least: float):
+    def run(batches: Iterator[pa.RecordBatch]):
+        counts = table.value
+        for batch in batches:
+            docs, lists = np.asarray(flat(batch, "doc_id")), flat(batch, "sketch")
+            off = np.asarray(lists.offsets)
+            values = np.asarray(lists.values)
+            for lo in range(0, len(docs), 2000):
+                hi = min(lo + 2000, len(docs))
+                v = values[off[lo] : off[hi]]
+                lead = np.concatenate([_leads(values[off[i] : off[i + 1]], counts, least) for i in range(lo, hi)])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.repeat(docs[lo:hi], np.diff(off[lo : hi + 1]))), pa.array(lead)], names=["h", "doc_id", "lead"])
+
+    return run
+
+
+def by_document(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
+    """``doc_id, sketch`` of each document with shingles; rows that share a ``doc_id`` are merged."""
+    rows = cut(sketch(docs.filter("doc_id is not null"), n, k).filter("size(sketch) > 0"))
+    again = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return rows
+    merged = merge(rows.join(again, "doc_id", "left_semi"), "doc_id", k).select(F.col("key").cast("long").alias("doc_id"), "sketch")
+    return cut(rows.join(again, "doc_id", "left_anti").unionByName(merged))
+
+
+def pairs(docs: DataFrame, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
+    """``doc_a < doc_b, resemblance, containment_a`` (share of a that b has) and ``containment_b``
+    (share of b that a has) of all pairs with one of the three at ``least`` or more."""
+    spark, each = docs.sparkSession, by_document(docs, n, k)
+    member = cut(each.select("doc_id", F.xxhash64("sketch").alias("c"), F.xxhash64(F.lit(1), "sketch").alias("d")).withColumn("rep", F.expr("min(doc_id) over (partition by c, d)")).select("doc_id", "rep"))
+    copies = member.filter("doc_id <> rep").select("doc_id")
+    first = cut(each.join(copies, "doc_id", "left_anti"))
+    release(spark)
+    counts = np.zeros(COUNTERS, np.int64)
+    got = first.select(F.explode("sketch").alias("h")).groupBy(F.expr(f"pmod(h, {COUNTERS})").alias("h")).count().toArrow()  # COUNTERS rows at most
+    counts[np.asarray(got["h"])] = np.asarray(got["count"])
+    table = spark.sparkContext.broadcast(counts.astype(np.int32))
+
+    values = first.mapInArrow(_values(table, least), "h long, doc_id long, lead boolean")
+    a = values.select("h", F.col("doc_id").alias("a"), F.col("lead").alias("lead_a"))
+    b = values.select("h", F.col("doc_id").alias("b"), F.col("lead").alias("lead_b"))
+    found = cut(a.join(b, "h").filter("a < b and (lead_a or lead_b)").select("a", "b").distinct())
+    del values, a, b
+    release(spark)
+    met = found
+    for x in "ab":
+        met = met.join(first.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s_{x}")), x)
+    sa, sb = F.col("s_a"), F.col("s_b")
+    met = met.select("a", "b", resemblance(sa, sb, k).alias("resemblance"), containment(sa, sb, k).alias("ab"), containment(sb, sa, k).alias("ba"))
+    met = cut(met.filter(F.greatest("resemblance", "ab", "ba") >= least - 1e-9))
+    release(spark)
+    same = member.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct().select("a", "b", *[F.lit(1.0).alias(c) for c in ("resemblance", "ab", "ba")])
+    for x in "ab":
+        met, same = (t.join(member.select(F.col("rep").alias(x), F.col("doc_id").alias(f"doc_{x}")), x) for t in (met, same))
+    out = met.unionByName(same.filter("doc_a < doc_b"))
+    low = F.col("doc_a") < F.col("doc_b")
+    turned = [F.when(low, x).otherwise(y).alias(name) for x, y, name in ((F.col("ab"), F.col("ba"), "containment_a"), (F.col("ba"), F.col("ab"), "containment_b"))]
+    return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "resemblance", *turned)
+
+
+def overlaps(docs: DataFrame, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
+    """The rows of ``fingerprints`` and, with a ``partner``, those of ``pairs``: ``doc_id`` is
+    ``doc_a`` and ``partner`` is ``doc_b``."""
+    one = fingerprints(docs, n, k).select("doc_id", "distinct_shingles", "sketch", F.lit(None).cast("long").alias("partner"), *[F.lit(None).cast("double").alias(c) for c in ("resemblance", "containment_a", "containment_b")])
+    two = pairs(docs, n, k, least).select(F.col("doc_a").alias("doc_id"), F.lit(None).cast("double").alias("distinct_shingles"), F.lit(None).cast("array<long>").alias("sketch"), F.col("doc_b").alias("partner"), "resemblance", "containment_a", "containment_b")
+    return one.unionByName(two)
+
+
 def source_overlap(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
     """Merged sketches of the sources, compared pair by pair (as many rows as pairs of sources)."""
     rows = docs.select(F.xxhash64("doc_id", "source").alias("doc_id"), "text", "source")

@@ -57,7 +57,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprints(documents(spark, sf_dir))
+    return fingerprint.overlaps(documents(spark, sf_dir))
 
 
 def fingerprint_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Whole jobs where an operator once did less; each against brute force."""
 
-from sievelane.llm import ngram_join
+import numpy as np
+from pyspark.sql import functions as F
+
+from sievelane.llm import fingerprint, ngram_join
 
 
 def similar(rows):
@@ -31,3 +34,41 @@ def test_join_gives_every_pair(spark, monkeypatch):
     rows = [(1, X), (5, X), (5, Y), (7, Y), (9, Y + " end"), (8, X + " end"), (4, X + " end"), (5, X + " other end"), *((i, X) for i in range(20, 26))]
     got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.all_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == similar(rows)
+
+
+def estimates(x, y, k):
+    """Resemblance and both containments from two ascending sketches."""
+    a, b = set(x), set(y)
+    if not a or not b:
+        return 0.0, 0.0, 0.0
+    low = sorted(a | b)[:k]
+    top = min(s[-1] if len(s) >= k else 2**63 - 1 for s in (x, y))
+    part = lambda s, t: len([v for v in s if v <= top and v in t]) / max(1, len([v for v in s if v <= top]))
+    return len([v for v in low if v in a and v in b]) / len(low), part(x, b), part(y, a)
+
+
+def test_fingerprint_pairs_match_brute_force(spark):
+    k, rng = 16, np.random.default_rng(4)
+    line = "this line of licence text is found in very many documents of the corpus and says little"
+    texts = []
+    for i in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(3, 90)))]
+        texts += [" ".join(words), " ".join(words), " ".join(words[: len(words) // 2]), " ".join(words) + " and more", " ".join([line] * (i % 3) + words)]
+    rows = [(i, t) for i, t in enumerate([*texts, line, line, "", "..."])] + [(0, "another part of the first document"), (None, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = {}
+    for r in fingerprint.sketch(df, k=k).collect():
+        if r.doc_id is not None:
+            parts.setdefault(r.doc_id, set()).update(r.sketch)
+    sketches = {d: sorted(v)[:k] for d, v in parts.items()}
+    merged = {int(r.key): r.sketch for r in fingerprint.merge(fingerprint.sketch(df, k=k).filter("doc_id is not null"), "doc_id", k).collect()}
+    assert merged == sketches
+    want = {(a, b): e for a in sketches for b in sketches if a < b and max(e := estimates(sketches[a], sketches[b], k)) >= fingerprint.LEAST}
+    got = [((r.doc_a, r.doc_b), (r.resemblance, r.containment_a, r.containment_b)) for r in fingerprint.pairs(df, k=k).collect()]
+    assert len(got) == len(dict(got)) and dict(got).keys() == want.keys() and all(np.allclose(want[p], e) for p, e in got)
+    both = fingerprint.overlaps(df, k=k)
+    assert both.filter("partner is null").count() == len(rows) and both.filter("partner is not null").count() == len(want)
+    a, b = sketches[0], sketches[3]
+    cols = [F.array(*map(F.lit, x)) for x in (a, b)]
+    one = spark.range(1).select(fingerprint.resemblance(*cols, k), fingerprint.containment(*cols, k), fingerprint.containment(*cols[::-1], k)).first()
+    assert np.allclose(tuple(one), estimates(a, b, k))
