@@ -11,9 +11,9 @@ The model is trained here, in numpy, on subword ids of a public tiktoken vocabul
    are classes of their own, the rest share classes of equal mass, within which the probability is
    the corpus frequency (add-half). Probabilities of all ids sum to one.
 3. *Training.* Data-parallel in ``ROUNDS`` rounds: each task takes the current weights, runs Adam
-   over its share of windows (of all windows of all documents, one in ``TRAIN_EVERY``, chosen by a
-   hash, so the training set grows with the corpus), and the weights are averaged in a tree,
-   weighted by tokens.
+   over its share of windows, and the weights are averaged in a tree, weighted by tokens. A hash
+   splits the windows of all documents over the rounds; with ``TRAIN_EVERY`` = 1 each window is
+   seen exactly once.
 4. *Scoring.* Windows of ``WINDOW`` inputs overlap by ``WINDOW - STRIDE``: each predicts its last
    ``STRIDE`` tokens and sees the ones before as context, so each token of each document is scored
    exactly once. Attention is batched over windows, masked for causality and padding.
@@ -42,7 +42,7 @@ from .secret_scan import encoder
 from .textkit import _powers, buffers, mix64
 
 DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES = 16, 32, 48, 36, 4096, 96
-ROUNDS, TRAIN_EVERY, BATCH, RATE, SEED = 2, 8, 64, 0.01, 7
+ROUNDS, TRAIN_EVERY, BATCH, RATE, SEED = 2, 1, 64, 0.01, 7
 #: Windows scored in one numpy batch, and distinct pieces that a worker remembers at a time.
 SCORE_BATCH, REMEMBER = 48, 1 << 20
 _SPACE = np.zeros(256, bool)

@@ -1,9 +1,12 @@
 """Whole jobs where an operator once did less; each against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelane.llm import fingerprint, ngram_join
+from sievelane.llm import fingerprint, lm_score, ngram_join
 
 
 def similar(rows):
@@ -72,3 +75,13 @@ def test_fingerprint_pairs_match_brute_force(spark):
     cols = [F.array(*map(F.lit, x)) for x in (a, b)]
     one = spark.range(1).select(fingerprint.resemblance(*cols, k), fingerprint.containment(*cols, k), fingerprint.containment(*cols[::-1], k)).first()
     assert np.allclose(tuple(one), estimates(a, b, k))
+
+
+def test_lm_trains_on_every_window_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 300, int(m)).astype(np.uint32) for m in rng.integers(0, 400, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
+    voc = lm_score.Vocabulary(np.bincount(np.concatenate(texts), minlength=300))
+    shared = SimpleNamespace(value=(lm_score.initial(voc), voc))
+    seen = [t for turn in range(lm_score.ROUNDS) for out in lm_score._train(shared, turn, lm_score.TRAIN_EVERY)(iter([batch])) for t in out.column("tokens").to_pylist()]
+    assert sum(seen) == sum(map(len, texts))
