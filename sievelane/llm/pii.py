@@ -1,7 +1,8 @@
 """Operator 2: personal identifiers by bootstrapped contextual extraction.
 
 *Candidates* are spans that look like identifiers at all: addresses with ``@``, digit groups with
-at most two separators between digits, and codes of capitals and digits. They are found in one pass
+at most two separators between digits (seven digits at least), four groups of digits with dots, of
+any length, and codes of capitals and digits; they may follow ``=`` and ``/``. They are found in one pass
 over whole texts and written to the shared folder.
 
 *Seeds* are candidates that pass a strict test: e-mail syntax, an IPv4 address with octets up to
@@ -41,8 +42,9 @@ from .common import cut, flat
 ROUNDS, DOUBT, TRUST, ACCEPT = 3, 2.0, 0.6, 0.6
 CANDIDATE = re.compile(
     r"(?P<at>[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*)"
-    r"|(?<![\w.@+\-/=])(?P<code>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}\d{6,9})(?!\w)"
-    r"|(?<![\w.@/=\-])(?P<num>\+?\(?\d(?:[ .()/\-]{0,2}\d){5,})(?!\w)"
+    r"|(?<![\w.@+\-])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
+    r"|(?<![\w.@+\-])(?P<code>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}\d{6,9})(?!\w)"
+    r"|(?<![\w.@\-])(?P<num>\+?\(?\d(?:[ .()/\-]{0,2}\d){5,})(?!\w)"
 )
 #: Java's filter before Python: a text without these has no candidate.
 HINT = "@|[0-9]"
@@ -99,11 +101,11 @@ def pieces(value: str) -> Iterator[tuple[int, str]]:
 def candidates(text: str) -> Iterator[tuple[int, str, str | None, list[str]]]:
     """(start, value, seed kind, patterns) of one text."""
     for m in CANDIDATE.finditer(text):
-        whole, c = m.group().rstrip(".-_ ("), m.lastgroup
+        whole, c = m.group().rstrip(".-_ ("), "num" if m.lastgroup == "ip" else m.lastgroup
         before = WORD.findall(text[max(0, m.start() - 40) : m.start()])
         after = WORD.match(text[m.start() + len(whole) : m.start() + len(whole) + 40].lstrip(" ,;:"))
         for at, value in pieces(whole) if c == "num" else ((0, whole),):
-            if c == "num" and sum(x.isdigit() for x in value) < MIN_DIGITS:
+            if c == "num" and sum(x.isdigit() for x in value) < MIN_DIGITS and not IPV4.fullmatch(value):
                 continue
             pats = ["shape " + shape(value)]
             if before:

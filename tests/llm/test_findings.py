@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelane.llm import fingerprint, lm_score, ngram_join
+from sievelane.llm import fingerprint, lm_score, ngram_join, pii
 
 
 def similar(rows):
@@ -85,3 +85,10 @@ def test_lm_trains_on_every_window_once():
     shared = SimpleNamespace(value=(lm_score.initial(voc), voc))
     seen = [t for turn in range(lm_score.ROUNDS) for out in lm_score._train(shared, turn, lm_score.TRAIN_EVERY)(iter([batch])) for t in out.column("tokens").to_pylist()]
     assert sum(seen) == sum(map(len, texts))
+
+
+def test_pii_short_addresses_and_keyed_values(spark):
+    texts = ["use 8.8.8.8 first", "from 10.0.0.1 to 10.1.2.34.", "ip=192.168.100.20;", "ssn=123-45-6789", "http://10.9.8.7/index", "room 5 1.2.3.4", "version 1.2.3.4.5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.kind, texts[r.doc_id][r.start : r.start + r.length]) for r in pii.extract(docs).collect()}
+    assert got == {(0, "ip", "8.8.8.8"), (1, "ip", "10.0.0.1"), (1, "ip", "10.1.2.34"), (2, "ip", "192.168.100.20"), (3, "ssn", "123-45-6789"), (4, "ip", "10.9.8.7"), (5, "ip", "1.2.3.4")}
