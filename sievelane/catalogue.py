@@ -369,6 +369,25 @@ def gate_summary(s, d):
     return grounding.gate_summary(_gated(s, d)).withColumn("zero_rate", r6("zero_rate")).withColumn("hallucinated_rate", r6("hallucinated_rate"))
 
 
+# The same over whole texts: every text is its own output, one in five with other values in it.
+_WHOLE = "CASE WHEN doc_id % 5 = 0 THEN translate(text, '1', '7') || ' ref 2031-' || doc_id ELSE text END"
+
+
+def _gated_whole(s, d):
+    out = F.when(F.col("doc_id") % 5 == 0, F.concat(F.translate("text", "1", "7"), F.lit(" ref 2031-"), F.col("doc_id"))).otherwise(F.col("text"))
+    return grounding.gate(docs(s, d).withColumn("out", out), "text", "out")
+
+
+@query(SQL["grounding_gate"].replace(_OUT, _WHOLE))
+def grounding_gate_whole(s, d):
+    return _gated_whole(s, d).select("doc_id", "n_ungrounded", r6("ratio").alias("ratio"), "over_budget", "clean")
+
+
+@query(SQL["gate_summary"].replace(_OUT, _WHOLE))
+def gate_summary_whole(s, d):
+    return grounding.gate_summary(_gated_whole(s, d)).withColumn("zero_rate", r6("zero_rate")).withColumn("hallucinated_rate", r6("hallucinated_rate"))
+
+
 # Generators, pairs and labels
 
 
