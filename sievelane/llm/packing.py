@@ -88,7 +88,7 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
             a[i - 1, j] += 1
     full = a[:, : len(pats) - bins + 1]
     weight = np.where(np.arange(1, bins + 1) <= bins // 8, 0.1, 1.0)[:, None]
-    while left.sum() > 4 * bins:
+    while left.any():
         x = nnls(full * weight, left * weight[:, 0], rounds=4 * bins)
         placed = 0
         for j in np.argsort(-x):
@@ -100,7 +100,7 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
                 out[pats[j]] = out.get(pats[j], 0) + r
                 left -= (r * need).astype(np.int64)
                 placed += r
-        if placed == 0 or left.sum() == 0 or placed * 100 < left.sum():
+        if placed == 0:
             break
     while left.any():  # best-fit decreasing on counts
         free, pat = bins, []

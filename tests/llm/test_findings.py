@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelane.llm import fingerprint, lm_score, ngram_join, pii
+from sievelane.llm import fingerprint, lm_score, ngram_join, packing, pii
 
 
 def similar(rows):
@@ -92,3 +92,9 @@ def test_pii_short_addresses_and_keyed_values(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.kind, texts[r.doc_id][r.start : r.start + r.length]) for r in pii.extract(docs).collect()}
     assert got == {(0, "ip", "8.8.8.8"), (1, "ip", "10.0.0.1"), (1, "ip", "10.1.2.34"), (2, "ip", "192.168.100.20"), (3, "ssn", "123-45-6789"), (4, "ip", "10.9.8.7"), (5, "ip", "1.2.3.4")}
+
+
+def test_packing_fits_small_tables_by_least_squares():
+    histogram = np.zeros(64, np.int64)
+    histogram[[27, 17]] = 2, 4
+    assert packing.plan(histogram) == [((18, 18, 28), 2)]
