@@ -56,6 +56,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def join_classes(members: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``members`` joined with ``classes``, which has ``key`` once and the number ``m`` of its members. Classes
+    with more than a thousandth of all members are at most a thousand rows and are broadcast, so a
+    class that holds a third of all rows isn't shuffled."""
+    total = classes.agg(F.sum("m")).first()[0] or 0
+    hot = classes.filter(F.col("m") * 1000 > total)
+    rest = members.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.filter(F.col("m") * 1000 <= total), key)
+    return members.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def split_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,4 +77,4 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["F", "checkpoint_dir", "cut", "documents", "flat", "release", "slices", "split_partitions", "union_all"]
+__all__ = ["F", "checkpoint_dir", "cut", "documents", "flat", "join_classes", "release", "slices", "split_partitions", "union_all"]

@@ -1,37 +1,36 @@
 """Operator 1: n-gram Jaccard self-join (rare-first prefix filtering, PPJoin+ style).
 
-``similar_pairs(docs)`` returns every pair of documents whose sets of word ``n``-grams have a
-Jaccard similarity of at least ``threshold``. Candidate generation is exact, not approximate:
-
-1. One pass over the texts makes each document's shingle set, its size, a 128-bit digest, a cell
-   histogram for the suffix filter, and a fixed-size table of shingle frequencies.
-2. Equal sets (equal digests) become one class. The join runs on one set of each class, that of
-   its smallest ``doc_id``, so a thousand copies cost no more than one. A set is named by that
-   ``doc_id`` and a number ``k``, since a ``doc_id`` that repeats with several texts may be the
-   smallest one of several classes.
-3. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach
-   the threshold share one of the first ``n - ceil(t n) + 1``. Only these are shuffled.
-   The *length* and *positional filters* are conditions of the sort-merge join on the shingle.
-   Matches of a pair are then counted: the set whose prefix ends first has no shingle of its
-   prefix in the other's suffix, so the overlap is at most that count plus its suffix.
-4. *Suffix filter*: the cell histograms bound the overlap from above before any text is moved.
-5. Each remaining pair is verified once. Pairs are grouped in blocks by the smallest partner, so
-   that a group of copies ships every text once rather than once per pair; large blocks are split
-   into a grid of bounded size.
-
-The frequency table only orders shingles. Its size is fixed, it is all that is broadcast, and
-collisions in it can cost time but never a pair.
-
-Result: ``doc_a < doc_b``, ``jaccard`` (rounded to 6 digits). A class of equal sets is given as a
-star: each member with the smallest one, jaccard 1.0; all other pairs are between the smallest
-members of two classes and hold for all members of both. This keeps the result linear in the
-number of copies and loses nothing. ``all_pairs`` expands it: every pair of members of a class and
-of two similar classes is a row.
+Documents are similar if their sets of word ``n``-grams have a Jaccard similarity of at least
+``threshold``. Candidate generation is exact, not approximate:
+
+1. One pass over the texts makes the size and a 128-bit digest of each document's shingle set, and a
+   table of shingle frequencies. Equal sets are one *class*. A class is named by 64 bits of its
+   digest; where two classes would share a name, by the other 64.
+2. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach the
+   threshold share one of the first ``size - ceil(t size) + 1``. Only these are shuffled, packed
+   (see ``pairing``). Tasks send each class once, whatever the number of its copies.
+3. *Length* and *positional filter*: sets a and b need an overlap of ``t / (1 + t) (|a| + |b|)``, so the
+   first shingle that they share leaves at least as many in both. Matches that don't are dropped.
+4. Each distinct pair is looked at once. Pairs are grouped in blocks by the smallest partner, so that
+   a group of copies ships every text once rather than once per pair; heavy blocks are cut.
+5. *Suffix filter*: histograms of ranges of the hash space bound the overlap that the parts after
+   the first match still can have, before the pair is verified on the whole sets.
+
+The frequency table only orders shingles and spreads frequent ones. Its size is fixed, it is all
+that is broadcast, and collisions in it can cost time but never a pair.
+
+``groups(docs)`` returns one row for each document: ``doc_id``, ``class_id`` (smallest ``doc_id`` of its
+connected group of similar documents, its own if there is none), ``links`` (number of other documents
+that are similar to it, copies included) and ``best`` (the highest similarity to one of them, 6 digits,
+null without). Links are counted where they are verified, so pairs of a group of copies are never
+written. ``similar_pairs(docs)`` returns pairs ``doc_a < doc_b, jaccard``: a class as a star of its
+smallest member, and all pairs of the smallest members of two classes. ``all_pairs`` expands it.
 
 Edge cases: null, empty and punctuation-only texts have no shingles and pair with nothing; texts
-shorter than ``n`` words are one shingle; rows with a null ``doc_id`` are ignored; rows that
-repeat a ``doc_id`` never pair with each other, and count with the highest similarity of their
-texts; other columns are ignored whatever their names; an empty table gives an empty result.
+shorter than ``n`` words are one shingle; rows with a null ``doc_id`` are ignored; repeated rows count
+once; a ``doc_id`` that repeats with several texts joins their groups, has the sum of their links,
+and never pairs with itself, except that ``links`` counts its own similar texts; other
+columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,233 +39,260 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, release, slices
+from . import pairing
+from .common import cut, flat, join_classes, release, slices, split_partitions
+from .components import components
 from .textkit import distinct_shingles, set_digest
 
 NGRAM, THRESHOLD = 3, 0.55
 #: Counters of the frequency table (4 bytes each), and how many of them one shuffled row holds.
 SKETCH, CHUNK = 1 << 20, 1 << 14
-#: Cells of the suffix filter's histogram, and pairs that one verification block holds.
-CELLS, BLOCK_PAIRS = 128, 200_000
+#: Cells of the suffix filter's histogram, and pairs that are compared at a time.
+CELLS, PAIRS_AT_ONCE = 128, 20_000
+#: Names that two classes of the corpus may claim; 64 bits give about one at 5 billion classes.
+CLASHES = 100_000
 #: Members of a class that one row of the expansion holds; two such rows give at most PART^2 pairs.
 PART = 256
 
-_PROFILE = "doc_id long, n int, d1 long, d2 long, cells binary, chunk int, counts binary"
-_PREFIX = "h long, doc_id long, k int, n int, pos int"
-
-_PAIR = ["doc_a", "k_a", "doc_b", "k_b"]
-
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    for batch in batches:
-        ids, text = flat(batch, "doc_id"), flat(batch, "text")
-        for lo, hi in slices(text):
-            values, first = distinct_shingles(text.slice(lo, hi - lo), n)
-            yield np.asarray(ids.slice(lo, hi - lo)), values, first
-
-
-def _named(batches: Iterator[pa.RecordBatch], n: int):
-    """Ids, numbers, values and offsets of the sets that are joined. ``firsts`` has the digests of a
-    repeated id's sets that are first of their class, in order; it is null where all are."""
-    for batch in batches:
-        ids, text, firsts = flat(batch, "doc_id"), flat(batch, "text"), flat(batch, "firsts")
-        for lo, hi in slices(text):
-            values, first = distinct_shingles(text.slice(lo, hi - lo), n)
-            size, k = np.diff(first), np.zeros(hi - lo, np.int32)
-            own = firsts.slice(lo, hi - lo)
-            if own.null_count < hi - lo:
-                d1 = set_digest(values, first)[0].view(np.int64).tolist()
-                for i, known in enumerate(own.to_pylist()):
-                    if known is not None:
-                        k[i] = known.index(d1[i]) if d1[i] in known else -1
-                values, size = values[np.repeat(k >= 0, size)], np.where(k >= 0, size, 0)
-                first = np.concatenate(([0], np.cumsum(size)))
-            yield np.asarray(ids.slice(lo, hi - lo)), k, values, first
-
-
-def _cells(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts, cut at 255, of each set's values in ``CELLS`` equal ranges of the hash space. Cutting
-    only lowers differences, so the suffix filter stays a bound."""
-    k = len(first) - 1
-    where = np.repeat(np.arange(k), np.diff(first)) * CELLS + (values >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(where, minlength=k * CELLS), 255).astype(np.uint8).reshape(k, CELLS)
+_PROFILE = "doc_id long, n int, d1 long, d2 long, chunk int, lane int, counts binary"
+_LINKS, _PAIRS = "name long, links long, best double, root long", "a long, b long, jaccard double"
 
 
 def _profile(n: int):
     def run(batches):
-        sketch = np.zeros(SKETCH, np.uint64)
-        for ids, values, first in _sets(batches, n):
-            size = np.diff(first)
-            live = np.flatnonzero(size)
-            if not len(live):
-                continue
-            sketch += np.bincount((values % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint64)
-            d1, d2 = set_digest(values, first)
-            cells = _cells(values, first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[live], pa.int64()), pa.array(size[live], pa.int32()), pa.array(d1[live].view(np.int64)), pa.array(d2[live].view(np.int64)), pa.array([c.tobytes() for c in cells[live]], pa.binary()), pa.nulls(len(live), pa.int32()), pa.nulls(len(live), pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "cells", "chunk", "counts"],
-            )
+        sketch, task = np.zeros(SKETCH, np.uint64), TaskContext.get()
+        for batch in batches:
+            ids, text = flat(batch, "doc_id"), flat(batch, "text")
+            for lo, hi in slices(text):
+                values, first = distinct_shingles(text.slice(lo, hi - lo), n)
+                size = np.diff(first)
+                live = np.flatnonzero(size)
+                if not len(live):
+                    continue
+                sketch += np.bincount((values >> np.uint64(64 - pairing.BITS)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint64)
+                d1, d2 = set_digest(values, first)
+                none = pa.nulls(len(live), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(ids.slice(lo, hi - lo))[live], pa.int64()), pa.array(size[live], pa.int32()), pa.array(d1[live].view(np.int64)), pa.array(d2[live].view(np.int64)), none, none, pa.nulls(len(live), pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"],
+                )
         if sketch.any():
             sketch = np.minimum(sketch, 2**32 - 1).astype(np.uint32)
             k = SKETCH // CHUNK  # counts compress to a few bits each
+            blank, lane = pa.nulls(k, pa.int64()), pa.array(np.full(k, (task.partitionId() if task else 0) % 256), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in sketch.reshape(k, CHUNK)], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "cells", "chunk", "counts"],
+                [blank, pa.nulls(k, pa.int32()), blank, blank, pa.array(range(k), pa.int32()), lane, pa.array([zlib.compress(c.tobytes(), 1) for c in sketch.reshape(k, CHUNK)], pa.binary())],
+                names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"],
             )
 
     return run
 
 
-def _add_chunks(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(flat(batch, "chunk").to_pylist(), flat(batch, "counts")):
-            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32).astype(np.uint64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for c in total.values()], pa.binary())], names=["chunk", "counts"])
+def _add_chunks(width: int):
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, lane, c in zip(flat(batch, "chunk").to_pylist(), flat(batch, "lane").to_pylist(), flat(batch, "counts")):
+                at = k, lane % width
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32).astype(np.uint64)
+        if total:
+            sums = [zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1) for c in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([x for _, x in total], pa.int32()), pa.array(sums, pa.binary())], names=["chunk", "lane", "counts"])
+
+    return run
 
 
 def frequency_table(profile: DataFrame) -> np.ndarray:
-    """Occurrences of shingles by hash modulo ``SKETCH``, over all documents."""
-    chunks = profile.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_chunks, "chunk int, counts binary")
+    """Occurrences of shingles by hash modulo ``SKETCH``, over all documents; added up in a tree."""
+    chunks = profile.filter("chunk is not null").select("chunk", "lane", "counts")
+    for width in (16, 1):
+        chunks = chunks.repartition("chunk", F.expr(f"lane % {width}")).mapInArrow(_add_chunks(width), "chunk int, lane int, counts binary")
     out = np.zeros(SKETCH, np.uint32)
     for r in chunks.collect():  # SKETCH counters, whatever the corpus
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint32)
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return out
 
 
-def _suffix(size: np.ndarray, threshold: float) -> np.ndarray:
-    """Shingles outside the prefix: ceil(threshold x size) - 1."""
-    return np.ceil(threshold * size - 1e-9).astype(np.int64) - 1
+def _named(text: pa.Array, n: int, clash: np.ndarray):
+    """Names, values and offsets of the sets of a column."""
+    values, first = distinct_shingles(text, n)
+    d1, d2 = set_digest(values, first)
+    return (np.where(np.isin(d1, clash), d2, d1) if len(clash) else d1), values, first
 
 
-def _prefixes(n: int, threshold: float, table):
+def _prefixes(n: int, threshold: float, table, parts: int, clash: np.ndarray):
     def run(batches):
-        counts = table.value
-        for ids, number, values, first in _named(batches, n):
-            size = np.diff(first)
-            if not len(values):
-                continue
-            owner = np.repeat(np.arange(len(size)), size)
-            rank = counts[(values % np.uint64(SKETCH)).astype(np.int64)]
-            order = np.lexsort((values, rank, owner))
-            values, pos = values[order], np.arange(len(values)) - np.repeat(first[:-1], size)
-            keep = pos < (size - _suffix(size, threshold))[owner]
-            own = owner[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(number[own], pa.int32()), pa.array(size[own], pa.int32()), pa.array(pos[keep], pa.int32())],
-                names=["h", "doc_id", "k", "n", "pos"],
-            )
+        rank, grid = table.value
+        seen, packer = set(), pairing.Packer(parts, grid)
+        shift = np.uint64(64 - pairing.BITS)
+        for batch in batches:
+            text = flat(batch, "text")
+            for lo, hi in slices(text):
+                names, values, first = _named(text.slice(lo, hi - lo), n, clash)
+                size, h, keep = np.diff(first), values >> shift, []
+                key = rank[(h & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(pairing.BITS) | h
+                who = []
+                for i, name in enumerate(names.tolist()):
+                    if size[i] and name not in seen:
+                        seen.add(name)
+                        who.append(i)
+                        own = np.sort(key[first[i] : first[i + 1]])
+                        keep.append(own[: size[i] - max(1, int(np.ceil(threshold * size[i] - 1e-9))) + 1])
+                if who:
+                    long = np.array([len(k) for k in keep])
+                    pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+                    yield from packer.add(names[who], size[who], np.repeat(np.arange(len(who)), long), np.concatenate(keep) & np.uint64((1 << pairing.BITS) - 1), pos.astype(np.uint32))
+        yield from packer.flush()
 
     return run
 
 
-def _suffix_filter(threshold: float):
-    @F.pandas_udf("boolean")
-    def passes(na: pd.Series, nb: pd.Series, ca: pd.Series, cb: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in (ca, cb))
-        total = na.to_numpy(np.int64) + nb.to_numpy(np.int64)
-        need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-        return pd.Series(np.abs(a - b).sum(1) <= total - 2 * need)
-
-    return passes
+def _overlap(values: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """|A and B| of pairs of sets, given as indexes; pairs are sorted by a."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    code = np.unique(values, return_inverse=True)[1].ravel()
+    mark, size = np.zeros(int(code.max(initial=0)) + 1, np.int8), np.diff(first)
+    out = np.zeros(len(a), np.int64)
+    at = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(a))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        x = a[lo]
+        mark[code[first[x] : first[x + 1]]] = 1
+        for s in range(lo, hi, 1000):
+            y = b[s : min(s + 1000, hi)]
+            ends = np.cumsum(size[y])
+            where = np.repeat(first[y] - ends + size[y], size[y]) + np.arange(ends[-1])
+            out[s : s + len(y)] = np.add.reduceat(mark[code[where]], ends - size[y], dtype=np.int64)
+        mark[code[first[x] : first[x + 1]]] = 0
+    return out
 
 
-def _verify(n: int, threshold: float):
+def _verify(n: int, threshold: float, clash: np.ndarray, links: bool):
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int], np.ndarray] = {}
-        for ids, number, values, first in _named(iter(texts.combine_chunks().to_batches()), n):
-            for i, d in enumerate(zip(ids.tolist(), number.tolist())):
-                by[d] = values[first[i] : first[i + 1]]
-        keep, found = [], []
-        for i, (a, ka, b, kb) in enumerate(zip(*(pairs[c].to_pylist() for c in _PAIR))):
-            x, y = by[a, ka], by[b, kb]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            jaccard = both / (len(x) + len(y) - both)
-            if jaccard >= threshold:
-                keep.append(i)
-                found.append(round(jaccard, 6))
-        return pairs.select(_PAIR).take(pa.array(keep, pa.int64())).append_column("jaccard", pa.array(found, pa.float64()))
+        names, values, sizes = [], [], []
+        for batch in texts.select(["text"]).combine_chunks().to_batches():
+            text = flat(batch, "text")
+            for lo, hi in slices(text):
+                name, value, first = _named(text.slice(lo, hi - lo), n, clash)
+                names.append(name)
+                values.append(value)
+                sizes.append(np.diff(first))
+        names, values, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, values, sizes))
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        order = np.argsort(names, kind="stable")
+        a, b = (order[np.searchsorted(names[order], np.asarray(pairs[x]).view(np.uint64))] for x in "ab")
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        where = np.repeat(np.arange(len(sizes)), sizes) * CELLS + (values >> np.uint64(57)).astype(np.int64)
+        cells = np.bincount(where, minlength=len(sizes) * CELLS).astype(np.int32).reshape(-1, CELLS)
+        need = np.ceil(threshold / (1 + threshold) * (sizes[a] + sizes[b]) - 1e-9)
+        live = np.concatenate([np.minimum(cells[a[s : s + PAIRS_AT_ONCE]], cells[b[s : s + PAIRS_AT_ONCE]]).sum(1) for s in range(0, len(a), PAIRS_AT_ONCE)]) >= need if len(a) else np.zeros(0, bool)
+        a, b, by = a[live], b[live], by[live]
+        both = _overlap(values, first, a, b)
+        jaccard = both / (sizes[a] + sizes[b] - both)
+        good = jaccard >= threshold - 1e-12
+        a, b, by, jaccard = a[good], b[good], by[good], jaccard[good].round(6)
+        if not links:
+            return pa.table({x: pairs[x].take(pa.array(by)) for x in "ab"} | {"jaccard": jaccard})
+        k = len(names)
+        count, best = np.zeros(k, np.int64), np.zeros(k)
+        for x, y, m in ((a, b, "m_b"), (b, a, "m_a")):
+            np.add.at(count, x, np.asarray(pairs[m])[by])
+            np.maximum.at(best, x, jaccard)
+        root, hit = pairing.roots(a, b, k), np.flatnonzero(count)
+        return pa.table({"name": names[hit].view(np.int64), "links": count[hit], "best": best[hit], "root": names[root[hit]].view(np.int64)})
 
     return run
 
 
-def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Members of classes (``doc_id, d1, d2, rep, k``; ``k`` numbers the classes of which a
-    ``doc_id`` is the first) and the verified pairs of classes (``doc_a, k_a, doc_b, k_b, jaccard``)."""
+def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (``doc_id, name``), classes (``name, rep, n, m``: smallest document, size, number of members)
+    and what ``_verify`` found of pairs of classes."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     profile = cut(docs.mapInArrow(_profile(n), _PROFILE))
-    table = spark.sparkContext.broadcast(frequency_table(profile))
-
-    members = profile.filter("doc_id is not null").select("doc_id", "n", "d1", "d2", "cells")
-    classed = members.select("doc_id", "d1", "d2").distinct().withColumn("rep", F.expr("min(doc_id) over (partition by d1, d2)"))
-    classed = cut(classed.withColumn("k", F.expr("cast(row_number() over (partition by doc_id, doc_id = rep order by d1, d2) - 1 as int)")))
-    # texts of documents that are first of no class aren't joined; ids with several sets say which are
-    marks = classed.groupBy("doc_id").agg(F.count("*").alias("sets"), F.array_sort(F.collect_list(F.when(F.col("doc_id") == F.col("rep"), F.col("d1")))).alias("firsts")).filter("sets > 1 or size(firsts) = 0").drop("sets")
-
-    rows = docs.join(marks, "doc_id", "left").filter("firsts is null or size(firsts) > 0").select("doc_id", "text", "firsts").mapInArrow(_prefixes(n, threshold, table), _PREFIX)
-    a = rows.select("h", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "k", "n", "pos")])
-    b = rows.select("h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "k", "n", "pos")])
-    need = f"{threshold / (1 + threshold)} * (n_a + n_b) - 1e-9"
-    met = (
-        a.join(b, "h")
-        .filter("doc_id_a < doc_id_b or doc_id_a = doc_id_b and k_a < k_b")
-        .filter(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9")
-        .filter(f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}")
-        .groupBy(F.col("doc_id_a").alias("doc_a"), "k_a", F.col("doc_id_b").alias("doc_b"), "k_b", "n_a", "n_b")
-        .agg(F.count("*").alias("met"))
-    )
-    found = cut(met.filter(f"met + ceil({threshold} * greatest(n_a, n_b) - 1e-9) - 1 >= {need}").select(*_PAIR))
-    del rows, a, b, met
+    counts = frequency_table(profile)
+    rank = np.minimum(32 * np.log2(1.0 + counts), 1023).astype(np.uint16)
+    table = spark.sparkContext.broadcast((rank, pairing.grid_of(counts)))
+
+    members = profile.filter("doc_id is not null").select("doc_id", "n", "d1", "d2").distinct()
+    classes = cut(members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m")))
+    twice = classes.groupBy("d1").count().filter("count > 1").limit(CLASHES + 1).toArrow()
+    if len(twice) > CLASHES:
+        raise ValueError("too many sets with equal 64-bit digests")
+    clash = np.asarray(twice["d1"], np.int64)
+    name = F.when(F.col("d1").isin(clash.tolist()), F.col("d2")).otherwise(F.col("d1")) if len(clash) else F.col("d1")
+    members, classes = members.select("doc_id", name.alias("name")), classes.select(name.alias("name"), "rep", "n", "m")
+    clash = clash.view(np.uint64)
+
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = pairing.parts_for(int(total * (1 - threshold)), split_partitions(spark))
+    share = threshold / (1 + threshold)
+
+    def reach(na, nb):
+        return na >= threshold * nb - 1e-9
+
+    def test(na, nb, pa_, pb):
+        return np.minimum(na - pa_, nb - pb) >= share * (na + nb) - 1e-9
+
+    rows = docs.select("text").mapInArrow(_prefixes(n, threshold, table, parts, clash), pairing.ROW)
+    pairs = cut(pairing.candidates(rows, parts, reach, test))
+    del rows
     release(spark)
 
-    side = members.join(classed.filter("doc_id = rep").select("doc_id", "d1", "d2", "k"), ["doc_id", "d1", "d2"]).groupBy("doc_id", "k").agg(F.first("n").alias("n"), F.first("cells").alias("c"))
-    pairs = found
     for x in "ab":
-        pairs = pairs.join(side.withColumnsRenamed({"doc_id": f"doc_{x}", "k": f"k_{x}", "n": f"n_{x}", "c": f"c_{x}"}), [f"doc_{x}", f"k_{x}"])
-    pairs = pairs.filter(_suffix_filter(threshold)("n_a", "n_b", "c_a", "c_b")).select(*_PAIR)
-    pairs = pairs.withColumn("block", F.expr("min(doc_a) over (partition by doc_b)"))
-    pairs = pairs.withColumn("cut", F.expr(f"cast(ceil(sqrt(count(*) over (partition by block) / {float(BLOCK_PAIRS)})) as int)"))
-    pairs = cut(pairs.select(*_PAIR, F.expr("concat_ws(':', block, pmod(xxhash64(doc_a), cut), pmod(xxhash64(doc_b), cut))").alias("key")))
-    wanted = pairs.select(F.col("doc_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("doc_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    wanted = wanted.join(marks, "doc_id", "left")
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "firsts", F.explode("keys").alias("key"))
-    near = pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold), "doc_a long, k_a int, doc_b long, k_b int, jaccard double")
-    return classed, near
+        pairs = pairs.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"w_{x}"), F.col("m").alias(f"m_{x}")), x)
+    pairs = cut(pairing.blocks(pairs))
+    wanted = pairs.select(F.col("rep_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("rep_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", F.explode("keys").alias("key"))
+    pairs = pairs.select("key", "a", "b", "m_a", "m_b")
+    found = cut(pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold, clash, links), _LINKS if links else _PAIRS))
+    release(spark)
+    return members, classes, found
+
+
+def groups(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document: its group, its links and its highest similarity; see the module text."""
+    members, classes, found = _joined(docs, n, threshold, links=True)
+    per = found.groupBy("name").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    several = members.groupBy("doc_id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo < hi")
+    same = members.join(several, "doc_id").filter("name > lo").select("name", F.col("lo").alias("root"))
+    linked = components(found.select("name", "root").unionByName(same), "name", "root").withColumnsRenamed({"node": "name", "component": "group"})
+    whole = classes.select("name", "rep", "m").join(per, "name", "left").join(linked, "name", "left").withColumn("group", F.coalesce("group", "name"))
+    low = whole.groupBy("group").agg(F.min("rep").alias("class_id"))
+    whole = cut(whole.join(low, "group").select("name", "m", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.when(F.col("m") > 1, 1.0).otherwise(F.col("best")).alias("best")))
+    each = join_classes(members, whole, "name").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"), F.max("best").alias("best"))
+    alone = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    return alone.join(each, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "best")
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents with n-gram Jaccard similarity >= ``threshold``; see the module text."""
-    classed, near = _joined(docs, n, threshold)
-    stars = classed.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return stars.unionByName(near.filter("doc_a < doc_b").select("doc_a", "doc_b", "jaccard")).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    """Stars of classes and pairs of their smallest members; see the module text."""
+    members, classes, near = _joined(docs, n, threshold, links=False)
+    stars = join_classes(members, classes, "name").filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    for x in "ab":
+        near = near.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}")), x)
+    near = near.filter("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), "jaccard")
+    return stars.unionByName(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def all_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """Every pair of documents with n-gram Jaccard similarity >= ``threshold``, copies included:
     classes and verified pairs of classes are joined back to their members. Members travel in parts
     of bounded size, so that a large class is spread over tasks."""
-    classed, near = _joined(docs, n, threshold)
-    near = cut(near)
-    firsts = classed.filter("doc_id = rep").select("d1", "d2", F.col("k").alias("class"))
-    parts = classed.select("doc_id", "d1", "d2", "rep").join(firsts, ["d1", "d2"]).withColumn("part", F.expr(f"(row_number() over (partition by rep, class order by doc_id) - 1) div {PART}"))
-    parts = cut(parts.groupBy("rep", "class", "part").agg(F.collect_list("doc_id").alias("ids")))
-    side = lambda x: parts.select(F.col("rep").alias(f"doc_{x}"), F.col("class").alias(f"k_{x}"), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"))
-    inner = side("a").join(side("b").withColumnsRenamed({"doc_b": "doc_a", "k_b": "k_a"}), ["doc_a", "k_a"]).filter("part_a <= part_b").select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"))
-    outer = near.join(side("a"), ["doc_a", "k_a"]).join(side("b"), ["doc_b", "k_b"]).select("ids_a", "ids_b", "jaccard")
+    members, _, near = _joined(docs, n, threshold, links=False)
+    parts = members.withColumn("part", F.expr(f"(row_number() over (partition by name order by doc_id) - 1) div {PART}"))
+    parts = cut(parts.groupBy("name", "part").agg(F.collect_list("doc_id").alias("ids")))
+    side = lambda x: parts.select(F.col("name").alias(x), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"))
+    inner = side("a").join(side("b").withColumnRenamed("b", "a"), "a").filter("part_a <= part_b").select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"))
+    outer = near.join(side("a"), "a").join(side("b"), "b").select("ids_a", "ids_b", "jaccard")
     both = inner.unionByName(outer).repartition(F.xxhash64("ids_a", "ids_b"))
     pairs = both.select(F.explode("ids_a").alias("a"), "ids_b", "jaccard").select("a", F.explode("ids_b").alias("b"), "jaccard").filter("a <> b")
     return pairs.groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))

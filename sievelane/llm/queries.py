@@ -16,10 +16,14 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(documents(spark, sf_dir))
+
+
+def ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(documents(spark, sf_dir))
 
 
-def op1_ngram_jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.all_pairs(documents(spark, sf_dir))
 
 
@@ -66,7 +70,8 @@ def fingerprint_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_ngram_jaccard_join,
-    op1_ngram_jaccard_all_pairs,
+    ngram_jaccard_pairs,
+    ngram_jaccard_all_pairs,
     op2_pii_bootstrap,
     op3_quality_rules,
     op4_language_id,
@@ -111,5 +116,24 @@ SELECT doc_a, doc_b, round(max(joint / (na + nb - joint)), 6) AS jaccard FROM k
 """
 
 
+#: One row for each document: the smallest document of its connected group, links and the best one.
+NGRAM_GROUPS_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3
+        THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+        ELSE [array_to_string(w, ' ')] END AS s FROM w WHERE len(w) > 0),
+r AS (SELECT row_number() OVER () AS r, doc_id, s FROM s),
+e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM r),
+k AS (SELECT a.r AS x, b.r AS y, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS joint
+      FROM e a JOIN e b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+p AS (SELECT a, b, joint / (na + nb - joint) AS j FROM k WHERE joint / (na + nb - joint) >= 0.55),
+g AS (SELECT DISTINCT a AS d, b AS c FROM p UNION SELECT g.d, p.b AS c FROM g JOIN p ON g.c = p.a),
+m AS (SELECT d, min(c) AS c FROM g GROUP BY d),
+l AS (SELECT a AS d, count(*) AS links, round(max(j), 6) AS best FROM p GROUP BY a)
+SELECT t.doc_id, least(t.doc_id, coalesce(m.c, t.doc_id)) AS class_id, coalesce(l.links, 0)::BIGINT AS links, l.best
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) t LEFT JOIN m ON m.d = t.doc_id LEFT JOIN l ON l.d = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op1_ngram_jaccard_all_pairs": NGRAM_ALL_PAIRS_SQL, "op3_quality_rules": quality.sql(), "op6_url_filter": url_filter.sql()}
+    return {"op1_ngram_jaccard_join": NGRAM_GROUPS_SQL, "ngram_jaccard_pairs": NGRAM_JOIN_SQL, "ngram_jaccard_all_pairs": NGRAM_ALL_PAIRS_SQL, "op3_quality_rules": quality.sql(), "op6_url_filter": url_filter.sql()}

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelane.llm import fingerprint, lm_score, ngram_join, packing, pii
+from sievelane.llm import fingerprint, lm_score, ngram_join, packing, pairing, pii
 
 
 def similar(rows):
@@ -98,3 +98,51 @@ def test_packing_fits_small_tables_by_least_squares():
     histogram = np.zeros(64, np.int64)
     histogram[[27, 17]] = 2, 4
     assert packing.plan(histogram) == [((18, 18, 28), 2)]
+
+
+def grouped(rows):
+    """{doc: (smallest document of its group, links, best)} by brute force."""
+    sets = {(d, tuple(sorted({tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))}))) for d, t in rows if t}
+    of, links, best = {d: d for d, _ in rows}, dict.fromkeys((d for d, _ in rows), 0), {}
+    pairs = [(a, b, len(set(s) & set(t)) / len(set(s) | set(t))) for a, s in sets for b, t in sets if (a, s) != (b, t)]
+    for a, b, j in pairs:
+        if j >= ngram_join.THRESHOLD:
+            links[a] += 1
+            best[a] = max(best.get(a, 0), round(j, 6))
+    for _ in rows:
+        for a, b, j in pairs:
+            if j >= ngram_join.THRESHOLD:
+                of[a] = of[b] = min(of[a], of[b])
+    return {d: (of[d], links[d], best.get(d)) for d in of}
+
+
+def test_join_groups_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BLOCK_WEIGHT", 100)
+    rng = np.random.default_rng(5)
+    rows = [(1, X), (5, X), (5, Y), (7, Y), (9, Y + " end"), (8, X + " end"), (4, X + " end"), (5, X + " other end"), (5, X), (30, ""), (31, None), *((i, X) for i in range(20, 26))]
+    for i in range(40):
+        w = [f"v{x}" for x in rng.integers(0, 400, 30)]
+        rows += [(100 + 10 * i + k, " ".join(w[k:] + [f"t{i}{k}{x}" for x in range(k * (k % 3))])) for k in range(6)]
+    got = {r.doc_id: (r.class_id, r.links, r.best) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == grouped(rows)
+
+
+def test_frequent_hashes_are_spread_without_loss(monkeypatch):
+    monkeypatch.setattr(pairing, "HOT", 4)
+    rng = np.random.default_rng(6)
+    names, sizes = rng.integers(1, 2**63, 60).astype(np.uint64), np.full(60, 3)
+    h = np.sort(rng.integers(0, 9, (60, 3)), 1).astype(np.uint64)
+    counts = np.zeros(1024, np.uint32)
+    counts[:9] = np.bincount(h.ravel().astype(int), minlength=9) + 40
+    packer = pairing.Packer(5, pairing.grid_of(counts))
+    rows = [*packer.add(names, sizes, np.repeat(np.arange(60), 3), h.ravel(), np.tile(np.arange(3), 60).astype(np.uint32)), *packer.flush()]
+    always = lambda n, m, *p: np.ones(len(n), bool)
+    got = set()
+    for part in range(5):
+        own = [pa.RecordBatch.from_arrays([c.filter(pa.array(np.asarray(b.column("part")) == part)) for c in b.columns], names=b.schema.names) for b in rows]
+        for pairs in pairing._match(always, always, 1)(iter(own)):
+            for x in pairing._distinct(iter([pairs])):
+                got |= set(zip(np.asarray(x.column("a")).tolist(), np.asarray(x.column("b")).tolist()))
+    assert (pairing.grid_of(counts)[:9] > 1).all()
+    key = [set(x.tolist()) for x in h]
+    assert got == {tuple(sorted((int(names[i]), int(names[j])))) for i in range(60) for j in range(i) if key[i] & key[j]}
