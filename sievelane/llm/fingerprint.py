@@ -10,21 +10,28 @@ smallest distinct values of their union. From sketches alone follow estimates of
 * containment |A and B| / |A|: share of A's values, up to the smaller of the two largest values
   of full sketches, that B has.
 
-``pairs(docs)`` finds documents that resemble or contain each other: every pair with an estimated
-resemblance, or containment either way, of at least ``LEAST``. The rows of a repeated ``doc_id`` are
-merged. Documents with equal sketches are one class, which is expanded at the end. Candidates share
-a sketch value; no value and no document is capped. One of the two must have the value in a
-*prefix*, rare values first: if A is contained in B, at least ``LEAST`` of those values of A that
-lie below B's end are shared, and these are A's j smallest for some j. So the values that come
-among the first ``j - ceil(LEAST j) + 1`` of A's j smallest, for any j, miss no pair. Resemblance
-needs ``LEAST`` of all values of A, which is the last j. The fixed-size table of frequencies only
-orders values.
+``overlaps(docs)`` gives one row for each document: its sketch, the estimated number of shingles,
+``class_id`` (smallest ``doc_id`` of the connected group of documents that resemble each other by at
+least ``LEAST``), ``links`` (number of other documents that resemble it), ``best`` (the highest
+resemblance) and ``contained`` (the highest share of it that one of these documents has). Documents
+with equal sketches are one class, which is sent and compared once. Candidates come from a prefix
+join (see ``pairing``): values are put in one order, rare ones first; a pair has ``LEAST`` of the values
+of the longer sketch in common, so it meets ``DEEP`` times among the first
+``size - ceil(LEAST size) + DEEP``, and pairs that meet less often are dropped.
+
+``search(docs, queries)`` finds, for the documents that ``queries`` selects, all documents of the table with
+a resemblance, or a containment either way, of at least ``LEAST``. One of the two must have a common
+value in a prefix: if A is contained in B, at least ``LEAST`` of those values of A that lie below B's
+end are shared, and these are A's j smallest for some j; so the values that come among the first
+``j - ceil(LEAST j) + 1`` of A's j smallest, for any j, miss no pair. No value and no document is capped.
+The fixed-size table of frequencies only orders values and spreads frequent ones.
 
 Hashes are shifted by 2^63 into signed integers, which keeps their order in Spark.
 
 Edge cases: null, empty and punctuation-only texts have an empty sketch and 0 shingles; both
-ratios with an empty sketch are 0; texts shorter than ``n`` words have one shingle; repeated rows
-and rows with a null ``doc_id`` are sketched each; null keys merge into one group; other columns
+ratios with an empty sketch are 0; texts shorter than ``n`` words have one shingle; the rows of a
+repeated ``doc_id`` are merged into one sketch; rows with a null ``doc_id`` are sketched each and have
+no class and no links; null keys merge into one group; other columns
 are ignored whatever their names; an empty table gives an empty result.
 """
 
@@ -37,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, release, slices
-from .textkit import distinct_shingles
+from . import pairing
+from .common import cut, flat, join_classes, release, slices, split_partitions
+from .components import components
+from .textkit import distinct_shingles, mix64, set_digest
 
-NGRAM, K, LEAST = 3, 128, 0.5
-#: Counters of the table that orders sketch values.
-COUNTERS = 1 << 20
+NGRAM, K, LEAST, DEEP = 3, 128, 0.5, 16
+#: Pairs of sketches that are compared at a time.
+PAIRS_AT_ONCE = 10_000
 #: Keys that a task merges in memory before it passes partial sketches on.
 MERGE_KEYS = 50_000
 
@@ -129,81 +138,203 @@ def fingerprints(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
     return sketch(docs, n, k).select("doc_id", distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"), "sketch")
 
 
-def _leads(v: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """Which values of an ascending sketch are in a prefix; see the module text."""
-    f, at = counts[v.view(np.uint64) % np.uint64(COUNTERS)], np.arange(len(v))
-    rarer = (f[None, :] < f[:, None]) | ((f[None, :] == f[:, None]) & (at[None, :] < at[:, None]))
+def _leads(rank: np.ndarray, least: float) -> np.ndarray:
+    """Which values of an ascending sketch are in a prefix, given their ranks; see the module text."""
+    at = np.arange(len(rank))
+    rarer = (rank[None, :] < rank[:, None]) | ((rank[None, :] == rank[:, None]) & (at[None, :] < at[:, None]))
     size = at + 2 - np.ceil(least * (at + 1) - 1e-9).astype(np.int64)
-    return ((np.cumsum(rarer, 1, dtype=np.int32) < size) & (at[None, :] >= at[:, None])).any(1)
+    return ((np.cumsum(rarer, 1, dtype=np.int16) < size) & (at[None, :] >= at[:, None])).any(1)
 
 
-def _values(table, least: float):
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Values (unsigned, ascending for each row) and offsets of the sketches of a batch."""
+    lists = flat(batch, "sketch")
+    off = np.asarray(lists.offsets).astype(np.int64)
+    return np.asarray(lists.values)[off[0] : off[-1]].view(np.uint64) ^ np.uint64(1 << 63), off - off[0]
+
+
+def _hashes(values: np.ndarray) -> np.ndarray:
+    """Sketch values are the smallest hashes; these are spread evenly again."""
+    return mix64(values + np.uint64(17)) >> np.uint64(64 - pairing.BITS)
+
+
+def _profile(batches: Iterator[pa.RecordBatch]):
+    counter = pairing.Counter()
+    for batch in batches:
+        values, off = _lists(batch)
+        size = np.diff(off)
+        live = np.flatnonzero(size)
+        if len(live):
+            counter.add(_hashes(values))
+            d1, d2 = set_digest(values, off)
+            yield pairing.profile_rows(np.asarray(flat(batch, "doc_id"))[live], size[live], d1[live], d2[live])
+    yield from counter.rows()
+
+
+def _named(batch: pa.RecordBatch, clash: np.ndarray):
+    values, off = _lists(batch)
+    d1, d2 = set_digest(values, off)
+    return (np.where(np.isin(d1, clash), d2, d1) if len(clash) else d1), values, off
+
+
+def _prefixes(table, least: float, parts: int, clash: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]):
-        counts = table.value
+        rank, grid = table.value
+        seen, packer = set(), pairing.Packer(parts, grid)
         for batch in batches:
-            docs, lists = np.asarray(flat(batch, "doc_id")), flat(batch, "sketch")
-            off = np.asarray(lists.offsets)
-            values = np.asarray(lists.values)
-            for lo in range(0, len(docs), 2000):
-                hi = min(lo + 2000, len(docs))
-                v = values[off[lo] : off[hi]]
-                lead = np.concatenate([_leads(values[off[i] : off[i + 1]], counts, least) for i in range(lo, hi)])
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.repeat(docs[lo:hi], np.diff(off[lo : hi + 1]))), pa.array(lead)], names=["h", "doc_id", "lead"])
+            names, values, off = _named(batch, clash)
+            h, size, who, keep = _hashes(values), np.diff(off), [], []
+            key = rank[(h & np.uint64(pairing.COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(pairing.BITS) | h
+            need = _need(size, least)
+            for i, name in enumerate(names.tolist()):
+                if size[i] and name not in seen:
+                    seen.add(name)
+                    who.append(i)
+                    keep.append(np.sort(key[off[i] : off[i + 1]])[: size[i] - need[i] + min(DEEP, need[i])])
+            if who:
+                long = np.array([len(x) for x in keep])
+                pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+                yield from packer.add(names[who], size[who], np.repeat(np.arange(len(who)), long), np.concatenate(keep) & np.uint64((1 << pairing.BITS) - 1), pos.astype(np.uint32))
+        yield from packer.flush()
+
+    return run
+
+
+def _need(size: np.ndarray, least: float) -> np.ndarray:
+    return np.ceil(least * size - 1e-9).astype(np.int64)
+
+
+def _compare(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, k: int):
+    """Resemblance and both containments of rows of ascending sketches, padded with the largest number."""
+    pad = np.uint64(2**64 - 1)
+    both = np.sort(np.concatenate((x, y), 1), 1)
+    same = (both[:, 1:] == both[:, :-1]) & (np.arange(both.shape[1] - 1) < (nx + ny)[:, None] - 1)
+    common = same.sum(1)
+    union = nx + ny - common
+    low = np.minimum(union, k)
+    # a value's place in the union is its place less the repeats before it; repeats lie right after
+    place = np.arange(both.shape[1] - 1)[None, :] - np.cumsum(same, 1) + same
+    resemblance = (same & (place < low[:, None])).sum(1) / low
+    end = lambda s, n: np.where(n >= k, s[np.arange(len(s)), np.maximum(n, 1) - 1], pad)
+    top = np.minimum(end(x, nx), end(y, ny))[:, None]
+    seen = lambda s, n: np.maximum(((s <= top) & (np.arange(s.shape[1]) < n[:, None])).sum(1), 1)
+    return resemblance, common / seen(x, nx), common / seen(y, ny)
+
+
+_LINKS = "name long, links long, best double, contained double, root long"
+
+
+def _verify(k: int, least: float, clash: np.ndarray):
+    def run(pairs: pa.Table, sketches: pa.Table) -> pa.Table:
+        got = [_named(batch, clash) for batch in sketches.combine_chunks().to_batches()]
+        names = np.concatenate([g[0] for g in got])
+        size = np.concatenate([np.diff(g[2]) for g in got])
+        table = np.full((len(names), k), 2**64 - 1, np.uint64)
+        table[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate([g[1] for g in got])
+        order = np.argsort(names, kind="stable")
+        a, b = (order[np.searchsorted(names[order], np.asarray(pairs[x]).view(np.uint64))] for x in "ab")
+        found = [_compare(table[a[s : s + PAIRS_AT_ONCE]], size[a[s : s + PAIRS_AT_ONCE]], table[b[s : s + PAIRS_AT_ONCE]], size[b[s : s + PAIRS_AT_ONCE]], k) for s in range(0, len(a), PAIRS_AT_ONCE)]
+        same, ab, ba = (np.concatenate(x) for x in zip(*found))
+        good = np.flatnonzero(same >= least - 1e-9)
+        a, b = a[good], b[good]
+        count, best, held = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names))
+        for x, m, share in ((a, "m_b", ab), (b, "m_a", ba)):
+            np.add.at(count, x, np.asarray(pairs[m])[good])
+            np.maximum.at(best, x, same[good])
+            np.maximum.at(held, x, share[good])
+        root, hit = pairing.roots(a, b, len(names)), np.flatnonzero(count)
+        return pa.table({"name": names[hit].view(np.int64), "links": count[hit], "best": best[hit], "contained": held[hit], "root": names[root[hit]].view(np.int64)})
 
     return run
 
 
 def by_document(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
-    """``doc_id, sketch`` of each document with shingles; rows that share a ``doc_id`` are merged."""
-    rows = cut(sketch(docs.filter("doc_id is not null"), n, k).filter("size(sketch) > 0"))
-    again = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """``doc_id, sketch`` of each document; rows that share a ``doc_id`` are merged. Sketches are made again
+    where they are needed, which is cheaper than to store them."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    again = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
-        return rows
-    merged = merge(rows.join(again, "doc_id", "left_semi"), "doc_id", k).select(F.col("key").cast("long").alias("doc_id"), "sketch")
-    return cut(rows.join(again, "doc_id", "left_anti").unionByName(merged))
-
-
-def pairs(docs: DataFrame, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
-    """``doc_a < doc_b, resemblance, containment_a`` (share of a that b has) and ``containment_b``
-    (share of b that a has) of all pairs with one of the three at ``least`` or more."""
-    spark, each = docs.sparkSession, by_document(docs, n, k)
-    member = cut(each.select("doc_id", F.xxhash64("sketch").alias("c"), F.xxhash64(F.lit(1), "sketch").alias("d")).withColumn("rep", F.expr("min(doc_id) over (partition by c, d)")).select("doc_id", "rep"))
-    copies = member.filter("doc_id <> rep").select("doc_id")
-    first = cut(each.join(copies, "doc_id", "left_anti"))
-    release(spark)
-    counts = np.zeros(COUNTERS, np.int64)
-    got = first.select(F.explode("sketch").alias("h")).groupBy(F.expr(f"pmod(h, {COUNTERS})").alias("h")).count().toArrow()  # COUNTERS rows at most
-    counts[np.asarray(got["h"])] = np.asarray(got["count"])
-    table = spark.sparkContext.broadcast(counts.astype(np.int32))
-
-    values = first.mapInArrow(_values(table, least), "h long, doc_id long, lead boolean")
-    a = values.select("h", F.col("doc_id").alias("a"), F.col("lead").alias("lead_a"))
-    b = values.select("h", F.col("doc_id").alias("b"), F.col("lead").alias("lead_b"))
-    found = cut(a.join(b, "h").filter("a < b and (lead_a or lead_b)").select("a", "b").distinct())
-    del values, a, b
+        return sketch(docs, n, k)
+    again = cut(again)
+    merged = merge(sketch(docs.join(again, "doc_id", "left_semi"), n, k), "doc_id", k).select(F.col("key").cast("long").alias("doc_id"), "sketch")
+    return sketch(docs.join(again, "doc_id", "left_anti"), n, k).unionByName(cut(merged))
+
+
+def _linked(each: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, classes (see ``pairing.classes``) and the links of classes."""
+    spark = each.sparkSession
+    profile = cut(each.mapInArrow(_profile, pairing.PROFILE))
+    counts = pairing.frequency_table(profile)
+    table = spark.sparkContext.broadcast((pairing.rank_of(counts), pairing.grid_of(counts)))
+    members, classes, clash = pairing.classes(profile)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = pairing.parts_for(int(total * (1 - least)), split_partitions(spark))
+    rows = each.select("sketch").mapInArrow(_prefixes(table, least, parts, clash), pairing.ROW)
+
+    def test(n, m, x, y):
+        return np.minimum(x, y) + np.minimum(n - x, m - y) >= _need(np.maximum(n, m), least)
+
+    pairs = cut(pairing.candidates(rows, parts, lambda n, m: n >= least * m - 1e-9, test))
+    del rows
     release(spark)
-    met = found
     for x in "ab":
-        met = met.join(first.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s_{x}")), x)
-    sa, sb = F.col("s_a"), F.col("s_b")
-    met = met.select("a", "b", resemblance(sa, sb, k).alias("resemblance"), containment(sa, sb, k).alias("ab"), containment(sb, sa, k).alias("ba"))
-    met = cut(met.filter(F.greatest("resemblance", "ab", "ba") >= least - 1e-9))
+        pairs = pairs.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"w_{x}"), F.col("m").alias(f"m_{x}")), x)
+    need = lambda n: f"ceil({least} * {n} - 1e-9)"
+    outside = lambda n: f"({need(n)} - least({DEEP}, {need(n)}))"
+    pairs = cut(pairs.filter(f"met + greatest({outside('w_a')}, {outside('w_b')}) >= {need('greatest(w_a, w_b)')}").drop("met"))
+    pairs = cut(pairing.blocks(pairs))
+    wanted = pairs.select(F.col("rep_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("rep_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    sketches = each.join(wanted.hint("shuffle_hash"), "doc_id").select("sketch", F.explode("keys").alias("key"))
+    pairs = pairs.select("key", "a", "b", "m_a", "m_b")
+    found = cut(pairs.groupBy("key").cogroup(sketches.groupBy("key")).applyInArrow(_verify(k, least, clash), _LINKS))
     release(spark)
-    same = member.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct().select("a", "b", *[F.lit(1.0).alias(c) for c in ("resemblance", "ab", "ba")])
-    for x in "ab":
-        met, same = (t.join(member.select(F.col("rep").alias(x), F.col("doc_id").alias(f"doc_{x}")), x) for t in (met, same))
-    out = met.unionByName(same.filter("doc_a < doc_b"))
-    low = F.col("doc_a") < F.col("doc_b")
-    turned = [F.when(low, x).otherwise(y).alias(name) for x, y, name in ((F.col("ab"), F.col("ba"), "containment_a"), (F.col("ba"), F.col("ab"), "containment_b"))]
-    return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "resemblance", *turned)
+    return members, classes, found
 
 
 def overlaps(docs: DataFrame, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
-    """The rows of ``fingerprints`` and, with a ``partner``, those of ``pairs``: ``doc_id`` is
-    ``doc_a`` and ``partner`` is ``doc_b``."""
-    one = fingerprints(docs, n, k).select("doc_id", "distinct_shingles", "sketch", F.lit(None).cast("long").alias("partner"), *[F.lit(None).cast("double").alias(c) for c in ("resemblance", "containment_a", "containment_b")])
-    two = pairs(docs, n, k, least).select(F.col("doc_a").alias("doc_id"), F.lit(None).cast("double").alias("distinct_shingles"), F.lit(None).cast("array<long>").alias("sketch"), F.col("doc_b").alias("partner"), "resemblance", "containment_a", "containment_b")
-    return one.unionByName(two)
+    """One row for each document: ``doc_id, distinct_shingles, sketch, class_id, links, best, contained``;
+    see the module text. Without links, ``best`` and ``contained`` are null."""
+    each = by_document(docs, n, k)
+    members, classes, found = _linked(each, k, least)
+    per = found.groupBy("name").agg(F.sum("links").alias("links"), F.max("best").alias("best"), F.max("contained").alias("contained"))
+    linked = components(found.select("name", "root"), "name", "root").withColumnsRenamed({"node": "name", "component": "group"})
+    whole = classes.select("name", "rep", "m").join(per, "name", "left").join(linked, "name", "left").withColumn("group", F.coalesce("group", "name"))
+    low = whole.groupBy("group").agg(F.min("rep").alias("class_id"))
+    top = [F.when(F.col("m") > 1, 1.0).otherwise(F.col(c)).alias(c) for c in ("best", "contained")]
+    whole = cut(whole.join(low, "group").select("name", "m", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), *top))
+    narrow = cut(join_classes(members, whole, "name").select("doc_id", "class_id", "links", "best", "contained"))
+    release(docs.sparkSession)
+    out = each.join(narrow.hint("shuffle_hash"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    out = out.unionByName(sketch(docs.filter("doc_id is null"), n, k), allowMissingColumns=True)
+    return out.select("doc_id", distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"), "sketch", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best", "contained")
+
+
+def _values(table, least: float):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            values, off = _lists(batch)
+            rank = table.value[(_hashes(values) & np.uint64(pairing.COUNTERS - 1)).astype(np.int64)]
+            lead = [_leads(rank[i:j], least) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            owner = np.repeat(np.asarray(flat(batch, "doc_id")), np.diff(off))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(owner, pa.int64()), pa.array(np.concatenate(lead) if lead else np.zeros(0, bool))], names=["h", "doc_id", "lead"])
+
+    return run
+
+
+def search(docs: DataFrame, queries: Column, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
+    """``query, doc_id, resemblance, containment`` (share of the query that the document has) and
+    ``contained`` (share of the document that the query has) of all pairs of a document that
+    ``queries`` (a condition on ``doc_id``) selects and another one, with one of the three at ``least`` or more."""
+    each = by_document(docs, n, k).filter("size(sketch) > 0")
+    counts = pairing.frequency_table(each.mapInArrow(_profile, pairing.PROFILE))
+    table = docs.sparkSession.sparkContext.broadcast(pairing.rank_of(counts))
+    values = each.mapInArrow(_values(table, least), "h long, doc_id long, lead boolean")
+    asked = values.filter(queries).withColumnsRenamed({"doc_id": "query", "lead": "lead_q"})
+    met = cut(asked.join(values, "h").filter("query <> doc_id and (lead or lead_q)").select("query", "doc_id").distinct())
+    both = met.join(each, "doc_id").join(each.filter(queries).withColumnsRenamed({"doc_id": "query", "sketch": "asked"}), "query")
+    a, b = F.col("asked"), F.col("sketch")
+    out = both.select("query", "doc_id", resemblance(a, b, k).alias("resemblance"), containment(a, b, k).alias("containment"), containment(b, a, k).alias("contained"))
+    return out.filter(F.greatest("resemblance", "containment", "contained") >= least - 1e-9)
 
 
 def source_overlap(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:

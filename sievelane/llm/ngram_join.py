@@ -9,12 +9,14 @@ Documents are similar if their sets of word ``n``-grams have a Jaccard similarit
 2. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach the
    threshold share one of the first ``size - ceil(t size) + 1``. Only these are shuffled, packed
    (see ``pairing``). Tasks send each class once, whatever the number of its copies.
-3. *Length* and *positional filter*: sets a and b need an overlap of ``t / (1 + t) (|a| + |b|)``, so the
-   first shingle that they share leaves at least as many in both. Matches that don't are dropped.
+3. *Length* and *positional filter*: sets a and b need an overlap of ``t / (1 + t) (|a| + |b|)``; a match
+   whose positions leave less is dropped. Matches of a pair are then counted: the set whose prefix
+   ends first has no shingle of its prefix in the other's suffix, so the overlap is at most that
+   count plus its suffix.
 4. Each distinct pair is looked at once. Pairs are grouped in blocks by the smallest partner, so that
    a group of copies ships every text once rather than once per pair; heavy blocks are cut.
-5. *Suffix filter*: histograms of ranges of the hash space bound the overlap that the parts after
-   the first match still can have, before the pair is verified on the whole sets.
+5. *Suffix filter*: histograms of ranges of the hash space bound the overlap that two sets can have
+   outside their matches too, before the pair is verified on the whole sets.
 
 The frequency table only orders shingles and spreads frequent ones. Its size is fixed, it is all
 that is broadcast, and collisions in it can cost time but never a pair.
@@ -35,12 +37,10 @@ columns are ignored whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,22 +50,17 @@ from .components import components
 from .textkit import distinct_shingles, set_digest
 
 NGRAM, THRESHOLD = 3, 0.55
-#: Counters of the frequency table (4 bytes each), and how many of them one shuffled row holds.
-SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Cells of the suffix filter's histogram, and pairs that are compared at a time.
 CELLS, PAIRS_AT_ONCE = 128, 20_000
-#: Names that two classes of the corpus may claim; 64 bits give about one at 5 billion classes.
-CLASHES = 100_000
 #: Members of a class that one row of the expansion holds; two such rows give at most PART^2 pairs.
 PART = 256
 
-_PROFILE = "doc_id long, n int, d1 long, d2 long, chunk int, lane int, counts binary"
 _LINKS, _PAIRS = "name long, links long, best double, root long", "a long, b long, jaccard double"
 
 
 def _profile(n: int):
     def run(batches):
-        sketch, task = np.zeros(SKETCH, np.uint64), TaskContext.get()
+        counter = pairing.Counter()
         for batch in batches:
             ids, text = flat(batch, "doc_id"), flat(batch, "text")
             for lo, hi in slices(text):
@@ -74,50 +69,14 @@ def _profile(n: int):
                 live = np.flatnonzero(size)
                 if not len(live):
                     continue
-                sketch += np.bincount((values >> np.uint64(64 - pairing.BITS)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint64)
+                counter.add(values >> np.uint64(64 - pairing.BITS))
                 d1, d2 = set_digest(values, first)
-                none = pa.nulls(len(live), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(ids.slice(lo, hi - lo))[live], pa.int64()), pa.array(size[live], pa.int32()), pa.array(d1[live].view(np.int64)), pa.array(d2[live].view(np.int64)), none, none, pa.nulls(len(live), pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"],
-                )
-        if sketch.any():
-            sketch = np.minimum(sketch, 2**32 - 1).astype(np.uint32)
-            k = SKETCH // CHUNK  # counts compress to a few bits each
-            blank, lane = pa.nulls(k, pa.int64()), pa.array(np.full(k, (task.partitionId() if task else 0) % 256), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [blank, pa.nulls(k, pa.int32()), blank, blank, pa.array(range(k), pa.int32()), lane, pa.array([zlib.compress(c.tobytes(), 1) for c in sketch.reshape(k, CHUNK)], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"],
-            )
+                yield pairing.profile_rows(np.asarray(ids.slice(lo, hi - lo))[live], size[live], d1[live], d2[live])
+        yield from counter.rows()
 
     return run
 
 
-def _add_chunks(width: int):
-    def run(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, lane, c in zip(flat(batch, "chunk").to_pylist(), flat(batch, "lane").to_pylist(), flat(batch, "counts")):
-                at = k, lane % width
-                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32).astype(np.uint64)
-        if total:
-            sums = [zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1) for c in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([x for _, x in total], pa.int32()), pa.array(sums, pa.binary())], names=["chunk", "lane", "counts"])
-
-    return run
-
-
-def frequency_table(profile: DataFrame) -> np.ndarray:
-    """Occurrences of shingles by hash modulo ``SKETCH``, over all documents; added up in a tree."""
-    chunks = profile.filter("chunk is not null").select("chunk", "lane", "counts")
-    for width in (16, 1):
-        chunks = chunks.repartition("chunk", F.expr(f"lane % {width}")).mapInArrow(_add_chunks(width), "chunk int, lane int, counts binary")
-    out = np.zeros(SKETCH, np.uint32)
-    for r in chunks.collect():  # SKETCH counters, whatever the corpus
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    return out
-
-
 def _named(text: pa.Array, n: int, clash: np.ndarray):
     """Names, values and offsets of the sets of a column."""
     values, first = distinct_shingles(text, n)
@@ -135,7 +94,7 @@ def _prefixes(n: int, threshold: float, table, parts: int, clash: np.ndarray):
             for lo, hi in slices(text):
                 names, values, first = _named(text.slice(lo, hi - lo), n, clash)
                 size, h, keep = np.diff(first), values >> shift, []
-                key = rank[(h & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(pairing.BITS) | h
+                key = rank[(h & np.uint64(pairing.COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(pairing.BITS) | h
                 who = []
                 for i, name in enumerate(names.tolist()):
                     if size[i] and name not in seen:
@@ -217,20 +176,10 @@ def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[Dat
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    profile = cut(docs.mapInArrow(_profile(n), _PROFILE))
-    counts = frequency_table(profile)
-    rank = np.minimum(32 * np.log2(1.0 + counts), 1023).astype(np.uint16)
-    table = spark.sparkContext.broadcast((rank, pairing.grid_of(counts)))
-
-    members = profile.filter("doc_id is not null").select("doc_id", "n", "d1", "d2").distinct()
-    classes = cut(members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m")))
-    twice = classes.groupBy("d1").count().filter("count > 1").limit(CLASHES + 1).toArrow()
-    if len(twice) > CLASHES:
-        raise ValueError("too many sets with equal 64-bit digests")
-    clash = np.asarray(twice["d1"], np.int64)
-    name = F.when(F.col("d1").isin(clash.tolist()), F.col("d2")).otherwise(F.col("d1")) if len(clash) else F.col("d1")
-    members, classes = members.select("doc_id", name.alias("name")), classes.select(name.alias("name"), "rep", "n", "m")
-    clash = clash.view(np.uint64)
+    profile = cut(docs.mapInArrow(_profile(n), pairing.PROFILE))
+    counts = pairing.frequency_table(profile)
+    table = spark.sparkContext.broadcast((pairing.rank_of(counts), pairing.grid_of(counts)))
+    members, classes, clash = pairing.classes(profile)
 
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = pairing.parts_for(int(total * (1 - threshold)), split_partitions(spark))
@@ -240,7 +189,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[Dat
         return na >= threshold * nb - 1e-9
 
     def test(na, nb, pa_, pb):
-        return np.minimum(na - pa_, nb - pb) >= share * (na + nb) - 1e-9
+        return np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= share * (na + nb) - 1e-9
 
     rows = docs.select("text").mapInArrow(_prefixes(n, threshold, table, parts, clash), pairing.ROW)
     pairs = cut(pairing.candidates(rows, parts, reach, test))
@@ -249,6 +198,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[Dat
 
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"w_{x}"), F.col("m").alias(f"m_{x}")), x)
+    pairs = cut(pairs.filter(f"met + ceil({threshold} * greatest(w_a, w_b) - 1e-9) - 1 >= {share} * (w_a + w_b) - 1e-9").drop("met"))
     pairs = cut(pairing.blocks(pairs))
     wanted = pairs.select(F.col("rep_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("rep_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", F.explode("keys").alias("key"))

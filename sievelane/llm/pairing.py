@@ -16,14 +16,16 @@ so chance matches stay rare at any size; they cost a comparison and never a pair
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat
+from .common import cut, flat
 from .textkit import mix64
 
 #: Rows that one partition should hold, rows that a task packs at a time, and sets a hash may have.
@@ -33,10 +35,81 @@ BLOCK_WEIGHT = 1 << 21
 #: Candidate pairs that a task holds before it packs them.
 HELD_PAIRS = 1 << 22
 BITS = 54
+#: Counters of the frequency table (4 bytes each), and how many of them one shuffled row holds.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: Names that two classes of the corpus may claim; 64 bits give about one at 5 billion classes.
+CLASHES = 100_000
 ROW = "part int, blob binary"
+PROFILE = "doc_id long, n int, d1 long, d2 long, chunk int, lane int, counts binary"
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def profile_rows(ids: np.ndarray, size: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int32())
+    columns = [pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), none, none, pa.nulls(len(ids), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"])
+
+
+class Counter:
+    """Counts of a task's hashes by their low bits, as extra rows of its profile."""
+
+    def __init__(self):
+        self.table = np.zeros(COUNTERS, np.uint64)
+
+    def add(self, h: np.ndarray) -> None:
+        self.table += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.table.any():
+            k, task = COUNTERS // CHUNK, TaskContext.get()
+            blank, size, lane = pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), np.full(k, (task.partitionId() if task else 0) % 256)
+            counts = [zlib.compress(c.tobytes(), 1) for c in np.minimum(self.table, 2**32 - 1).astype(np.uint32).reshape(k, CHUNK)]  # a few bits each
+            yield pa.RecordBatch.from_arrays([blank, size, blank, blank, pa.array(range(k), pa.int32()), pa.array(lane, pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "n", "d1", "d2", "chunk", "lane", "counts"])
+
+
+def _add_chunks(width: int):
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, lane, c in zip(flat(batch, "chunk").to_pylist(), flat(batch, "lane").to_pylist(), flat(batch, "counts")):
+                at = k, lane % width
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32).astype(np.uint64)
+        if total:
+            sums = [zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1) for c in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([x for _, x in total], pa.int32()), pa.array(sums, pa.binary())], names=["chunk", "lane", "counts"])
+
+    return run
+
+
+def frequency_table(profile: DataFrame) -> np.ndarray:
+    """Occurrences of hashes by their low bits, over all documents; added up in a tree."""
+    chunks = profile.filter("chunk is not null").select("chunk", "lane", "counts")
+    for width in (16, 1):
+        chunks = chunks.repartition("chunk", F.expr(f"lane % {width}")).mapInArrow(_add_chunks(width), "chunk int, lane int, counts binary")
+    out = np.zeros(COUNTERS, np.uint32)
+    for r in chunks.collect():  # COUNTERS counters, whatever the corpus
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+    return out
+
+
+def rank_of(counts: np.ndarray) -> np.ndarray:
+    """The order of hashes, rare ones first, in 10 bits."""
+    return np.minimum(32 * np.log2(1.0 + counts), 1023).astype(np.uint16)
+
+
+def classes(profile: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Members (``doc_id, name``, once each), classes of equal digests (``name, rep, n, m``: smallest member,
+    size, number of members) and the first halves of digests that don't name their class."""
+    members = profile.filter("doc_id is not null").select("doc_id", "n", "d1", "d2").distinct()
+    found = cut(members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m")))
+    twice = found.groupBy("d1").count().filter("count > 1").limit(CLASHES + 1).toArrow()
+    if len(twice) > CLASHES:
+        raise ValueError("too many sets with equal 64-bit digests")
+    clash = np.asarray(twice["d1"], np.int64)
+    name = F.when(F.col("d1").isin(clash.tolist()), F.col("d2")).otherwise(F.col("d1")) if len(clash) else F.col("d1")
+    return members.select("doc_id", name.alias("name")), found.select(name.alias("name"), "rep", "n", "m"), clash.view(np.uint64)
+
+
 def parts_for(rows: int, least: int) -> int:
     return max(1, least, -(-rows // PART_ROWS))
 
@@ -122,13 +195,13 @@ def _unpack(batches: Iterator[pa.RecordBatch]):
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
-def _pack_pairs(a: np.ndarray, b: np.ndarray, parts: int) -> pa.RecordBatch:
+def _pack_pairs(a: np.ndarray, b: np.ndarray, met: np.ndarray, parts: int) -> pa.RecordBatch:
     a, b = np.minimum(a, b), np.maximum(a, b)
     part = ((mix64(a ^ mix64(b)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((b, a, part))
-    part, a, b = part[order], a[order], b[order]
+    part, a, b, met = part[order], a[order], b[order], met[order]
     at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    blobs = [a[x:y].tobytes() + b[x:y].tobytes() for x, y in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
+    blobs = [np.array([y - x], "<u8").tobytes() + a[x:y].tobytes() + b[x:y].tobytes() + _planes(met[x:y]) for x, y in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
@@ -156,8 +229,8 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
         held, many = [], 0
 
         def out():
-            p = np.unique(np.concatenate(held))
-            return _pack_pairs(names[p >> 32], names[p & 0xFFFFFFFF], parts)
+            p, met = np.unique(np.concatenate(held), return_counts=True)
+            return _pack_pairs(names[p >> 32], names[p & 0xFFFFFFFF], met, parts)
 
         i, step = np.flatnonzero(np.concatenate((h[1:] == h[:-1], [False]))), 1
         while len(i):
@@ -180,20 +253,25 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]):
-    got = [np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for v in flat(batch, "blob")]
+    got = []
+    for batch in batches:
+        for v in flat(batch, "blob"):
+            raw = v.as_buffer().to_pybytes()
+            k = int(np.frombuffer(raw, "<u8", 1)[0])
+            got.append((np.frombuffer(raw, "<u8", k, 8), np.frombuffer(raw, "<u8", k, 8 + 8 * k), _numbers(raw[8 + 16 * k :], k)))
     if got:
-        a, b = np.concatenate(got, 1)
+        a, b, met = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(a[fresh].view(np.int64)), pa.array(b[fresh].view(np.int64))], names=["a", "b"])
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.add.reduceat(met[order].astype(np.int64), at))], names=["a", "b", "met"])
 
 
 def candidates(rows: DataFrame, parts: int, reach, test: Test) -> DataFrame:
-    """Distinct pairs of names (a, b) of sets that share a hash and pass ``test(n, m, pos, pos)``.
-    ``reach(n, m)`` for n <= m must stay false as m grows."""
+    """Distinct pairs of names (a, b) of sets that share a hash and pass ``test(n, m, pos, pos)``, with the
+    number ``met`` of such hashes. ``reach(n, m)`` for n <= m must stay false as m grows."""
     met = rows.repartitionById(parts, F.col("part")).mapInArrow(_match(reach, test, parts), ROW)
-    return met.repartitionById(parts, F.col("part")).mapInArrow(_distinct, "a long, b long")
+    return met.repartitionById(parts, F.col("part")).mapInArrow(_distinct, "a long, b long, met long")
 
 
 def blocks(pairs: DataFrame) -> DataFrame:
@@ -202,11 +280,11 @@ def blocks(pairs: DataFrame) -> DataFrame:
     cut into a grid by the weights of their two sides."""
     low = pairs.groupBy("b").agg(F.min("a").alias("block"))
     pairs = pairs.join(low, "b")
-    cut = None
+    weight = None
     for x in "ab":
         side = pairs.select("block", x, f"w_{x}").distinct().groupBy("block").agg(F.expr(f"cast(ceil(sum(w_{x}) / {float(BLOCK_WEIGHT)}) as int)").alias(f"cut_{x}"))
-        cut = side if cut is None else cut.join(side, "block")
-    heavy = cut.filter("cut_a > 1 or cut_b > 1")
+        weight = side if weight is None else weight.join(side, "block")
+    heavy = weight.filter("cut_a > 1 or cut_b > 1")
     pairs = pairs.join(heavy, "block", "left")
     return pairs.withColumn("key", F.expr("concat_ws(':', block, pmod(xxhash64(a), coalesce(cut_a, 1)), pmod(xxhash64(b), coalesce(cut_b, 1)))")).drop("block", "cut_a", "cut_b")
 

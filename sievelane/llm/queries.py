@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fingerprint, langid, lm_score, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
 from .common import documents
@@ -68,6 +69,11 @@ def fingerprint_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.source_overlap(documents(spark, sf_dir))
 
 
+def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set is every document whose id is divisible by 50; it is searched in all documents."""
+    return fingerprint.search(documents(spark, sf_dir), F.expr("doc_id % 50 = 0"))
+
+
 ALL = (
     op1_ngram_jaccard_join,
     ngram_jaccard_pairs,
@@ -82,6 +88,7 @@ ALL = (
     op9_secret_scan,
     op10_document_fingerprints,
     fingerprint_source_overlap,
+    fingerprint_search,
 )
 
 

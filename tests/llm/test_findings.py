@@ -67,10 +67,23 @@ def test_fingerprint_pairs_match_brute_force(spark):
     merged = {int(r.key): r.sketch for r in fingerprint.merge(fingerprint.sketch(df, k=k).filter("doc_id is not null"), "doc_id", k).collect()}
     assert merged == sketches
     want = {(a, b): e for a in sketches for b in sketches if a < b and max(e := estimates(sketches[a], sketches[b], k)) >= fingerprint.LEAST}
-    got = [((r.doc_a, r.doc_b), (r.resemblance, r.containment_a, r.containment_b)) for r in fingerprint.pairs(df, k=k).collect()]
-    assert len(got) == len(dict(got)) and dict(got).keys() == want.keys() and all(np.allclose(want[p], e) for p, e in got)
-    both = fingerprint.overlaps(df, k=k)
-    assert both.filter("partner is null").count() == len(rows) and both.filter("partner is not null").count() == len(want)
+    got = [((r.query, r.doc_id), (r.resemblance, r.containment, r.contained)) for r in fingerprint.search(df, F.lit(True), k=k).collect()]
+    turned = {(b, a): (r, ba, ab) for (a, b), (r, ab, ba) in want.items()}
+    assert len(got) == len(dict(got)) and dict(got).keys() == want.keys() | turned.keys() and all(np.allclose((want | turned)[p], e) for p, e in got)
+    some = {(r.query, r.doc_id) for r in fingerprint.search(df, F.expr("doc_id % 5 = 0"), k=k).collect()}
+    assert some == {p for p in want | turned if p[0] % 5 == 0}
+    links, best, held, of = dict.fromkeys(sketches, 0), {}, {}, {d: d for d in sketches}
+    for p in [want, turned] * len(sketches):
+        for (a, b), (r, _, _) in p.items():
+            if r >= fingerprint.LEAST:
+                of[a] = of[b] = min(of[a], of[b])
+    for (a, b), (r, ab, _) in (want | turned).items():
+        if r >= fingerprint.LEAST:
+            links[a], best[a], held[a] = links[a] + 1, max(best.get(a, 0), r), max(held.get(a, 0), ab)
+    rows_out = fingerprint.overlaps(df, k=k).collect()
+    assert len(rows_out) == len({d for d, _ in rows}) and {r.doc_id: r.sketch for r in rows_out if r.doc_id is not None} == sketches
+    assert {r.doc_id: (r.class_id, r.links) for r in rows_out if r.doc_id is not None} == {d: (of[d], n if sketches[d] else 0) for d, n in links.items()}
+    assert all(np.allclose((r.best, r.contained), (best[r.doc_id], held[r.doc_id])) for r in rows_out if r.links)
     a, b = sketches[0], sketches[3]
     cols = [F.array(*map(F.lit, x)) for x in (a, b)]
     one = spark.range(1).select(fingerprint.resemblance(*cols, k), fingerprint.containment(*cols, k), fingerprint.containment(*cols[::-1], k)).first()
