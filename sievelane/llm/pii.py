@@ -19,6 +19,9 @@ fail every strict test (a card number with a mistyped digit, say); in the next r
 support to their patterns. Candidates of a shape that often fails its checksum are evidence against
 that shape, since a pattern's confidence divides by all its values.
 
+The word before and the word after are looked for within ``CONTEXT`` characters of the candidate. Groups of
+digits that only spaces separate, as in a table of numbers, are read from the left, see ``pieces``.
+
 ``extract(docs)`` returns ``doc_id, start, length, kind, score, origin`` (``seed`` or
 ``induced``), ``value_md5``; positions count characters. Values aren't repeated in the result.
 
@@ -41,7 +44,7 @@ from .common import cut, flat
 
 ROUNDS, DOUBT, TRUST, ACCEPT = 3, 2.0, 0.6, 0.6
 CANDIDATE = re.compile(
-    r"(?P<at>[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*)"
+    r"(?P<at>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+)"
     r"|(?<![\w.@+\-])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
     r"|(?<![\w.@+\-])(?P<code>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}\d{6,9})(?!\w)"
     r"|(?<![\w.@\-])(?P<num>\+?\(?\d(?:[ .()/\-]{0,2}\d){5,})(?!\w)"
@@ -49,7 +52,8 @@ CANDIDATE = re.compile(
 #: Java's filter before Python: a text without these has no candidate.
 HINT = "@|[0-9]"
 MIN_DIGITS, WORD = 7, re.compile(r"[^\W\d_]+")
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+#: Digits of the longest identifier, groups of digits that one may have, and characters of context.
+MAX_DIGITS, GROUPS, CONTEXT = 19, 6, 40
 PHONE = re.compile(r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}")
 IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
@@ -60,10 +64,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def email(value: str) -> bool:
+    local, _, domain = value.rpartition("@")
+    labels = domain.split(".")
+    return local[:1].isalnum() and "@" not in local and len(labels) > 1 and all(x and x[0] != "-" and x[-1] != "-" for x in labels) and len(labels[-1]) > 1 and labels[-1].isalpha()
+
+
 def seed(value: str) -> str | None:
     """The kind of a value that passes a strict test."""
-    if EMAIL.fullmatch(value):
-        return "email"
+    if "@" in value:
+        return "email" if email(value) else None
     digits = re.sub(r"\D", "", value)
     if IPV4.fullmatch(value):
         return "ip" if all(int(x) < 256 for x in value.split(".")) else None
@@ -87,23 +97,49 @@ def shape(value: str) -> str:
 
 
 def pieces(value: str) -> Iterator[tuple[int, str]]:
-    """(offset, part): identifiers that only a space separates are split where one of them is a seed."""
-    if seed(value) is None:
-        for at in (i for i, c in enumerate(value) if c == " "):
-            left, right = value[:at].rstrip(), value[at + 1 :]
-            if seed(left) or seed(right):
-                yield from pieces(left)
-                yield from ((at + 1 + o, v) for o, v in pieces(right))
-                return
-    yield 0, value
+    """(offset, part) of identifiers that only a space separates. Groups are read from the left: the
+    longest run of at most ``GROUPS`` that is a seed is a part; groups between two seeds stay together
+    unless they have more digits than any identifier. Linear in the number of groups."""
+    groups, at = [], 0
+    for g in value.split(" "):
+        if g:
+            groups.append((at, g))
+        at += len(g) + 1
+    held: list[tuple[int, str]] = []
+
+    def rest() -> Iterator[tuple[int, str]]:
+        if held:
+            end = held[-1][0] + len(held[-1][1])
+            if end - held[0][0] <= 4 * MAX_DIGITS and sum(c.isdigit() for _, g in held for c in g) <= MAX_DIGITS:
+                yield held[0][0], value[held[0][0] : end]
+            else:
+                yield from held
+            held.clear()
+
+    i = 0
+    while i < len(groups):
+        lo = groups[i][0]
+        for j in range(min(i + GROUPS, len(groups)), i, -1):
+            part = value[lo : groups[j - 1][0] + len(groups[j - 1][1])]
+            if len(part) <= 4 * MAX_DIGITS and seed(part) is not None:
+                yield from rest()
+                yield lo, part
+                i = j
+                break
+        else:
+            held.append(groups[i])
+            i += 1
+    yield from rest()
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str | None, list[str]]]:
     """(start, value, seed kind, patterns) of one text."""
     for m in CANDIDATE.finditer(text):
         whole, c = m.group().rstrip(".-_ ("), "num" if m.lastgroup == "ip" else m.lastgroup
-        before = WORD.findall(text[max(0, m.start() - 40) : m.start()])
-        after = WORD.match(text[m.start() + len(whole) : m.start() + len(whole) + 40].lstrip(" ,;:"))
+        start = m.end() - len(m.group().lstrip("._%+-")) if c == "at" else m.start()
+        whole = whole[start - m.start() :]
+        before = WORD.findall(text[max(0, start - CONTEXT) : start])
+        after = WORD.match(text[start + len(whole) : start + len(whole) + CONTEXT].lstrip(" ,;:"))
         for at, value in pieces(whole) if c == "num" else ((0, whole),):
             if c == "num" and sum(x.isdigit() for x in value) < MIN_DIGITS and not IPV4.fullmatch(value):
                 continue
@@ -112,7 +148,7 @@ def candidates(text: str) -> Iterator[tuple[int, str, str | None, list[str]]]:
                 pats.append(f"before {before[-1].lower()} {c}")
             if after:
                 pats.append(f"after {after.group().lower()} {c}")
-            yield m.start() + at, value, seed(value), pats
+            yield start + at, value, seed(value), pats
 
 
 def _find(batches: Iterator[pa.RecordBatch]):
