@@ -1,16 +1,20 @@
 """Operator 9: secret scans by token efficiency.
 
 Random strings are long under a subword vocabulary that was fitted to language: a hexadecimal key
-takes a token for about 1.7 characters, base64 for 1.3, prose for 2.4 and more. ``scan(docs, vocabulary)`` encodes each
-run of at least ``MIN_LENGTH`` characters of ``A-Za-z0-9+/_-=`` with a tiktoken vocabulary and
-reports it if it has at most ``MAX_RATIO`` characters per token, both letters and digits or mixed
-case inside words, and is no known digest or identifier:
+takes a token for about 1.7 characters, base64 for 1.3, prose for 2.4 and more. ``scan(docs, vocabulary)``
+encodes each run of at least ``MIN_LENGTH`` characters of ``A-Za-z0-9+/_-=`` with a tiktoken vocabulary. A
+run is a candidate if it has at most ``MAX_RATIO`` characters per token (``LETTERS_RATIO`` if it is letters of
+one case and nothing says that it is a secret, since rare words come near; ``DIGITS_RATIO`` if it has no
+letters, as numbers have tokens of three digits). Candidates are reported unless they are known digests
+or identifiers:
 
 * a run with the length of a digest (32, 40, 56, 64, 96 or 128 hexadecimal digits) that isn't the
-  value of a secret (``token =``, ``api_key:``, ``password=`` ...), whether it follows ``sha1:``,
-  ``commit`` and so on or stands alone; also runs after a label of digests in any encoding, and
-  the digests in ``known``;
-* UUIDs, numbers, dates and paths (words of letters joined by ``/ _ -``).
+  value of a secret (``token =``, ``api_key:``, ``password=`` ... in the ``BEFORE`` characters before it), whether it
+  follows ``sha1:``, ``commit`` and so on or stands alone; also runs after a label of digests in any
+  encoding, and the digests in ``known``;
+* UUIDs, and numbers and dates that aren't the value of a secret;
+* names made of words: a run cut at separators and changes of case whose letters, a third of it at
+  least, have more than ``WORD_RATIO`` characters per token; and runs of which a quarter are separators.
 
 ``scan`` returns ``doc_id, start, length, ratio, kind, secret_md5`` (positions in characters; the
 secret itself isn't repeated). ``redact(docs)`` returns the input rows and columns in which the
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import flat
 
 MIN_LENGTH, MAX_RATIO, MASK = 20, 2.2, "[SECRET]"
+LETTERS_RATIO, DIGITS_RATIO, WORD_RATIO, BEFORE = 1.9, 2.9, 2.4, 48
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
 #: Java's form of RUN, for the filter before Python.
 RUN_SQL = "[A-Za-z0-9+/_\\-]{%d}" % MIN_LENGTH
@@ -45,7 +50,7 @@ ASSIGNED = re.compile(r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_\- ]?key|acce
 DIGEST_LABEL = re.compile(r"(?i)(?:md5|sha-?\d+|sha\d*sum|checksum|digest|commit|revision|etag|fingerprint|integrity|blake\w*|crc\d*)[\"']?\s*[:=\-]?\s*[\"']?$")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-PLAIN = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]*)(?:[+/_\-=](?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]*))*")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _HEX_SIZES = {32, 40, 56, 64, 96, 128}
 
@@ -60,19 +65,29 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("sievelane", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def made_of_words(run: str, enc) -> bool:
+    if 4 * sum(c in "+/_-=" for c in run) >= len(run):
+        return True
+    words = WORDS.findall(run)
+    letters = sum(map(len, words))
+    return 3 * letters >= len(run) and letters > WORD_RATIO * sum(map(len, enc.encode_ordinary_batch(words, num_threads=1)))
+
+
 def findings(text: str, enc, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, str, float, str]]:
     """(start, run, ratio, kind) of the secrets of one text."""
     for m in RUN.finditer(text):
         run = m.group()
-        if run in known or run.lower() in known or UUID.fullmatch(run) or PLAIN.fullmatch(run):
+        ratio = len(run) / len(enc.encode_ordinary(run))
+        letters = WORDS.search(run) is not None
+        if ratio > (MAX_RATIO if letters else DIGITS_RATIO):
             continue
-        before = text[max(0, m.start() - 48) : m.start()]
+        before = text[max(0, m.start() - BEFORE) : m.start()]
         assigned = ASSIGNED.search(before) is not None
-        if DIGEST_LABEL.search(before) or (not assigned and len(run) in _HEX_SIZES and DIGEST.fullmatch(run)):
+        if not assigned and (not letters or ratio > LETTERS_RATIO and WORDS.fullmatch(run)):
             continue
-        ratio = len(run) / len(enc.encode_ordinary(run))
-        if ratio <= MAX_RATIO:
-            yield m.start(), run, ratio, "assigned" if assigned else "bare"
+        if run in known or run.lower() in known or UUID.fullmatch(run) or DIGEST_LABEL.search(before) or (not assigned and len(run) in _HEX_SIZES and DIGEST.fullmatch(run)) or made_of_words(run, enc):
+            continue
+        yield m.start(), run, ratio, "assigned" if assigned else "bare"
 
 
 def _scan(vocabulary: str, known: frozenset[str]):
