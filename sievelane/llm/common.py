@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ SLICE_BYTES = 1 << 20
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``. Only where the setting
-    is absent (tests on one machine) is a temporary folder set as the checkpoint folder."""
+    is absent and Spark runs on one machine (tests) is a temporary folder set as the checkpoint folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d
+    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievelane-"))
     return spark.sparkContext.getCheckpointDir()
@@ -33,9 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, checkpointed phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished, checkpointed phases. The first collection only
+    finds plans that Python has just let go of; their shuffles are free in the one after."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:

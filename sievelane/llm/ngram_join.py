@@ -9,10 +9,10 @@ Documents are similar if their sets of word ``n``-grams have a Jaccard similarit
 2. *Prefix filter*: shingles are put in one global order, rare ones first; two sets that reach the
    threshold share one of the first ``size - ceil(t size) + 1``. Only these are shuffled, packed
    (see ``pairing``). Tasks send each class once, whatever the number of its copies.
-3. *Length* and *positional filter*: sets a and b need an overlap of ``t / (1 + t) (|a| + |b|)``; a match
-   whose positions leave less is dropped. Matches of a pair are then counted: the set whose prefix
-   ends first has no shingle of its prefix in the other's suffix, so the overlap is at most that
-   count plus its suffix.
+3. *Length* and *positional filter*: sets a and b need an overlap o of ``t / (1 + t) (|a| + |b|)``, so at
+   most ``o - DEEP`` of their common shingles lie after the first ``size - o + DEEP`` of either. Only matches
+   before are counted, and a pair needs ``DEEP`` of them (o, if that is less). Prefixes are longer
+   by ``DEEP - 1`` for it.
 4. Each distinct pair is looked at once. Pairs are grouped in blocks by the smallest partner, so that
    a group of copies ships every text once rather than once per pair; heavy blocks are cut.
 5. *Suffix filter*: histograms of ranges of the hash space bound the overlap that two sets can have
@@ -49,7 +49,7 @@ from .common import cut, flat, join_classes, release, slices, split_partitions
 from .components import components
 from .textkit import distinct_shingles, set_digest
 
-NGRAM, THRESHOLD = 3, 0.55
+NGRAM, THRESHOLD, DEEP = 3, 0.55, 8
 #: Cells of the suffix filter's histogram, and pairs that are compared at a time.
 CELLS, PAIRS_AT_ONCE = 128, 20_000
 #: Members of a class that one row of the expansion holds; two such rows give at most PART^2 pairs.
@@ -101,7 +101,7 @@ def _prefixes(n: int, threshold: float, table, parts: int, clash: np.ndarray):
                         seen.add(name)
                         who.append(i)
                         own = np.sort(key[first[i] : first[i + 1]])
-                        keep.append(own[: size[i] - max(1, int(np.ceil(threshold * size[i] - 1e-9))) + 1])
+                        keep.append(own[: size[i] - max(1, int(np.ceil(threshold * size[i] - 1e-9))) + DEEP])
                 if who:
                     long = np.array([len(k) for k in keep])
                     pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
@@ -133,15 +133,18 @@ def _overlap(values: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray
 
 def _verify(n: int, threshold: float, clash: np.ndarray, links: bool):
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        names, values, sizes = [], [], []
-        for batch in texts.select(["text"]).combine_chunks().to_batches():
+        names, values, sizes, members = [], [], [], []
+        for batch in texts.combine_chunks().to_batches():
             text = flat(batch, "text")
             for lo, hi in slices(text):
                 name, value, first = _named(text.slice(lo, hi - lo), n, clash)
-                names.append(name)
-                values.append(value)
-                sizes.append(np.diff(first))
-        names, values, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, values, sizes))
+                size = np.diff(first)
+                own = name == np.asarray(flat(batch, "name").slice(lo, hi - lo)).view(np.uint64)  # not another text of that document
+                names.append(name[own])
+                values.append(value[np.repeat(own, size)])
+                sizes.append(size[own])
+                members.append(np.asarray(flat(batch, "m").slice(lo, hi - lo))[own])
+        names, values, sizes, members = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, values, sizes, members))
         first = np.concatenate(([0], np.cumsum(sizes)))
         order = np.argsort(names, kind="stable")
         a, b = (order[np.searchsorted(names[order], np.asarray(pairs[x]).view(np.uint64))] for x in "ab")
@@ -160,8 +163,8 @@ def _verify(n: int, threshold: float, clash: np.ndarray, links: bool):
             return pa.table({x: pairs[x].take(pa.array(by)) for x in "ab"} | {"jaccard": jaccard})
         k = len(names)
         count, best = np.zeros(k, np.int64), np.zeros(k)
-        for x, y, m in ((a, b, "m_b"), (b, a, "m_a")):
-            np.add.at(count, x, np.asarray(pairs[m])[by])
+        for x, y in ((a, b), (b, a)):
+            np.add.at(count, x, members[y])
             np.maximum.at(best, x, jaccard)
         root, hit = pairing.roots(a, b, k), np.flatnonzero(count)
         return pa.table({"name": names[hit].view(np.int64), "links": count[hit], "best": best[hit], "root": names[root[hit]].view(np.int64)})
@@ -180,30 +183,26 @@ def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[Dat
     counts = pairing.frequency_table(profile)
     table = spark.sparkContext.broadcast((pairing.rank_of(counts), pairing.grid_of(counts)))
     members, classes, clash = pairing.classes(profile)
-
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = pairing.parts_for(int(total * (1 - threshold)), split_partitions(spark))
-    share = threshold / (1 + threshold)
 
-    def reach(na, nb):
-        return na >= threshold * nb - 1e-9
+    def need(na, nb):
+        return np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
 
-    def test(na, nb, pa_, pb):
-        return np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= share * (na + nb) - 1e-9
+    def test(na, nb, x, y):
+        o = need(na, nb)
+        return np.maximum(x - na, y - nb) < np.minimum(DEEP, o) - o
 
     rows = docs.select("text").mapInArrow(_prefixes(n, threshold, table, parts, clash), pairing.ROW)
-    pairs = cut(pairing.candidates(rows, parts, reach, test))
+    pairs = cut(pairing.candidates(rows, parts, lambda na, nb: na >= threshold * nb - 1e-9, test, lambda met, na, nb: met >= np.minimum(DEEP, need(na, nb))))
     del rows
     release(spark)
 
-    for x in "ab":
-        pairs = pairs.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"w_{x}"), F.col("m").alias(f"m_{x}")), x)
-    pairs = cut(pairs.filter(f"met + ceil({threshold} * greatest(w_a, w_b) - 1e-9) - 1 >= {share} * (w_a + w_b) - 1e-9").drop("met"))
-    pairs = cut(pairing.blocks(pairs))
-    wanted = pairs.select(F.col("rep_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("rep_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", F.explode("keys").alias("key"))
-    pairs = pairs.select("key", "a", "b", "m_a", "m_b")
+    pairs = cut(pairing.blocks(pairs).select("key", "a", "b"))
+    release(spark)
+    texts = pairing.payload(pairs, {"a": classes, "b": classes}, docs, "text")
     found = cut(pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold, clash, links), _LINKS if links else _PAIRS))
+    del texts
     release(spark)
     return members, classes, found
 

@@ -41,6 +41,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 CLASHES = 100_000
 ROW = "part int, blob binary"
 PROFILE = "doc_id long, n int, d1 long, d2 long, chunk int, lane int, counts binary"
+#: Marks the size of a set that is a query.
+ASKED = np.uint32(1 << 31)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -195,42 +197,47 @@ def _unpack(batches: Iterator[pa.RecordBatch]):
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
-def _pack_pairs(a: np.ndarray, b: np.ndarray, met: np.ndarray, parts: int) -> pa.RecordBatch:
-    a, b = np.minimum(a, b), np.maximum(a, b)
+def _pack_pairs(a: np.ndarray, b: np.ndarray, numbers: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """``numbers``: met, size of a, size of b; the smaller name goes first."""
+    turn = a > b
+    met, n, m = numbers
+    a, b, n, m = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, m, n), np.where(turn, n, m)
     part = ((mix64(a ^ mix64(b)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((b, a, part))
-    part, a, b, met = part[order], a[order], b[order], met[order]
+    part, a, b = part[order], a[order], b[order]
+    numbers = [x[order] for x in (met, n, m)]
     at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    blobs = [np.array([y - x], "<u8").tobytes() + a[x:y].tobytes() + b[x:y].tobytes() + _planes(met[x:y]) for x, y in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
+    blobs = [np.array([y - x], "<u8").tobytes() + a[x:y].tobytes() + b[x:y].tobytes() + b"".join(_planes(z[x:y]) for z in numbers) for x, y in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
 Test = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, parts: int):
+def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, parts: int, search: bool):
     def run(batches: Iterator[pa.RecordBatch]):
         got = _unpack(batches)
         if got is None:
             return
         names, sizes, owner, h, pos = got
-        order = np.lexsort((names, sizes))
+        order = np.lexsort((names, sizes & ~ASKED))
         again = np.concatenate(([False], (names[order][1:] == names[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])))
         code = np.empty(len(order), np.int64)
         code[order] = np.cumsum(~again) - 1
-        names, sizes = names[order][~again], sizes[order][~again].astype(np.int64)
+        names, sizes = names[order][~again], sizes[order][~again]
         key = h.astype(np.uint64) << np.uint64(32) | code[owner].astype(np.uint64)
         order = np.argsort(key)
         key, pos = key[order], pos[order]
         fresh = np.concatenate(([True], key[1:] != key[:-1]))  # copies of a set, from several tasks
         key, pos = key[fresh], pos[fresh]
         h, c = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
-        side, pos, n = pos >> np.uint32(30), (pos & np.uint32((1 << 30) - 1)).astype(np.int64), sizes[c]
+        side, pos, n, asked = pos >> np.uint32(30), (pos & np.uint32((1 << 30) - 1)).astype(np.int64), (sizes & ~ASKED).astype(np.int64)[c], (sizes >= ASKED)[c]
         held, many = [], 0
 
         def out():
             p, met = np.unique(np.concatenate(held), return_counts=True)
-            return _pack_pairs(names[p >> 32], names[p & 0xFFFFFFFF], met, parts)
+            a, b = p >> 32, p & 0xFFFFFFFF
+            return _pack_pairs(names[a], names[b], [met, sizes[a], sizes[b]], parts)
 
         i, step = np.flatnonzero(np.concatenate((h[1:] == h[:-1], [False]))), 1
         while len(i):
@@ -239,6 +246,8 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
             i = i[reach(n[i], n[i + step])]
             j = i + step
             good = test(n[i], n[j], pos[i], pos[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            if search:
+                good &= asked[i] != asked[j]
             if good.any():
                 held.append(c[i[good]] << 32 | c[j[good]])
                 many += len(held[-1])
@@ -252,30 +261,51 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]):
-    got = []
-    for batch in batches:
-        for v in flat(batch, "blob"):
-            raw = v.as_buffer().to_pybytes()
-            k = int(np.frombuffer(raw, "<u8", 1)[0])
-            got.append((np.frombuffer(raw, "<u8", k, 8), np.frombuffer(raw, "<u8", k, 8 + 8 * k), _numbers(raw[8 + 16 * k :], k)))
-    if got:
-        a, b, met = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.add.reduceat(met[order].astype(np.int64), at))], names=["a", "b", "met"])
+def _distinct(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]):
+        got = []
+        for batch in batches:
+            for v in flat(batch, "blob"):
+                raw = v.as_buffer().to_pybytes()
+                k = int(np.frombuffer(raw, "<u8", 1)[0])
+                got.append((np.frombuffer(raw, "<u8", k, 8), np.frombuffer(raw, "<u8", k, 8 + 8 * k), *(_numbers(raw[8 + (16 + 4 * x) * k : 8 + (20 + 4 * x) * k], k) for x in range(3))))
+        if got:
+            a, b, met, n, m = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            met, n, m = np.add.reduceat(met[order].astype(np.int64), at), n[order][at], m[order][at]
+            size = [(x & ~ASKED).astype(np.int64) for x in (n, m)]
+            good = keep(met, *size)
+            columns = [a[at].view(np.int64), b[at].view(np.int64), *size, n >= ASKED]
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in columns], names=["a", "b", "w_a", "w_b", "asked"])
+
+    return run
+
+
+def candidates(rows: DataFrame, parts: int, reach, test: Test, keep, search: bool = False) -> DataFrame:
+    """Distinct pairs of names (a, b) and sizes (w_a, w_b) of sets that share hashes. ``test(n, m, pos, pos)``
+    says which matches count, ``keep(met, n, m)`` which pairs stay, given the number of their matches;
+    ``reach(n, m)`` for n <= m must stay false as m grows. With ``search``, one of the two is marked as a
+    query (``ASKED`` in its size); ``asked`` says whether it is a."""
+    met = rows.repartitionById(parts, F.col("part")).mapInArrow(_match(reach, test, parts, search), ROW)
+    return met.repartitionById(parts, F.col("part")).mapInArrow(_distinct(keep), "a long, b long, w_a long, w_b long, asked boolean")
 
 
-def candidates(rows: DataFrame, parts: int, reach, test: Test) -> DataFrame:
-    """Distinct pairs of names (a, b) of sets that share a hash and pass ``test(n, m, pos, pos)``, with the
-    number ``met`` of such hashes. ``reach(n, m)`` for n <= m must stay false as m grows."""
-    met = rows.repartitionById(parts, F.col("part")).mapInArrow(_match(reach, test, parts), ROW)
-    return met.repartitionById(parts, F.col("part")).mapInArrow(_distinct, "a long, b long, met long")
+def payload(pairs: DataFrame, sides: dict[str, DataFrame], docs: DataFrame, column: str) -> DataFrame:
+    """``column`` of the smallest member of each class that a block compares, with the block's ``key``, the
+    ``name`` and the number ``m`` of members. ``sides`` has the classes of a and of b."""
+    wanted = None
+    for x, classes in sides.items():
+        one = pairs.select(F.col(x).alias("name"), "key").distinct().join(classes.select("name", "rep", "m"), "name")
+        one = one.select(F.col("rep").alias("doc_id"), F.struct("key", "name", "m", F.lit(x).alias("side")).alias("want"))
+        wanted = one if wanted is None else wanted.unionByName(one)
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set("want").alias("wants"))
+    return docs.join(wanted.hint("shuffle_hash"), "doc_id").select(column, F.explode("wants").alias("want")).select("want.*", column)
 
 
 def blocks(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, w_a, w_b, ...) with a ``key``: pairs of a block are compared in one task, which
+    """``pairs`` (a, b, w_a, w_b) with a ``key``: pairs of a block are compared in one task, which
     gets each set once. A block is named by the smallest partner of b; blocks that are too heavy are
     cut into a grid by the weights of their two sides."""
     low = pairs.groupBy("b").agg(F.min("a").alias("block"))
