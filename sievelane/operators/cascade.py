@@ -6,6 +6,7 @@ import math
 from itertools import combinations, product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +38,36 @@ def calibrate(aligned: DataFrame, tier: str) -> tuple[list[float], list[float]]:
     return [float(x) for x in m.boundaries.toArray()], [min(1.0, max(0.0, float(x))) for x in m.predictions.toArray()]
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, in constant memory."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    total = d
+    for m in range(1, 1_000_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or tiny)
+            c = 1 + term / c or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * total
+
+
 def upper_bound(k: int, n: int, confidence: float = 0.95) -> float:
     """Exact (Clopper-Pearson) upper bound of a binomial share: the p with P(X <= k) = 1 - confidence."""
     if n <= 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-
-    def below(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     lo, hi = k / n, 1.0
     for _ in range(200):
         mid = (lo + hi) / 2
         if mid in (lo, hi):
             break
-        lo, hi = (mid, hi) if below(mid) > 1 - confidence else (lo, mid)
+        lo, hi = (mid, hi) if _beta_share(n - k, k + 1, 1 - mid) > 1 - confidence else (lo, mid)
     return hi
 
 
@@ -71,18 +85,21 @@ def grid_cells(aligned: DataFrame, tiers: list[str], grid: int, knots: dict[str,
     reached = lambda c: F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= c))
     for t in tiers:
         c = F.col(f"conf_{t}").cast("double")
-        if knots is not None:
-            c = _interpolate(c, *knots[t])
-        cols.append(reached(c).alias(f"k_{t}"))
+        aligned = aligned.withColumn(f"conf_{t}", c if knots is None else _interpolate(c, *knots[t]))
+        cols.append(reached(F.col(f"conf_{t}")).alias(f"k_{t}"))
     right = [(F.col("gold") == F.col(f"predicted_{t}")).cast("int").alias(f"ok_{t}") for t in tiers]
     return aligned.select(*cols, *right).groupBy(*[f"k_{t}" for t in tiers], *[f"ok_{t}" for t in tiers]).agg(F.count("*").alias("n"))
 
 
 def _interpolate(c, xs: list[float], ys: list[float]):
-    knots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in zip(xs, ys)])
-    low = F.try_element_at(F.filter(knots, lambda k: k["x"] <= c), F.lit(-1))
-    high = F.get(F.filter(knots, lambda k: k["x"] > c), F.lit(0))
-    return F.when(low.isNull(), F.lit(ys[0])).when(high.isNull(), F.lit(ys[-1])).otherwise(low["y"] + (high["y"] - low["y"]) * (c - low["x"]) / (high["x"] - low["x"]))
+    """The calibrated confidence. Knots travel with the function, not as literals of the plan."""
+    x, y = np.array(xs), np.array(ys)
+
+    @F.pandas_udf("double")
+    def at(values: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(values.to_numpy(float), x, y))
+
+    return at(c)
 
 
 def simulate_grid(cells: DataFrame, arch: tuple[str, ...], grid: int) -> DataFrame:
@@ -109,8 +126,9 @@ def simulate_grid(cells: DataFrame, arch: tuple[str, ...], grid: int) -> DataFra
 def compose(tiers: dict[str, DataFrame], costs: dict[str, float], latency: dict[str, float] | None = None, grid: int = 41, max_terminal: float = 1.0, max_error: float | None = None, confidence: float = 0.95, calibrated: bool = True) -> list[dict]:
     """The best and the certified operating point of each architecture, ordered by accuracy
     (descending), cost, latency and enumeration. Best: highest accuracy, first in the order of thresholds, among
-    points with a terminal share up to ``max_terminal`` (single tiers always pass). Certified:
-    highest accuracy whose upper error bound is at most ``max_error``. Latency charges a tier in
+    points with a terminal share up to ``max_terminal`` (single tiers always pass). Certified, of several tiers:
+    highest accuracy of the points at which the upper bound of the local risk (the share of errors among
+    rows that are answered before the last tier) is at most ``max_error``. Latency charges a tier in
     full if it is first, else by the share answered at or before it."""
     names = list(tiers)
     aligned = align(tiers)
@@ -124,10 +142,11 @@ def compose(tiers: dict[str, DataFrame], costs: dict[str, float], latency: dict[
     for order, arch in enumerate(architectures(names)):
         best = cert = None
         for combo in product(range(grid), repeat=len(arch) - 1):
-            free, right, by = np.ones(len(cells), bool), 0, {}
+            free, right, kept, by = np.ones(len(cells), bool), 0, 0, {}
             for t, i in zip(arch, [*combo, -1]):
                 here = free & (cells[f"k_{t}"].to_numpy() > i)
                 by[t] = int(count[here].sum())
+                kept = right  # right answers before the last tier
                 right += int((count[here] * cells[f"ok_{t}"].to_numpy()[here]).sum())
                 free &= ~here
             acc = right / n if n else 0.0
@@ -140,8 +159,9 @@ def compose(tiers: dict[str, DataFrame], costs: dict[str, float], latency: dict[
             row |= {"latency_ms": ms, "order": order}
             if (len(arch) == 1 or share[arch[-1]] <= max_terminal) and (best is None or acc > best["accuracy"]):
                 best = row
-            if max_error is not None and (cert is None or acc > cert["accuracy"]):
-                bound = upper_bound(n - right, n, confidence)
+            local = n - by[arch[-1]]
+            if max_error is not None and len(arch) > 1 and local and (cert is None or acc > cert["accuracy"]):
+                bound = upper_bound(local - kept, local, confidence)
                 if bound <= max_error:
                     cert = row | {"error_bound": bound}
         if best is not None:

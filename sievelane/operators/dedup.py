@@ -6,12 +6,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from .common import cut, use_checkpoints
 
 HASHES, BANDS, SHINGLE = 64, 16, 4
 _MASK = (1 << 64) - 1
@@ -37,61 +39,124 @@ def _mixer(x: int) -> int:
 COEFFICIENTS = np.array([(_mixer(2 * i) | 1, _mixer(2 * i + 1)) for i in range(HASHES)], np.uint64)
 
 
-def signature(text: str) -> np.ndarray | None:
-    """64 unsigned minima of affine maps of the blake2b hashes of a text's 4-grams."""
-    grams = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))} if text else set()
-    if not grams:
+class Grams:
+    """Distinct character 4-grams of texts as 64-bit hashes. A gram is hashed by blake2b once for each
+    worker; texts are cut into grams by numpy, several at a time."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Hashes of the distinct grams of each text; of all of it where it is shorter than a gram."""
+        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        ends, size = np.cumsum([0, *map(len, points)]), np.array([max(1, len(p) - SHINGLE + 1) if len(p) else 0 for p in points])
+        if not ends[-1]:
+            return [np.zeros(0, np.uint64) for _ in texts]
+        flat = np.concatenate([*points, np.zeros(SHINGLE, "<u4")])
+        owner = np.repeat(np.arange(len(texts)), size)
+        at = ends[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        cells = flat[at[:, None] + np.arange(SHINGLE)]
+        cells[(at[:, None] + np.arange(SHINGLE)) >= ends[1:][owner][:, None]] = 0x110000  # no character
+        wide = cells.astype(np.uint64)
+        high, low = wide[:, 0] << np.uint64(21) | wide[:, 1], wide[:, 2] << np.uint64(21) | wide[:, 3]
+        order = np.lexsort((low, high))
+        new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(new) - 1
+        hashes = np.array([self._hash(c) for c in cells[order[new]]], np.uint64)
+        pairs = np.unique(owner * np.int64(len(hashes)) + code)
+        return np.split(hashes[pairs % len(hashes)], np.searchsorted(pairs // len(hashes), np.arange(1, len(texts))))
+
+    def _hash(self, cell: np.ndarray) -> int:
+        key = cell.tobytes()
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > 1 << 20:
+                self.known.clear()
+            gram = cell[cell < 0x110000].tobytes().decode("utf-32-le", "surrogatepass")
+            got = self.known[key] = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return got
+
+
+def signature(h: np.ndarray) -> np.ndarray | None:
+    """64 unsigned minima of affine maps of the hashes of a text's grams."""
+    if not len(h):
         return None
-    h = np.frombuffer(b"".join(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest() for g in grams), ">u8").astype(np.uint64)
     out = np.full(HASHES, _MASK, np.uint64)
     for at in range(0, len(h), 4096):  # bounded memory for very long texts
         out = np.minimum(out, (COEFFICIENTS[:, :1] * h[None, at : at + 4096] + COEFFICIENTS[:, 1:]).min(1))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def band_keys(texts: pd.Series) -> pd.Series:
-    rows = HASHES // BANDS
-    out = []
-    for t in texts:
-        s = signature(t) if t else None
-        out.append(None if s is None else [s[b * rows : (b + 1) * rows].tobytes().hex() for b in range(BANDS)])
-    return pd.Series(out)
-
-
-def _gram_hashes(t):
-    return F.transform(tx.shingles(t, SHINGLE), lambda g: F.xxhash64(g))
+#: Characters of text that are cut into grams at a time.
+AT_ONCE = 1 << 18
 
 
-def jaccard(a, b):
-    n = F.size(F.array_intersect(a, b))
-    return n / (F.size(a) + F.size(b) - n)
+def _groups(texts: list[str]):
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _bands(batches):
+    """(p, band, key) of texts."""
+    grams, rows = Grams(), HASHES // BANDS
+    for batch in batches:
+        ids = iter(batch.column(0).to_pylist())
+        for group in _groups(batch.column(1).to_pylist()):
+            out = [(p, b, s[b * rows : (b + 1) * rows].tobytes()) for p, h in zip(ids, grams(group)) if (s := signature(h)) is not None for b in range(BANDS)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["p", "band", "key"])
+
+
+def _gram_hashes(batches):
+    """(p, g): sorted 64-bit hashes of the distinct grams of texts."""
+    grams = Grams()
+    for batch in batches:
+        ids = iter(batch.column(0).to_pylist())
+        for group in _groups(batch.column(1).to_pylist()):
+            got = [np.sort(h) for h in grams(group)]
+            off = np.cumsum([0, *map(len, got)])
+            yield pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in group], pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))], names=["p", "g"])
+
+
+@F.pandas_udf(T.DoubleType())
+def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of sets of distinct hashes."""
+    both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+    return pd.Series([n / (len(x) + len(y) - n) if len(x) + len(y) else 0.0 for n, x, y in zip(both, a, b)])
 
 
 def lsh_edges(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(first, band, a, b, jaccard) of each shared bucket of each pair of distinct normalised
     texts that reaches the threshold. ``first`` is the bucket's smallest position. Pairs are
-    verified once, on 64-bit hashes of their 4-grams."""
-    base = exact_dedup(df.select(F.col(pos).alias("p"), F.col(text).alias("t")), "p", "t").select("p", tx.normalize_text(F.col("t")).alias("t")).filter("length(t) > 0")
-    keyed = base.select("p", F.posexplode(band_keys("t")).alias("band", "key"))
-    keyed = keyed.withColumn("first", F.min("p").over(W.partitionBy("band", "key"))).withColumn("m", F.count("*").over(W.partitionBy("band", "key"))).filter("m > 1")
+    verified once, on 64-bit hashes of their 4-grams, which only texts with a candidate get. The result is
+    checkpointed, since callers use it more than once. Positions are integers."""
+    base = exact_dedup(df.select(F.col(pos).cast("long").alias("p"), F.col(text).alias("t")), "p", "t").select("p", tx.normalize_text(F.col("t")).alias("t")).filter("length(t) > 0")
+    base = cut(base)
+    keyed = base.mapInArrow(_bands, "p long, band int, key binary")
+    buckets = keyed.groupBy("band", "key").agg(F.min("p").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    keyed = cut(keyed.join(buckets, ["band", "key"]))
     a, b = (keyed.select("band", "key", "first", F.col("p").alias(x)) for x in "ab")
-    shared = a.join(b, ["band", "key", "first"]).filter("a < b").select("first", "band", "a", "b")
-    grams = base.select("p", _gram_hashes(F.col("t")).alias("g"))
+    shared = cut(a.join(b, ["band", "key", "first"]).filter("a < b").select("first", "band", "a", "b"))
     pairs = shared.select("a", "b").distinct()
+    wanted = keyed.select("p").distinct()
+    grams = cut(base.join(wanted, "p", "left_semi").mapInArrow(_gram_hashes, "p long, g array<long>"))
     ga, gb = (grams.select(F.col("p").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
-    good = pairs.join(ga, "a").join(gb, "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return shared.join(good, ["a", "b"]).select("first", "band", "a", "b", "jaccard")
+    good = pairs.join(ga, "a").join(gb, "b").select("a", "b", jaccard("ga", "gb").alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return cut(shared.join(good, ["a", "b"]).select("first", "band", "a", "b", "jaccard"))
 
 
 def label_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): smallest-neighbour labels with pointer jumping until nothing changes.
     The labels are checkpointed in each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelane-"))
+    use_checkpoints(edges.sparkSession)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     labels = e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")).checkpoint()

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import norm_label
+from .common import global_rank
+
+#: Blocks of which a running accuracy takes the sum before it adds up groups.
+GROUP = 10_000
 
 
 def equal(gold: Column, pred: Column, rule: str = "normalised") -> Column:
@@ -97,12 +101,18 @@ def quantiles(df: DataFrame, value: str, qs: tuple[float, ...] = (0.25, 0.5, 0.7
 
 
 def running_accuracy(df: DataFrame, pos: str, correct: Column, every: int = 50) -> DataFrame:
-    """Accuracy so far at each ``every``-th row. Rows are counted in blocks first, so the global
-    window runs over one row for each block."""
-    w = W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)
-    ranked = df.withColumn("_r", F.row_number().over(W.orderBy(pos)))
-    blocks = ranked.groupBy(F.floor((F.col("_r") - 1) / every).alias("block")).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("c"))
-    return blocks.select((F.sum("n").over(w)).alias("n_seen"), (F.sum("c").over(w) / F.sum("n").over(w)).alias("accuracy"))
+    """Accuracy so far at each ``every``-th row. Rows are ranked by range partitions and counted in
+    blocks; sums of blocks so far are sums within groups of ``GROUP`` blocks and of the groups before, so
+    a window over all rows runs over one row for each group."""
+    ranked = global_rank(df.withColumn("_c", correct.cast("long")).select(pos, "_c"), pos, name="_r")
+    blocks = ranked.groupBy(F.floor((F.col("_r") - 1) / every).alias("block")).agg(F.count("*").alias("n"), F.sum("_c").alias("c")).withColumn("g", F.floor(F.col("block") / GROUP))
+    whole = W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)
+    groups = blocks.groupBy("g").agg(F.sum("n").alias("gn"), F.sum("c").alias("gc"))
+    groups = groups.select("g", *[F.coalesce(F.sum(x).over(whole), F.lit(0)).alias(x) for x in ("gn", "gc")])
+    own = W.partitionBy("g").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
+    n, c = (F.sum(x).over(own) for x in "nc")
+    out = blocks.select("g", n.alias("n"), c.alias("c")).join(groups, "g")
+    return out.select((F.col("n") + F.col("gn")).alias("n_seen"), ((F.col("c") + F.col("gc")) / (F.col("n") + F.col("gn"))).alias("accuracy"))
 
 
 def uncertainty_queue(df: DataFrame, conf: str, key: str, k: int = 100) -> DataFrame:

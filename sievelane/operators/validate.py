@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.records import detect_format
 
@@ -21,8 +20,8 @@ def parse(rows: DataFrame) -> DataFrame:
     rows = rows.filter(F.trim("value") != "")
     ok = F.expr("try_parse_json(value) is not null")
     out = rows.withColumn("json", ok).withColumn("format", F.when(ok, detect_format(F.col("value"))))
-    w = W.partitionBy("split")
-    out = out.withColumn("locked", F.min_by("format", F.when(F.col("format").isNotNull(), F.col("line"))).over(w))
+    locked = out.filter("format is not null").groupBy("split").agg(F.min_by("format", "line").alias("locked")).withColumnRenamed("split", "_split")
+    out = out.join(locked, out["split"].eqNullSafe(locked["_split"]), "left").drop("_split")
     raw = F.get_json_object("value", "$.messages")
     return out.withColumn("raw", raw).withColumn("m", F.from_json("raw", _MESSAGES)).withColumn("tools", F.get_json_object("value", "$.tools"))
 

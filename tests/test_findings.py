@@ -1,6 +1,14 @@
 """Whole jobs where a query of the catalogue once did less."""
 
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from sievelane import catalogue
+from sievelane.operators import cascade, common, dedup, metrics, split
 
 
 def test_gate_reads_whole_texts(spark, tmp_path):
@@ -8,3 +16,52 @@ def test_gate_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(5 * i, t) for i, t in enumerate(texts[:1])] + [(i, t) for i, t in enumerate(texts[1:], 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_ungrounded, r.ratio > 0.99) for r in catalogue.queries()["grounding_gate_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: (2, True), 1: (0, True), 2: (0, True)}
+
+
+def test_upper_bound_matches_sums_and_scales():
+    def below(k, n, p):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    for k, n in ((0, 1), (1, 10), (3, 200), (40, 90), (89, 90)):
+        assert abs(below(k, n, cascade.upper_bound(k, n)) - 0.05) < 1e-9
+    assert 0.1 < cascade.upper_bound(10**8, 10**9) < 0.10002
+
+
+def test_certified_point_bounds_the_local_risk(spark):
+    # tier a answers 600 rows with confidence 0.9, all right, and 400 with 0.1, all wrong; b is always right
+    a = spark.range(1000).select("id", F.lit("g").alias("gold"), F.when(F.col("id") < 600, "g").otherwise("x").alias("predicted"), F.when(F.col("id") < 600, 0.9).otherwise(0.1).alias("confidence"))
+    b = a.withColumn("predicted", F.lit("g")).withColumn("confidence", F.lit(1.0))
+    rows = cascade.compose({"a": a, "b": b}, {"a": 0, "b": 1}, grid=5, max_error=0.05, calibrated=False)
+    by = {r["architecture"]: r for r in rows}
+    assert by["a->b"]["accuracy"] == 1.0 and by["a->b"]["certified"]["error_bound"] == cascade.upper_bound(0, 600)
+    assert by["a"]["certified"] is None and by["b"]["certified"] is None
+    assert cascade.compose({"a": a, "b": b}, {"a": 0, "b": 1}, grid=5, max_error=0.004, calibrated=False)[0]["certified"] is None
+
+
+def test_split_warnings_and_gates(spark):
+    df = spark.createDataFrame([(i, "big" if i < 12 else "tiny") for i in range(14)], "id long, label string")
+    got = {(r.rule, r.subject): r.n for r in split.split_warnings(split.split_dataset(df, "id", "label"), "label").collect()}
+    assert got[("small_class", "tiny")] == 2 and any(r == "class_not_in_split" and x.startswith("tiny/") for r, x in got)
+    one = split.split_warnings(split.split_dataset(df, "id", "label", (1.0, 0.0, 0.0)), "label").collect()
+    assert {r.subject for r in one if r.rule == "empty_split"} == {"valid", "test"}
+    with pytest.raises(ValueError):
+        split.split_gates(spark.range(20), "id")
+    with pytest.raises(ValueError):
+        split.split_gates(df.limit(3), "label")
+
+
+def test_ranks_and_running_accuracy(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "GROUP", 2)
+    df = spark.range(230).select((F.col("id") * 37 % 1009).alias("pos"), (F.col("id") % 3 == 0).alias("ok"))
+    order = sorted((r.pos, r.ok) for r in df.collect())
+    assert [r.rank for r in common.global_rank(df, "pos").orderBy("pos").collect()] == list(range(1, 231))
+    want = {n: sum(ok for _, ok in order[:n]) / n for n in (50, 100, 150, 200, 230)}
+    assert {r.n_seen: r.accuracy for r in metrics.running_accuracy(df, "pos", F.col("ok")).collect()} == pytest.approx(want)
+
+
+def test_grams_are_those_of_the_text():
+    texts = ["", "abc", "abcd", "aaaaaaaa", "né €𝄞 xy né €𝄞", "the same the same"]
+    for t, got in zip(texts, dedup.Grams()(texts)):
+        want = {t[i : i + 4] for i in range(max(1, len(t) - 3))} if t else set()
+        assert sorted(got.tolist()) == sorted(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in want)
+    assert dedup.signature(np.zeros(0, np.uint64)) is None and len(dedup.signature(np.arange(9, dtype=np.uint64))) == 64
