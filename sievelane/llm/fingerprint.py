@@ -10,14 +10,14 @@ smallest distinct values of their union. From sketches alone follow estimates of
 * containment |A and B| / |A|: share of A's values, up to the smaller of the two largest values
   of full sketches, that B has.
 
-``overlaps(docs)`` gives one row for each document: its sketch, the estimated number of shingles,
-``class_id`` (smallest ``doc_id`` of the connected group of documents that resemble each other by at
-least ``LEAST``), ``links`` (number of other documents that resemble it), ``best`` (the highest
-resemblance) and ``contained`` (the highest share of it that one of these documents has). Documents
-with equal sketches are one class, which is sent and compared once. Candidates come from a prefix
-join (see ``pairing``): values are put in one order, rare ones first; a pair has ``LEAST`` of the values
-of the longer sketch in common, so it meets ``DEEP`` times among the first
-``size - ceil(LEAST size) + DEEP``, and pairs that meet less often are dropped.
+``overlaps(docs, queries)`` gives one row for each document: its sketch, the estimated number of shingles,
+``class_id`` (the smallest ``doc_id`` with an equal sketch) and ``copies`` (documents with that sketch). For the
+documents that ``queries`` selects it also gives ``links``, the number of other documents that resemble it by
+at least ``LEAST``, ``best``, the highest resemblance to one of them, and ``contained``, the highest share of it
+that one of them has. A class is sent and compared once. Candidates come from a prefix join (see
+``pairing``): values are put in one order, rare ones first; a pair has ``LEAST`` of the values of the longer
+sketch in common, so it meets ``DEEP`` times among the first ``size - ceil(LEAST size) + DEEP``, and pairs that
+meet less often are dropped.
 
 ``search(docs, queries)`` finds, for the documents that ``queries`` selects, all documents of the table with
 a resemblance, or a containment either way, of at least ``LEAST``. One of the two must have a common
@@ -31,7 +31,7 @@ Hashes are shifted by 2^63 into signed integers, which keeps their order in Spar
 Edge cases: null, empty and punctuation-only texts have an empty sketch and 0 shingles; both
 ratios with an empty sketch are 0; texts shorter than ``n`` words have one shingle; the rows of a
 repeated ``doc_id`` are merged into one sketch; rows with a null ``doc_id`` are sketched each and have
-no class and no links; null keys merge into one group; other columns
+no class, no copies and no links; documents without shingles are classes of their own; null keys merge into one group; other columns
 are ignored whatever their names; an empty table gives an empty result.
 """
 
@@ -46,7 +46,6 @@ from pyspark.sql import functions as F
 
 from . import pairing
 from .common import cut, flat, join_classes, release, slices, split_partitions
-from .components import components
 from .textkit import distinct_shingles, mix64, set_digest
 
 NGRAM, K, LEAST, DEEP = 3, 128, 0.5, 16
@@ -177,24 +176,31 @@ def _named(batch: pa.RecordBatch, clash: np.ndarray):
     return (np.where(np.isin(d1, clash), d2, d1) if len(clash) else d1), values, off
 
 
+def _asked_name(names: np.ndarray) -> np.ndarray:
+    return mix64(names + np.uint64(0x51A7))
+
+
 def _prefixes(table, least: float, parts: int, clash: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]):
         rank, grid = table.value
         seen, packer = set(), pairing.Packer(parts, grid)
         for batch in batches:
             names, values, off = _named(batch, clash)
-            h, size, who, keep = _hashes(values), np.diff(off), [], []
+            h, size = _hashes(values), np.diff(off)
             key = rank[(h & np.uint64(pairing.COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(pairing.BITS) | h
-            need = _need(size, least)
-            for i, name in enumerate(names.tolist()):
-                if size[i] and name not in seen:
-                    seen.add(name)
-                    who.append(i)
-                    keep.append(np.sort(key[off[i] : off[i + 1]])[: size[i] - need[i] + min(DEEP, need[i])])
-            if who:
-                long = np.array([len(x) for x in keep])
-                pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-                yield from packer.add(names[who], size[who], np.repeat(np.arange(len(who)), long), np.concatenate(keep) & np.uint64((1 << pairing.BITS) - 1), pos.astype(np.uint32))
+            need, asked = _need(size, least), np.asarray(flat(batch, "asked").fill_null(False))
+            for other, marks in ((names, np.zeros(len(size), bool)), (_asked_name(names), asked)):
+                who, keep = [], []
+                for i, name in enumerate(other.tolist()):
+                    if size[i] and name not in seen and (asked[i] or other is names):
+                        seen.add(name)
+                        who.append(i)
+                        keep.append(np.sort(key[off[i] : off[i + 1]])[: size[i] - need[i] + min(DEEP, need[i])])
+                if who:
+                    long = np.array([len(x) for x in keep])
+                    pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+                    sizes = size[who].astype(np.uint32) | np.where(marks[who], pairing.ASKED, np.uint32(0))
+                    yield from packer.add(other[who], sizes, np.repeat(np.arange(len(who)), long), np.concatenate(keep) & np.uint64((1 << pairing.BITS) - 1), pos.astype(np.uint32))
         yield from packer.flush()
 
     return run
@@ -221,33 +227,40 @@ def _compare(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, k: in
     return resemblance, common / seen(x, nx), common / seen(y, ny)
 
 
-_LINKS = "name long, links long, best double, contained double, root long"
+_LINKS = "name long, links long, best double, contained double"
 
 
 def _verify(k: int, least: float, clash: np.ndarray):
     def run(pairs: pa.Table, sketches: pa.Table) -> pa.Table:
-        got = [_named(batch, clash) for batch in sketches.combine_chunks().to_batches()]
-        names = np.concatenate([g[0] for g in got])
-        size = np.concatenate([np.diff(g[2]) for g in got])
+        names, size, values = np.asarray(sketches["name"]).view(np.uint64), [], []
+        for batch in sketches.combine_chunks().to_batches():
+            v, off = _lists(batch)
+            values.append(v)
+            size.append(np.diff(off))
+        size, members = np.concatenate(size), np.asarray(sketches["m"])
         table = np.full((len(names), k), 2**64 - 1, np.uint64)
-        table[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate([g[1] for g in got])
+        table[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate(values)
         order = np.argsort(names, kind="stable")
         a, b = (order[np.searchsorted(names[order], np.asarray(pairs[x]).view(np.uint64))] for x in "ab")
-        found = [_compare(table[a[s : s + PAIRS_AT_ONCE]], size[a[s : s + PAIRS_AT_ONCE]], table[b[s : s + PAIRS_AT_ONCE]], size[b[s : s + PAIRS_AT_ONCE]], k) for s in range(0, len(a), PAIRS_AT_ONCE)]
-        same, ab, ba = (np.concatenate(x) for x in zip(*found))
-        good = np.flatnonzero(same >= least - 1e-9)
-        a, b = a[good], b[good]
         count, best, held = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names))
-        for x, m, share in ((a, "m_b", ab), (b, "m_a", ba)):
-            np.add.at(count, x, np.asarray(pairs[m])[good])
-            np.maximum.at(best, x, same[good])
-            np.maximum.at(held, x, share[good])
-        root, hit = pairing.roots(a, b, len(names)), np.flatnonzero(count)
-        return pa.table({"name": names[hit].view(np.int64), "links": count[hit], "best": best[hit], "contained": held[hit], "root": names[root[hit]].view(np.int64)})
+        for s in range(0, len(a), PAIRS_AT_ONCE):
+            x, y = a[s : s + PAIRS_AT_ONCE], b[s : s + PAIRS_AT_ONCE]
+            same, share, _ = _compare(table[x], size[x], table[y], size[y], k)
+            good = same >= least - 1e-9
+            np.add.at(count, x[good], members[y[good]])
+            np.maximum.at(best, x[good], same[good])
+            np.maximum.at(held, x[good], share[good])
+        hit = np.flatnonzero(count)
+        return pa.table({"name": names[hit].view(np.int64), "links": count[hit], "best": best[hit], "contained": held[hit]})
 
     return run
 
 
+def _asked_column(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([flat(batch, "name"), pa.array(_asked_name(np.asarray(flat(batch, "name")).view(np.uint64)).view(np.int64))], names=["name", "asked_name"])
+
+
 def by_document(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
     """``doc_id, sketch`` of each document; rows that share a ``doc_id`` are merged. Sketches are made again
     where they are needed, which is cheaper than to store them."""
@@ -260,8 +273,8 @@ def by_document(docs: DataFrame, n: int = NGRAM, k: int = K) -> DataFrame:
     return sketch(docs.join(again, "doc_id", "left_anti"), n, k).unionByName(cut(merged))
 
 
-def _linked(each: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members, classes (see ``pairing.classes``) and the links of classes."""
+def _linked(each: DataFrame, queries: Column, k: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, classes (see ``pairing.classes``) and the links of classes of queries."""
     spark = each.sparkSession
     profile = cut(each.mapInArrow(_profile, pairing.PROFILE))
     counts = pairing.frequency_table(profile)
@@ -269,44 +282,48 @@ def _linked(each: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame
     members, classes, clash = pairing.classes(profile)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = pairing.parts_for(int(total * (1 - least)), split_partitions(spark))
-    rows = each.select("sketch").mapInArrow(_prefixes(table, least, parts, clash), pairing.ROW)
+    rows = each.select("sketch", queries.alias("asked")).mapInArrow(_prefixes(table, least, parts, clash), pairing.ROW)
 
     def test(n, m, x, y):
         return np.minimum(x, y) + np.minimum(n - x, m - y) >= _need(np.maximum(n, m), least)
 
-    pairs = cut(pairing.candidates(rows, parts, lambda n, m: n >= least * m - 1e-9, test))
+    def keep(met, n, m):
+        n, m, o = _need(n, least), _need(m, least), _need(np.maximum(n, m), least)
+        return met + np.maximum(n - np.minimum(DEEP, n), m - np.minimum(DEEP, m)) >= o
+
+    pairs = pairing.candidates(rows, parts, lambda n, m: n >= least * m - 1e-9, test, keep, search=True)
+    turned = [F.when(F.col("asked"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("w_a", "w_b"), ("w_b", "w_a"))]
+    pairs = cut(pairs.select(*turned))
     del rows
     release(spark)
-    for x in "ab":
-        pairs = pairs.join(classes.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"w_{x}"), F.col("m").alias(f"m_{x}")), x)
-    need = lambda n: f"ceil({least} * {n} - 1e-9)"
-    outside = lambda n: f"({need(n)} - least({DEEP}, {need(n)}))"
-    pairs = cut(pairs.filter(f"met + greatest({outside('w_a')}, {outside('w_b')}) >= {need('greatest(w_a, w_b)')}").drop("met"))
-    pairs = cut(pairing.blocks(pairs))
-    wanted = pairs.select(F.col("rep_a").alias("doc_id"), "key").unionByName(pairs.select(F.col("rep_b").alias("doc_id"), "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    sketches = each.join(wanted.hint("shuffle_hash"), "doc_id").select("sketch", F.explode("keys").alias("key"))
-    pairs = pairs.select("key", "a", "b", "m_a", "m_b")
-    found = cut(pairs.groupBy("key").cogroup(sketches.groupBy("key")).applyInArrow(_verify(k, least, clash), _LINKS))
+    asked = members.filter(queries).groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    both = cut(asked.join(asked.select("name").mapInArrow(_asked_column, "name long, asked_name long"), "name"))
+    itself = both.select(F.col("asked_name").alias("a"), F.col("name").alias("b"))
+    pairs = cut(pairing.blocks(pairs.join(itself, ["a", "b"], "left_anti")).select("key", "a", "b"))
+    release(spark)
+    sketches = pairing.payload(pairs, {"a": both.select(F.col("asked_name").alias("name"), "rep", "m"), "b": classes}, each, "sketch")
+    found = pairs.groupBy("key").cogroup(sketches.groupBy("key")).applyInArrow(_verify(k, least, clash), _LINKS)
+    per = found.groupBy("name").agg(F.sum("links").alias("links"), F.max("best").alias("best"), F.max("contained").alias("contained"))
+    found = cut(both.join(per.withColumnRenamed("name", "asked_name"), "asked_name", "left").select("name", "links", "best", "contained"))
+    del sketches, per
     release(spark)
     return members, classes, found
 
 
-def overlaps(docs: DataFrame, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
-    """One row for each document: ``doc_id, distinct_shingles, sketch, class_id, links, best, contained``;
-    see the module text. Without links, ``best`` and ``contained`` are null."""
+def overlaps(docs: DataFrame, queries: Column, n: int = NGRAM, k: int = K, least: float = LEAST) -> DataFrame:
+    """One row for each document: ``doc_id, distinct_shingles, sketch, class_id, copies, links, best,
+    contained``; see the module text. The last three are null for documents that ``queries`` (a condition
+    on ``doc_id``) doesn't select, ``best`` and ``contained`` also for those without links."""
     each = by_document(docs, n, k)
-    members, classes, found = _linked(each, k, least)
-    per = found.groupBy("name").agg(F.sum("links").alias("links"), F.max("best").alias("best"), F.max("contained").alias("contained"))
-    linked = components(found.select("name", "root"), "name", "root").withColumnsRenamed({"node": "name", "component": "group"})
-    whole = classes.select("name", "rep", "m").join(per, "name", "left").join(linked, "name", "left").withColumn("group", F.coalesce("group", "name"))
-    low = whole.groupBy("group").agg(F.min("rep").alias("class_id"))
+    members, classes, found = _linked(each, queries, k, least)
     top = [F.when(F.col("m") > 1, 1.0).otherwise(F.col(c)).alias(c) for c in ("best", "contained")]
-    whole = cut(whole.join(low, "group").select("name", "m", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), *top))
-    narrow = cut(join_classes(members, whole, "name").select("doc_id", "class_id", "links", "best", "contained"))
+    whole = cut(classes.join(found, "name", "left").select("name", "m", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), *top))
+    narrow = cut(join_classes(members, whole, "name").select("doc_id", "class_id", F.col("m").alias("copies"), "links", "best", "contained"))
     release(docs.sparkSession)
-    out = each.join(narrow.hint("shuffle_hash"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    out = each.join(narrow.hint("shuffle_hash"), "doc_id", "left")
+    out = out.select("doc_id", "sketch", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(queries, F.coalesce("links", F.lit(0))).alias("links"), *[F.when(queries, F.col(c)).alias(c) for c in ("best", "contained")])
     out = out.unionByName(sketch(docs.filter("doc_id is null"), n, k), allowMissingColumns=True)
-    return out.select("doc_id", distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"), "sketch", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best", "contained")
+    return out.select("doc_id", distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"), "sketch", "class_id", "copies", "links", "best", "contained")
 
 
 def _values(table, least: float):
