@@ -2,21 +2,22 @@
 
 The model is trained here, in numpy, on subword ids of a public tiktoken vocabulary:
 
-1. *Ids.* One pass turns each text into ids, written to the shared folder. Texts are cut where the
-   vocabulary's own pattern can never join (at white space), each distinct piece is encoded once
-   per worker, and the ids are those that tiktoken gives for the whole text. The pass also counts
-   all ids of the corpus.
+1. *Ids.* One pass turns each whole text into the ids that tiktoken gives, written to the shared folder, and
+   counts all ids of the corpus.
 2. *Vocabulary.* The most frequent ids have input vectors of their own, the others share one. The
-   output is factored, P(id | context) = P(class | context) P(id | class): the most frequent ids
-   are classes of their own, the rest share classes of equal mass, within which the probability is
-   the corpus frequency (add-half). Probabilities of all ids sum to one.
+   output is factored, P(id | context) = P(class | context) P(id | class, class before): the most frequent
+   ids are classes of their own, the rest share classes of equal mass. P(class | context) is the
+   attention model's. P(id | class, class before) comes from counts of all pairs of the corpus, drawn
+   towards the frequency in the class by ``PULL`` pseudo-counts. Probabilities of all ids sum to one.
 3. *Training.* Data-parallel in ``ROUNDS`` rounds: each task takes the current weights, runs Adam
-   over its share of windows, and the weights are averaged in a tree, weighted by tokens. A hash
-   splits the windows of all documents over the rounds; with ``TRAIN_EVERY`` = 1 each window is
-   seen exactly once.
+   over its share of windows, and the weights are averaged in a tree, weighted by tokens. A hash of a
+   window's ids and place in its document splits the windows over the rounds, so each window of each
+   document is seen exactly once. Weights depend on how the table is partitioned, as in any training
+   that averages replicas; what is seen doesn't.
 4. *Scoring.* Windows of ``WINDOW`` inputs overlap by ``WINDOW - STRIDE``: each predicts its last
    ``STRIDE`` tokens and sees the ones before as context, so each token of each document is scored
-   exactly once. Attention is batched over windows, masked for causality and padding.
+   exactly once. Attention is batched over windows, masked for causality and padding. Softmaxes are
+   shifted by their maximum.
 
 ``score(docs)`` returns ``doc_id, n_tokens, log_prob`` (natural log of the whole text),
 ``nll`` (per token) and ``perplexity``.
@@ -30,6 +31,7 @@ untrained model.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -39,81 +41,36 @@ from pyspark.sql import functions as F
 
 from .common import cut, flat, slices
 from .secret_scan import encoder
-from .textkit import _powers, buffers, mix64
-
-DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES = 16, 32, 48, 36, 4096, 96
-ROUNDS, TRAIN_EVERY, BATCH, RATE, SEED = 2, 1, 64, 0.01, 7
-#: Windows scored in one numpy batch, and distinct pieces that a worker remembers at a time.
-SCORE_BATCH, REMEMBER = 48, 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-class Ids:
-    """Ids of Arrow string columns, each distinct piece encoded once."""
-
-    def __init__(self, vocabulary: str):
-        self.enc = encoder(vocabulary)
-        self.clear()
-
-    def clear(self):
-        self.index: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a column and the offsets of its texts."""
-        raw, off = buffers(col)
-        n = len(off) - 1
-        if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if len(self.index) > REMEMBER:
-            self.clear()
-        ws = _SPACE[raw]
-        first = np.zeros(len(raw) + 1, bool)
-        first[off] = True  # a text's first byte, and the end
-        was = np.concatenate(([False], ws[:-1])) & ~first[:-1]
-        will_not = np.concatenate((~ws[1:], [False])) & ~first[1:]
-        plain = np.concatenate(([False], raw[:-1] == 32))
-        begin = first[:-1] | (ws & ~was) | (ws & will_not) | (~ws & was & ~plain)
-        at = np.flatnonzero(begin)
-        length = np.diff(np.append(at, len(raw)))
-        place = np.arange(len(raw)) - np.repeat(at, length)
-        key = mix64(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place], at) + length.astype(np.uint64))
-        uniq, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-        get = self.index.get
-        known = np.fromiter((get(k, -1) for k in uniq.tolist()), np.int64, len(uniq))
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            data = raw.tobytes()
-            lo, hi = at[one[new]].tolist(), (at + length)[one[new]].tolist()
-            got = [np.array(self.enc.encode_ordinary(data[a:b].decode("utf-8", "replace")), np.uint32) for a, b in zip(lo, hi)]
-            base = len(self.start)
-            self.index.update(zip(uniq[new].tolist(), range(base, base + len(new))))
-            known[new] = np.arange(base, base + len(new))
-            sizes = np.array([len(g) for g in got])
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.flat = np.concatenate((self.flat, *got))
-        piece = known[inverse.ravel()]
-        size = self.size[piece]
-        ends = np.cumsum(size)
-        total = int(ends[-1])
-        ids = self.flat[np.repeat(self.start[piece] - (ends - size), size) + np.arange(total)]
-        return ids, np.concatenate(([0], ends))[np.searchsorted(at, off)]
+from .textkit import mix64
+
+DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES, PULL = 16, 32, 48, 36, 4096, 128, 50.0
+ROUNDS, BATCH, RATE, SEED = 3, 96, 0.01, 7
+#: Windows scored in one numpy batch, and bytes of text that are encoded at a time.
+SCORE_BATCH, TEXT_BYTES = 48, 1 << 22
+
+
+def encode(enc, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of texts and the offsets of its texts; a null counts as an empty text."""
+    parts = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in col.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum([0, *map(len, parts)])
+
+
+def _kind(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
 def _tokenize(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        make, counts = Ids(vocabulary), None
+        enc, counts = encoder(vocabulary), None
         for batch in batches:
             text, docs = flat(batch, "text"), flat(batch, "doc_id")
-            for lo, hi in slices(text):
-                ids, off = make(text.slice(lo, hi - lo))
+            for lo, hi in slices(text, TEXT_BYTES):
+                ids, off = encode(enc, text.slice(lo, hi - lo))
                 if counts is None:
-                    counts = np.zeros(make.enc.n_vocab, np.int64)
+                    counts = np.zeros(enc.n_vocab, np.int64)
                 counts += np.bincount(ids, minlength=len(counts))
-                blob = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((off * 4).astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                kind = _kind(len(counts))
+                blob = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((off * kind.itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo).cast(pa.int64()), pc.fill_null(blob, b""), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "ids", "counts"])
         if counts is not None and counts.any():
             at = np.flatnonzero(counts)
@@ -130,7 +87,9 @@ def _unpack(batches):
 
 
 class Vocabulary:
-    """Input slot, output class and log P(id | class) of each id, from counts of the corpus."""
+    """Input slot, output class and log P(id | class) of each id, from counts of the corpus. ``pairs``
+    has the counts of (class before, id), the last row for ids that begin a text; ``joint`` those of
+    (class before, class)."""
 
     def __init__(self, counts: np.ndarray, slots: int = SLOTS, classes: int = CLASSES):
         v = len(counts)
@@ -146,11 +105,33 @@ class Vocabulary:
         if len(rest):
             self.group[rest] = own + np.minimum((mass - 1e-9) / mass[-1] * shared, shared - 1).astype(np.int32)
         w = counts + 0.5
-        self.within = np.log(w / np.bincount(self.group, w, minlength=classes)[self.group]).astype(np.float32)
+        self.within = (w / np.bincount(self.group, w, minlength=classes)[self.group]).astype(np.float32)
         self.slots, self.classes = slots, classes
+        self.pairs, self.joint, self.kind = np.zeros((classes + 1, v), np.float32), np.zeros((classes + 1, classes)), _kind(v)
         share = np.bincount(self.group, w, minlength=classes)
         self.prior = np.log(np.maximum(share, 0.5) / share.sum()).astype(np.float32)
 
+    def learn(self, pairs: np.ndarray) -> None:
+        self.pairs = pairs.astype(np.float32)
+        self.joint = np.stack([np.bincount(self.group, row, minlength=self.classes) for row in pairs])
+
+    def light(self) -> "Vocabulary":
+        """Without the counts of pairs, which training doesn't need."""
+        out = copy(self)
+        out.pairs = out.joint = None
+        return out
+
+    def log_within(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(id | class of id, class before)."""
+        return np.log((self.pairs[before, ids] + PULL * self.within[ids]) / (self.joint[before, self.group[ids]] + PULL))
+
+    def before(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Class of the id before each id; ``classes`` where a text begins."""
+        out = np.empty(len(ids), np.int32)
+        out[1:] = self.group[ids[:-1]]
+        out[off[:-1][np.diff(off) > 0]] = self.classes
+        return out
+
 
 SHAPES = ("emb", "pos", "wq", "wk", "wv", "wo", "w1", "b1", "w2", "wout", "bout")
 
@@ -161,65 +142,101 @@ def initial(voc: Vocabulary, seed: int = SEED) -> dict[str, np.ndarray]:
     return {"emb": g(voc.slots, DIM), "pos": g(WINDOW, DIM) * np.float32(0.3), "wq": g(DIM, DIM), "wk": g(DIM, DIM), "wv": g(DIM, DIM), "wo": g(DIM, DIM), "w1": g(DIM, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": g(HIDDEN, DIM), "wout": g(DIM, voc.classes), "bout": voc.prior.copy()}
 
 
+_OPEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))[WINDOW - STRIDE :]
 _SHUT = np.where(np.tril(np.ones((WINDOW, WINDOW), bool))[WINDOW - STRIDE :], 0, -1e9).astype(np.float32)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray):
-    """Logits of the classes at the last STRIDE positions of windows x (b, WINDOW); ``live`` marks
-    inputs that aren't padding. Attention isn't shifted by its maximum: scores are clipped far
-    below overflow instead, which saves two passes over memory."""
-    b = len(x)
-    h = p["emb"][x] + p["pos"]
+def forward(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, exact: bool = False):
+    """Probabilities of the classes (classes first) at the last STRIDE positions of windows x
+    (b, WINDOW); ``live`` marks inputs that aren't padding. Also what the gradients need. Softmaxes
+    are shifted by the largest value of the batch, which is quick; if a row lies so far below it that
+    its sum vanishes, all is done again with each row's own maximum."""
+    b, kind = len(x), p["emb"].dtype
+    h = p["emb"].take(x.ravel(), 0).reshape(b, WINDOW, DIM)
+    h += p["pos"]
     flat_ = h.reshape(-1, DIM)
     hq = np.ascontiguousarray(h[:, WINDOW - STRIDE :])
-    q = (hq.reshape(-1, DIM) @ (p["wq"] / np.sqrt(DIM).astype(p["wq"].dtype))).reshape(b, STRIDE, DIM)
+    q = (hq.reshape(-1, DIM) @ (p["wq"] / np.sqrt(DIM).astype(kind))).reshape(b, STRIDE, DIM)
     k, v = (flat_ @ p["wk"]).reshape(b, WINDOW, DIM), (flat_ @ p["wv"]).reshape(b, WINDOW, DIM)
-    a = q @ k.transpose(0, 2, 1)
-    a += _SHUT
-    if not live.all():
-        a += np.where(live, 0, -1e9).astype(np.float32)[:, None, :]
-    np.minimum(a, 60, out=a)
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    if exact:
+        a += _SHUT + np.where(live, 0, -1e9).astype(kind)[:, None, :]
+        a -= a.max(2, keepdims=True)
+    else:
+        a -= a.max()
     np.exp(a, out=a)
-    total = a.sum(2, keepdims=True)
-    o = a @ v
-    o /= total
-    g = hq + (o.reshape(-1, DIM) @ p["wo"]).reshape(b, STRIDE, DIM)
-    r = np.maximum(g.reshape(-1, DIM) @ p["w1"] + p["b1"], 0)
-    z = g.reshape(-1, DIM) + r @ p["w2"]
-    logits = (z @ p["wout"] + p["bout"]).reshape(b, STRIDE, -1)
-    return logits, (h, hq, q, k, v, a, total, o, g, r.reshape(b, STRIDE, -1), z.reshape(b, STRIDE, DIM))
+    a *= _OPEN
+    if not live.all():
+        a *= live.astype(kind)[:, None, :]
+    total = a @ np.ones(WINDOW, kind)
+    o = (a @ v).reshape(-1, DIM)
+    o /= np.maximum(total, 1e-30).reshape(-1, 1)
+    g = o @ p["wo"]
+    g += hq.reshape(-1, DIM)
+    r = g @ p["w1"]
+    r += p["b1"]
+    np.maximum(r, 0, out=r)
+    z = r @ p["w2"]
+    z += g
+    prob = p["wout"].T @ z.T
+    prob += p["bout"][:, None]
+    prob -= prob.max(0) if exact else prob.max()
+    np.exp(prob, out=prob)
+    share = np.ones(len(prob), kind) @ prob
+    if not exact and min(total.min(initial=1), share.min(initial=1)) < 1e-25:
+        return forward(p, x, live, True)
+    prob /= share
+    return prob, (h, hq, q, k, v, a, total, o, g, r, z)
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, as running sums over the sorted rows."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at, run = at[order], np.cumsum(rows[order], 0, dtype=np.float64)
+    last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+    run = run[last]
+    run[1:] -= run[:-1].copy()
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[at[last]] = run
+    return out
 
 
 def gradients(p, x, live, y, ask) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over asked targets and its gradients."""
-    logits, (h, hq, q, k, v, a, total, o, g, r, z) = forward(p, x, live)
-    a /= total
-    logits -= logits.max(2, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(2, keepdims=True)
-    n = max(1, int(ask.sum()))
-    b, s = np.nonzero(ask)
-    loss = -float(np.log(np.maximum(logits[b, s, y[b, s]], 1e-30)).sum()) / n
-    logits[b, s, y[b, s]] -= 1
-    d = logits * (ask[:, :, None] / np.float32(n))
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    out = {"wout": two(z).T @ two(d), "bout": two(d).sum(0)}
-    dz = d @ p["wout"].T
-    dr = (dz @ p["w2"].T) * (r > 0)
-    out |= {"w2": two(r).T @ two(dz), "w1": two(g).T @ two(dr), "b1": two(dr).sum(0)}
-    dg = dz + dr @ p["w1"].T
-    do = dg @ p["wo"].T
-    out["wo"] = two(o).T @ two(dg)
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = ds @ k / np.float32(np.sqrt(DIM)), ds.transpose(0, 2, 1) @ q
+    d, (h, hq, q, k, v, a, total, o, g, r, z) = forward(p, x, live)
+    b, n = len(x), max(1, int(ask.sum()))
+    at, y, asked = np.arange(ask.size), y.ravel(), ask.ravel()
+    loss = -float(np.log(np.maximum(d[y, at], 1e-30))[asked].sum()) / n
+    d[y, at] -= 1
+    d *= (asked / np.float32(n)).astype(d.dtype)
+    out = {"wout": z.T @ d.T, "bout": d @ np.ones(len(at), d.dtype)}
+    dz = d.T @ p["wout"].T
+    dr = dz @ p["w2"].T
+    dr *= r > 0
+    out |= {"w2": r.T @ dz, "w1": g.T @ dr, "b1": np.ones(len(at), dr.dtype) @ dr}
+    dg = dr @ p["w1"].T
+    dg += dz
+    out["wo"] = o.T @ dg
+    do = dg @ p["wo"].T  # weights a aren't divided by their totals, so this is
+    do /= np.maximum(total, 1e-30).reshape(-1, 1)
+    back = np.einsum("ij,ij->i", do, o).reshape(b, STRIDE, 1)  # sum of da * a over keys
+    do = do.reshape(b, STRIDE, DIM)
+    dv = np.ascontiguousarray(a.transpose(0, 2, 1)) @ do
+    ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    ds -= back
+    ds *= a
+    dq, dk = ds @ k, np.ascontiguousarray(ds.transpose(0, 2, 1)) @ q
+    dq /= np.sqrt(DIM).astype(dq.dtype)
+    two = lambda m: m.reshape(-1, DIM)
     out |= {"wq": two(hq).T @ two(dq), "wk": two(h).T @ two(dk), "wv": two(h).T @ two(dv)}
-    dh = dk @ p["wk"].T + dv @ p["wv"].T
-    dh[:, WINDOW - STRIDE :] += dg + dq @ p["wq"].T
+    dh = two(dk) @ p["wk"].T
+    dh += two(dv) @ p["wv"].T
+    dg += two(dq) @ p["wq"].T
+    dh = dh.reshape(b, WINDOW, DIM)
+    dh[:, WINDOW - STRIDE :] += dg.reshape(b, STRIDE, DIM)
     out["pos"] = dh.sum(0)
-    at, dh = x.ravel(), two(dh)
-    out["emb"] = np.stack([np.bincount(at, dh[:, i], minlength=len(p["emb"])) for i in range(DIM)], 1)
-    return loss, {n: m.astype(np.float32) for n, m in out.items()}
+    out["emb"] = _sums(x.ravel(), two(dh), len(p["emb"]))
+    return loss, {name: m.astype(p[name].dtype, copy=False) for name, m in out.items()}
 
 
 def windows(ids: np.ndarray, off: np.ndarray, slot: np.ndarray):
@@ -243,22 +260,29 @@ def windows(ids: np.ndarray, off: np.ndarray, slot: np.ndarray):
     return take, begin, left, text
 
 
-def _texts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18):
+def _texts(batches: Iterator[pa.RecordBatch], kind: np.dtype, limit: int = 1 << 18):
     """(doc ids, ids, offsets) of groups of texts that hold about ``limit`` ids."""
     for batch in batches:
         blob, docs = flat(batch, "ids"), flat(batch, "doc_id")
-        for lo, hi in slices(blob, limit * 4):
+        for lo, hi in slices(blob, limit * kind.itemsize):
             part = blob.slice(lo, hi - lo).cast(pa.large_binary())
             o = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-            ids = np.frombuffer(part.buffers()[2], np.uint8)[o[0] : o[-1]].view(np.uint32) if o[-1] > o[0] else np.zeros(0, np.uint32)
-            yield docs.slice(lo, hi - lo), ids, (o - o[0]) // 4
+            ids = np.frombuffer(part.buffers()[2], np.uint8)[o[0] : o[-1]].view(kind).astype(np.uint32) if o[-1] > o[0] else np.zeros(0, np.uint32)
+            yield docs.slice(lo, hi - lo), ids, (o - o[0]) // kind.itemsize
+
 
+def _round(ids: np.ndarray, off: np.ndarray, begin: np.ndarray, left: np.ndarray, text: np.ndarray, rounds: int) -> np.ndarray:
+    """The round of each window, from its first and last ids and its place in its document."""
+    place = (begin - off[text]).astype(np.uint64) << np.uint64(40)
+    ends = ids[begin].astype(np.uint64) << np.uint64(20) ^ ids[begin + left - 1].astype(np.uint64)
+    return (mix64(mix64(ends) + place) % np.uint64(rounds)).astype(np.int64)
 
-def _train(shared, turn: int, every: int):
+
+def _train(shared, turn: int, rounds: int):
     def run(batches):
         p, voc = shared.value
         p = {n: m.copy() for n, m in p.items()}
-        m1, m2 = ({n: np.zeros_like(m) for n, m in p.items()} for _ in range(2))
+        m1, m2, room = ({n: np.zeros_like(m) for n, m in p.items()} for _ in range(3))
         step, tokens, held = 0, 0, []
 
         def learn(x, live, y, ask):
@@ -266,18 +290,27 @@ def _train(shared, turn: int, every: int):
             step += 1
             tokens += int(ask.sum())
             _, grads = gradients(p, x, live, y, ask)
-            rate = RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step)
+            rate = np.float32(RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step))
             for n, g in grads.items():
-                m1[n] += 0.1 * (g - m1[n])
-                m2[n] += 0.02 * (g * g - m2[n])
-                p[n] -= (rate * m1[n] / (np.sqrt(m2[n]) + 1e-8)).astype(np.float32)
-
-        for _, ids, off in _texts(batches):
+                one, two, free = m1[n], m2[n], room[n]
+                one *= np.float32(0.9)
+                two *= np.float32(0.98)
+                np.multiply(g, g, out=free)
+                free *= np.float32(0.02)
+                two += free
+                g *= np.float32(0.1)
+                one += g
+                np.sqrt(two, out=free)
+                free += np.float32(1e-8)
+                np.divide(one, free, out=free)
+                free *= rate
+                p[n] -= free
+
+        for _, ids, off in _texts(batches, voc.kind):
             take, begin, left, text = windows(ids, off, voc.slot)
             if not len(text):
                 continue
-            lead = ids[begin].astype(np.uint64) + (np.uint64(1) << np.uint64(20)) * left.astype(np.uint64) + (np.arange(len(text), dtype=np.uint64) << np.uint64(32))
-            rows = np.flatnonzero(mix64(lead) % np.uint64(every * ROUNDS) == np.uint64(turn))
+            rows = np.flatnonzero(_round(ids, off, begin, left, text, rounds) == turn)
             if not len(rows):
                 continue
             x, live = take(rows)
@@ -312,14 +345,14 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], names=["weights", "tokens"])
 
 
-def train(tokens: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
+def train(tokens: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after ``rounds`` of parallel training and tree averaging."""
     sc = tokens.sparkSession.sparkContext
     p = initial(voc)
     for turn in range(rounds):
-        shared = sc.broadcast((p, voc))
+        shared = sc.broadcast((p, voc.light()))
         kind = "weights binary, tokens double"
-        got = tokens.select("doc_id", "ids").mapInArrow(_train(shared, turn, every), kind)
+        got = tokens.select("doc_id", "ids").mapInArrow(_train(shared, turn, rounds), kind)
         for width in (64, 8, 1):  # a reduction tree: no task and not the driver holds all replicas
             got = got.repartition(width).mapInArrow(_average, kind)
         best = got.collect()
@@ -332,25 +365,74 @@ def train(tokens: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, every: int =
     return p
 
 
+def _pairs(shared):
+    """Counts of (class before, id) of a task: one row for each class before."""
+
+    def run(batches):
+        voc = shared.value
+        v = len(voc.group)
+        total = np.zeros((voc.classes + 1) * v, np.int64)
+        for _, ids, off in _texts(batches, voc.kind):
+            if len(ids):
+                np.add.at(total, voc.before(ids, off).astype(np.int64) * v + ids, 1)
+        rows = [(c, np.flatnonzero(row), row) for c, row in enumerate(total.reshape(-1, v))]
+        yield _sparse([(c, at, row[at]) for c, at, row in rows if len(at)])
+
+    return run
+
+
+def _sparse(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    packed = [at.astype("<u4").tobytes() + n.astype("<u8").tobytes() for _, at, n in rows]
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int32()), pa.array(packed, pa.binary())], names=["before", "counts"])
+
+
+def _dense(rows, v: int) -> dict[int, np.ndarray]:
+    total: dict[int, np.ndarray] = {}
+    for c, raw in rows:
+        k = len(raw) // 12
+        total.setdefault(c, np.zeros(v, np.int64))[np.frombuffer(raw, "<u4", k)] += np.frombuffer(raw, "<u8", k, 4 * k).astype(np.int64)
+    return total
+
+
+def _add_pairs(v: int):
+    def run(batches):
+        total = _dense(((c, n) for batch in batches for c, n in zip(flat(batch, "before").to_pylist(), flat(batch, "counts").to_pylist())), v)
+        yield _sparse([(c, np.flatnonzero(row), row[row > 0]) for c, row in total.items()])
+
+    return run
+
+
+def count_pairs(tokens: DataFrame, voc: Vocabulary) -> np.ndarray:
+    """Counts of (class before, id) over all tokens: (classes + 1) x ids, whatever the corpus."""
+    shared, v, kind = tokens.sparkSession.sparkContext.broadcast(voc.light()), len(voc.group), "before int, counts binary"
+    got = tokens.select("doc_id", "ids").mapInArrow(_pairs(shared), kind)
+    for lanes in (16, 1):
+        got = got.repartition("before", F.expr(f"pmod(xxhash64(counts), {lanes})")).mapInArrow(_add_pairs(v), kind)
+    out = np.zeros((voc.classes + 1, v), np.int64)
+    for c, row in _dense(((r.before, r.counts) for r in got.collect()), v).items():
+        out[c] = row
+    shared.unpersist()
+    return out
+
+
 def _score(shared):
     def run(batches):
         p, voc = shared.value
-        for docs, ids, off in _texts(batches):
+        for docs, ids, off in _texts(batches, voc.kind):
             n = len(off) - 1
             take, begin, left, text = windows(ids, off, voc.slot)
-            total = np.zeros(len(text))
+            total = np.zeros(len(ids))
             for i in range(0, len(text), SCORE_BATCH):
                 rows = np.arange(i, min(i + SCORE_BATCH, len(text)))
                 x, live = take(rows)
-                logits, _ = forward(p, x, live)
-                at = ids[np.minimum(begin[rows, None] + np.arange(STRIDE), len(ids) - 1)]
-                got = np.take_along_axis(logits, voc.group[at][:, :, None], 2)[:, :, 0] + voc.within[at]
-                np.minimum(logits, 80, out=logits)
-                np.exp(logits, out=logits)
-                got -= np.log(logits.sum(2))
-                total[rows] = np.where(np.arange(STRIDE) < left[rows, None], got, 0).sum(1, dtype=np.float64)
-            log_prob = np.bincount(text, total, minlength=n) if len(text) else np.zeros(n)
+                prob, _ = forward(p, x, live)
+                ask = np.flatnonzero(np.arange(STRIDE) < left[rows, None])
+                at = begin[rows[ask // STRIDE]] + ask % STRIDE
+                total[at] = np.log(np.maximum(prob[voc.group[ids[at]], ask], 1e-37))
             size = np.diff(off)
+            if len(ids):
+                total += voc.log_within(ids, voc.before(ids, off))
+            log_prob = np.bincount(np.repeat(np.arange(n), size), total, minlength=n)
             nll = pa.array(-log_prob / np.maximum(size, 1), mask=size == 0)
             yield pa.RecordBatch.from_arrays([docs.cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(log_prob), nll, pc.exp(nll)], names=["doc_id", "n_tokens", "log_prob", "nll", "perplexity"])
 
@@ -367,7 +449,9 @@ def tokenize(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, Vocabulary]:
     return both.filter("counts is null").select("doc_id", "ids"), Vocabulary(counts)
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
     tokens, voc = tokenize(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((train(tokens, voc, rounds, every), voc))
+    weights = train(tokens, voc, rounds)
+    voc.learn(count_pairs(tokens, voc))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, voc))
     return tokens.mapInArrow(_score(shared), "doc_id long, n_tokens long, log_prob double, nll double, perplexity double")
