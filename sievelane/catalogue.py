@@ -523,7 +523,7 @@ def chunk_documents(s, d):
 e AS (SELECT *, CASE WHEN n < 1000 THEN 5 WHEN n < 5000 THEN 3 ELSE 2 END AS epochs, greatest(1, least(4, CASE WHEN n >= 10 THEN n // 10 ELSE 1 END)) AS b FROM m), i AS (SELECT *, greatest(100, epochs * n // b) AS it FROM e)
 SELECT n, CAST(longest AS BIGINT) AS longest, CAST(epochs AS BIGINT) AS epochs, CAST(b AS BIGINT) AS batch_size, CAST(it AS BIGINT) AS iters, CAST(greatest(25, it // 12) AS BIGINT) AS steps_per_eval, CAST(CASE WHEN n < 300 THEN 8 ELSE 16 END AS BIGINT) AS num_layers, CAST(CASE WHEN longest // 4 > 1843 THEN greatest(3072, ceil(longest // 4 / 1024.0) * 1024) ELSE 2048 END AS BIGINT) AS max_seq_length FROM i""")
 def recommend_hparams(s, d):
-    return hparams.recommend_frame(rec.turns_to_chats(table(s, d, "conversations")), rec.record_chars(F.col("messages")))
+    return hparams.recommend_frame(rec.turns_to_chats(table(s, d, "conversations")), rec.message_chars(F.col("messages")))
 
 
 @query()

@@ -6,8 +6,12 @@ tool_calls), ``prompt``, ``completion``, ``text`` and ``tools``; a key that is a
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def turns_to_chats(turns: DataFrame) -> DataFrame:
@@ -22,9 +26,12 @@ def message_text(messages: Column) -> Column:
     return F.array_join(F.transform(said, lambda m: F.coalesce(m["content"], F.lit("None"))), " ")
 
 
-def record_text(row: dict[str, Column]) -> Column:
-    """Text to deduplicate on: messages, else prompt and completion, else text."""
+def record_text(row: dict[str, Column], raw: Column | None = None) -> Column:
+    """Text to deduplicate on: messages, else prompt and completion, else text, else the record ``raw``
+    (one JSON object as a string) with its keys in order."""
     out = row.get("text", F.lit(None).cast("string"))
+    if raw is not None:
+        out = F.coalesce(out, sorted_json(raw))
     if "prompt" in row:
         out = F.when(row["prompt"].isNotNull(), F.concat(row["prompt"], F.lit(" "), F.coalesce(row.get("completion", F.lit("")), F.lit("")))).otherwise(out)
     if "messages" in row:
@@ -32,6 +39,32 @@ def record_text(row: dict[str, Column]) -> Column:
     return out
 
 
+def _dumped(value: object, ordered: bool) -> str:
+    return json.dumps(value, sort_keys=ordered)
+
+
+@F.pandas_udf(T.StringType())
+def sorted_json(values: pd.Series) -> pd.Series:
+    """A JSON value with the keys of all objects in order, spaces after colons and commas, and ASCII
+    escapes. Null stays null, text that isn't JSON stays as it is."""
+    return values.map(lambda v: _redumped(v, True))
+
+
+@F.pandas_udf(T.StringType())
+def spaced_json(values: pd.Series) -> pd.Series:
+    """The same with keys as they come; its length is what sizes of tool calls are counted in."""
+    return values.map(lambda v: _redumped(v, False))
+
+
+def _redumped(value: str | None, ordered: bool) -> str | None:
+    if value is None:
+        return None
+    try:
+        return _dumped(json.loads(value), ordered)
+    except ValueError:
+        return value
+
+
 def detect_format(v: Column) -> Column:
     """completions, tools, chat, text or null from a JSON object (string), by key presence: an
     explicit null counts as present."""
@@ -40,11 +73,66 @@ def detect_format(v: Column) -> Column:
     return F.when(has("prompt") & has("completion"), "completions").when(has("messages") & has("tools"), "tools").when(has("messages"), "chat").when(has("text"), "text")
 
 
-def content_text(messages: Column) -> Column:
-    return F.array_join(F.transform(F.filter(messages, lambda m: m["content"].isNotNull()), lambda m: m["content"]), "\n")
-
-
-def record_chars(messages: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def content_text(values: pd.Series) -> pd.Series:
+    """What a chat template renders of a record (one JSON object as a string): contents that are strings
+    and tool calls, by lines, and the tools of a record that has them; prompt, completion and tools without
+    separators; else the text. Null for what isn't an object."""
+    return values.map(_content)
+
+
+def _content(value: str | None) -> str | None:
+    r = _object(value)
+    if r is None:
+        return None
+    if isinstance(r.get("messages"), list) and not ("prompt" in r and "completion" in r):
+        parts = []
+        for m in (m for m in r["messages"] if isinstance(m, dict)):
+            if isinstance(m.get("content"), str):
+                parts.append(m["content"])
+            if m.get("tool_calls"):
+                parts.append(_dumped(m["tool_calls"], False))
+        return "\n".join([*parts, *([_dumped(r["tools"], False)] if "tools" in r else [])])
+    if "prompt" in r and "completion" in r:
+        return f"{r['prompt']}{r['completion']}" + (_dumped(r["tools"], False) if "tools" in r else "")
+    return str(r.get("text", ""))
+
+
+@F.pandas_udf(T.LongType())
+def record_chars(values: pd.Series) -> pd.Series:
+    """Size of a record (one JSON object as a string) in characters: contents, other contents than strings and
+    tool calls by their JSON, tools; else text, prompt and completion, or the whole line."""
+    return values.map(_chars).astype("Int64")
+
+
+def _chars(line: str | None) -> int | None:
+    r = _object(line)
+    if r is None:
+        return None
+    if isinstance(r.get("messages"), list):
+        total = len(_dumped(r["tools"], False)) if r.get("tools") else 0
+        for m in (m for m in r["messages"] if isinstance(m, dict)):
+            c = m.get("content")
+            total += len(c) if isinstance(c, str) else len(_dumped(c, False)) if c else 0
+            total += len(_dumped(m["tool_calls"], False)) if m.get("tool_calls") else 0
+        return total
+    if isinstance(r.get("text"), str):
+        return len(r["text"])
+    if "prompt" in r and "text" not in r:
+        return len(str(r["prompt"])) + len(str(r.get("completion", "")))
+    return len(line)
+
+
+def _object(value: str | None) -> dict | None:
+    try:
+        r = json.loads(value) if value is not None else None
+    except ValueError:
+        return None
+    return r if isinstance(r, dict) else None
+
+
+def message_chars(messages: Column) -> Column:
+    """Characters of the contents of messages that are already parsed."""
     return F.coalesce(F.aggregate(messages, F.lit(0).cast("long"), lambda s, m: s + F.coalesce(F.length(m["content"]), F.lit(0))), F.lit(0).cast("long"))
 
 

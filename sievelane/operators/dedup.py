@@ -190,6 +190,37 @@ def near_dedup(df: DataFrame, pos: str, text: str = "text", threshold: float = 0
     return exact_dedup(df, pos, text).join(gone.withColumnRenamed("p", pos), pos, "left_anti")
 
 
+def collapse_report(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8, share: float = 0.2, samples: int = 3) -> DataFrame:
+    """One row: rows, survivors of the exact pass, near-duplicates that the second pass drops, whether they are
+    more than ``share`` of the survivors, and up to ``samples`` pairs of beginnings (kept, dropped) as examples."""
+    edges = lsh_edges(df, pos, text, threshold)
+    comp = label_components(edges, "a", "b")
+    gone = cut(edges.join(comp, F.col("a") == F.col("node")).groupBy("component").applyInPandas(lambda g: replay(g), "p long"))
+    pairs = edges.select("first", "band", "a", "b").join(gone.withColumnRenamed("p", "b"), "b", "left_semi").join(gone.withColumnRenamed("p", "a"), "a", "left_anti")
+    some = pairs.orderBy("first", "band", "a", "b").limit(samples)
+    begin = lambda x: df.select(F.col(pos).cast("long").alias(x), F.substring(F.col(text), 1, 80).alias(f"text_{x}"))
+    shown = some.join(begin("a"), "a").join(begin("b"), "b").agg(F.collect_list(F.struct(F.col("text_a").alias("kept"), F.col("text_b").alias("dropped"))).alias("examples"))
+    n = df.agg(F.count("*").alias("n_rows")).crossJoin(exact_dedup(df, pos, text).agg(F.count("*").alias("n_exact"))).crossJoin(gone.agg(F.count("*").alias("n_near")))
+    return n.withColumn("collapsed", F.col("n_near") > F.lit(share) * F.col("n_exact")).crossJoin(shown)
+
+
+def split_overlap(df: DataFrame, split: str, text: str = "text") -> DataFrame:
+    """(split_a, split_b, n): normalised texts that two splits share."""
+    t = df.select(F.col(split).alias("s"), F.sha2(tx.normalize_text(F.col(text)), 256).alias("d")).distinct().groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("ss")).filter("size(ss) > 1")
+    pair = t.select(F.posexplode("ss").alias("i", "split_a"), "ss").select("split_a", F.explode(F.expr("slice(ss, i + 2, size(ss))")).alias("split_b"))
+    return pair.groupBy("split_a", "split_b").agg(F.count("*").alias("n"))
+
+
+def cross_corpus(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """(item_id, doc_id, jaccard): for each item the document with the highest Jaccard similarity of word
+    n-grams (ties: the smallest id); items that share none are left out. What to drop is a filter on it."""
+    d, i = (t.select(F.col(k).alias(k), word_grams(F.col("text"), n).alias("gs")) for t, k in ((docs, "doc_id"), (items, "item_id")))
+    dg, ig = d.select("doc_id", F.size("gs").alias("nd"), F.explode("gs").alias("g")), i.select("item_id", F.size("gs").alias("ni"), F.explode("gs").alias("g"))
+    both = dg.join(ig, "g").groupBy("item_id", "doc_id", "nd", "ni").agg(F.count("*").alias("m"))
+    both = both.withColumn("j", F.col("m") / (F.col("nd") + F.col("ni") - F.col("m")))
+    return both.groupBy("item_id").agg(F.max_by(F.struct("doc_id", F.col("j").alias("jaccard")), F.struct("j", -F.col("doc_id"))).alias("b")).select("item_id", "b.doc_id", "b.jaccard")
+
+
 def families(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(pos, family): similar texts share the smallest position as family."""
     comp = label_components(lsh_edges(df, pos, text, threshold), "a", "b")

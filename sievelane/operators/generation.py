@@ -56,7 +56,10 @@ def flip(key: str, seed: int = 7) -> Column:
 def pair_predictions(a: DataFrame, b: DataFrame, key: str = "id", value: str = "predicted", pos: str = "pos") -> DataFrame:
     """Pairs of the last record of each id in both tables; refuses tables with no id in common."""
     last = lambda d, n: d.groupBy(key).agg(F.max_by(value, pos).alias(n))
-    return last(a, "a").join(last(b, "b"), key)
+    out = last(a, "a").join(last(b, "b"), key)
+    if out.isEmpty():
+        raise ValueError("no id is in both tables")
+    return out
 
 
 def blind(pairs: DataFrame, key: str = "id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +78,15 @@ def tally(v: DataFrame) -> DataFrame:
     return n.crossJoin(n.agg(F.sum("n").alias("t"))).select("result", "n", (100.0 * F.col("n") / F.col("t")).alias("percent"))
 
 
+def tally_report(judged: DataFrame, keys: DataFrame, key: str = "id", enough: int = 150) -> DataFrame:
+    """One row: wins of a and b, ties, pairs that were skipped (no answer, or none of 1, 2, tie) and a note where
+    none or fewer than ``enough`` pairs were judged."""
+    r = judged.join(keys, key).select(unblind(F.col("winner"), F.col("flipped")).alias("result"))
+    n = lambda x: F.coalesce(F.sum(F.col("result").eqNullSafe(x).cast("long")), F.lit(0)).alias(x or "skipped")
+    out = r.agg(n("a"), n("b"), n("tie"), n(None)).withColumn("judged", F.col("a") + F.col("b") + F.col("tie"))
+    return out.withColumn("note", F.when(F.col("judged") == 0, "no pairs judged").when(F.col("judged") < enough, "differences under about 10 points are noise"))
+
+
 def judge_pairs(a: DataFrame, b: DataFrame, judge: Callable[[str, str], str], key: str = "id", seed: int = 7) -> DataFrame:
     """id, result of each pair, judged blind in a seeded order."""
     shown, keys = blind(pair_predictions(a, b, key), key, seed)
@@ -87,11 +99,12 @@ def judge_pairs(a: DataFrame, b: DataFrame, judge: Callable[[str, str], str], ke
     return verdicts(judged, keys, key)
 
 
-def match_label(df: DataFrame, labels: DataFrame, answer: str) -> DataFrame:
+def match_label(df: DataFrame, labels: DataFrame, answer: str, pos: str | None = None) -> DataFrame:
     """Adds ``predicted`` and ``out_of_label_space``: the label that equals the answer's slug, else
-    the only one that begins with it or that it begins with. Of labels with equal slugs the last counts.
+    the only one that begins with it or that it begins with. Of labels with equal slugs the last counts,
+    by ``pos`` of ``labels`` if it is given, else by name.
     Labels are few, so they go to every task as one array."""
-    table = labels.select(F.col(labels.columns[0]).alias("label")).withColumn("slug", slug_label(F.col("label"))).groupBy("slug").agg(F.max("label").alias("label"))
+    table = labels.select(F.col(labels.columns[0]).alias("label"), *([pos] if pos else [])).withColumn("slug", slug_label(F.col("label"))).groupBy("slug").agg((F.max("label") if pos is None else F.max_by("label", pos)).alias("label"))
     one = table.agg(F.array_sort(F.collect_list(F.struct("slug", "label"))).alias("_ls"))
     s = slug_label(strip_think_tags(F.coalesce(F.col(answer), F.lit(""))))
     j = df.withColumn("_s", s).join(F.broadcast(one))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,17 @@ def curation_counts(log: DataFrame, holdout: DataFrame) -> DataFrame:
     return flag.agg(F.countDistinct(F.when(F.col("held").isNull(), F.col("_g"))).alias("curated"), F.sum(F.col("held").isNotNull().cast("long")).alias("excluded"), F.count("*").alias("labelled"))
 
 
+def manifest(log: DataFrame, holdout: DataFrame, number: int, bar: float, tiers: tuple[str, ...] = ("tier1",)) -> DataFrame:
+    """One row that plans a round of retraining: what was curated and left out, how many curated labels are
+    structural (a later tier's answers), the tiers that learn, and the bar of the promotion."""
+    h = holdout.select(F.col(holdout.columns[0]).cast("string").alias("h")).distinct()
+    rows = log.filter("feedback is not null").withColumn("_g", F.coalesce("input_hash", input_hash(F.col("text")))).join(h, F.col("_g") == F.col("h"), "left_anti")
+    last = rows.groupBy("_g").agg(F.max_by("feedback_source", "pos").alias("source"))
+    structural = last.agg(F.coalesce(F.sum(F.col("source").eqNullSafe("structural").cast("long")), F.lit(0)).alias("structural_labels"))
+    counts = curation_counts(log, holdout)
+    return counts.crossJoin(structural).select(F.lit(number).cast("long").alias("round"), F.col("curated").alias("curated_records"), F.coalesce("excluded", F.lit(0)).alias("excluded_holdout"), "structural_labels", F.lit(",".join(tiers)).alias("target_tiers"), F.lit(float(bar)).alias("promotion_bar"))
+
+
 def resume(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose id isn't done; a null id counts as done if a null was done."""
     d = done.select(F.col(key).alias("_done")).distinct()
@@ -112,3 +124,22 @@ def promote_frame(champion: DataFrame, challenger: DataFrame, bar: float, min_ma
 
 def slice_used(ledger: DataFrame, slice_id: str) -> bool:
     return ledger.filter(F.col(ledger.columns[0]) == slice_id).limit(1).count() > 0
+
+
+def adjudicate(champion: DataFrame, challenger: DataFrame, bar: float, slice_id: str, ledger_path: str, versions_path: str, min_margin: float = 0.0) -> dict:
+    """``promote`` over one-row frames (accuracy, version), with its two records: the slice is appended to the
+    ledger whatever the outcome, and a promotion appends a version that names the slice and the score.
+    A slice that the ledger has is refused."""
+    spark = champion.sparkSession
+    try:
+        used = slice_used(spark.read.schema("slice string").parquet(ledger_path), slice_id)
+    except AnalysisException:
+        used = False
+    if used:
+        raise ValueError(f"slice {slice_id} has been used")
+    old, new = champion.first(), challenger.first()
+    out = promote(old.accuracy, new.accuracy, bar, min_margin, slice_id, frozenset(), (old.version, new.version))
+    spark.createDataFrame([(slice_id,)], "slice string").write.mode("append").parquet(ledger_path)
+    if out["decision"] == "PROMOTE":
+        spark.createDataFrame([(out["version"], slice_id, float(new.accuracy))], "version long, promoted_from_slice string, accuracy double").write.mode("append").parquet(versions_path)
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.records import detect_format
 
@@ -70,3 +71,10 @@ def split_report(rows: DataFrame, max_tokens: int = 4096) -> DataFrame:
     out = out.withColumn("errors", F.col("errors") + F.when(none & (F.col("split") == "train"), 1).otherwise(0)).withColumn("warnings", F.col("warnings") + F.when(none & (F.col("split") != "train"), 1).otherwise(0))
     kinds = out.agg(F.size(F.array_distinct(F.transform(F.collect_set("format"), lambda f: F.when(f == "tools", "chat").otherwise(f)))).alias("kinds"))
     return out.crossJoin(kinds).withColumn("passed", (F.col("errors") == 0) & (F.col("kinds") <= 1)).drop("kinds")
+
+
+def issue_samples(rows: DataFrame, max_tokens: int = 4096, warnings: int = 5, errors: int = 20) -> DataFrame:
+    """The first ``warnings`` warnings and ``errors`` errors of each split, by line."""
+    found = issues(rows, max_tokens)
+    first = lambda severity, k: found.filter(F.col("severity") == severity).withColumn("_r", F.row_number().over(W.partitionBy("split").orderBy("line", "rule"))).filter(F.col("_r") <= k).drop("_r")
+    return first("warning", warnings).unionByName(first("error", errors))

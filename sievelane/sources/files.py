@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..operators.common import global_rank
+from ..operators.loop import conform
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,15 +38,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, blank
     return raw.select(F.from_json(checked, schema if isinstance(schema, str) else schema.simpleString()).alias("r")).select("r.*")
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """gold, predicted of a predictions file: ``expected`` where a record has that key, else ``label``. The first
+    bad line fails the query with file, line and kind of error; blank lines are skipped."""
+    lines = read_lines(spark, path).filter(F.trim("value") != "")
+    keys = F.json_object_keys("value")
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    kind = F.when(F.expr("try_parse_json(value) is null"), "JSONDecodeError").when(keys.isNull(), "TypeError: not an object").when(~has("expected") & ~has("label"), "KeyError: label").when(~has("predicted"), "KeyError: predicted")
+    where = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": bad prediction line ("), kind, F.lit(")"))
+    value = F.when(kind.isNotNull(), F.raise_error(where)).otherwise(F.col("value"))
+    get = lambda k: F.get_json_object(F.col("checked"), f"$.{k}")
+    return lines.select(value.alias("checked"), has("expected").alias("first")).select(F.when(F.col("first"), get("expected")).otherwise(get("label")).alias("gold"), get("predicted").alias("predicted"))
+
+
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value of the lines that aren't JSON (blank ones aside)."""
     return read_lines(spark, path).filter((F.trim("value") != "") & F.expr("try_parse_json(value) is null"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """source, text of all .txt and .md files (any case) below a folder; bytes that aren't UTF-8
-    are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(r"\.(txt|md)$"))
+    """source, text of all .txt and .md files (any case) below a folder, or of the one file that ``path``
+    names, whatever its extension; bytes that aren't UTF-8 are replaced."""
+    named = F.col("path").endswith(path.rstrip("/"))  # only a file's own path ends with what was asked for
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(named | F.lower("path").rlike(r"\.(txt|md)$"))
 
     def run(batches):
         for b in batches:
@@ -51,6 +69,18 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "source string, text string")
 
 
+def head(df: DataFrame, pos: str, n: int = 1000) -> DataFrame:
+    """The first ``n`` rows by ``pos``."""
+    return df.orderBy(pos).limit(n)
+
+
+def stride_sample(df: DataFrame, pos: str, k: int = 4) -> DataFrame:
+    """``k`` rows at equal distances: those of rank 0, s, 2 s, ... by ``pos``, with s = max(1, n div k)."""
+    ranked = global_rank(df, pos, name="_rank")
+    n = ranked.count()
+    return ranked.filter((F.col("_rank") - 1) % max(1, n // k) == 0).orderBy("_rank").limit(k).drop("_rank")
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
 
@@ -79,12 +109,31 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def init_log(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """An empty log; refuses a path that exists."""
-    spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
+    """An empty log; refuses a path that has rows."""
+    try:
+        old = spark.read.schema(schema).parquet(path).limit(1).count()
+    except AnalysisException:
+        old = 0
+    if old:
+        raise ValueError(f"{path} has rows")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Appends predictions in the log's columns; absent ones are null, an absent input hash is computed."""
+    conform(df).write.mode("append").parquet(path)
+
+
+def write_flagged(gated: DataFrame, path: str) -> None:
+    """The rows of a grounding gate that aren't clean or are over budget, as JSONL."""
+    write_jsonl(gated.filter(~F.col("clean") | F.col("over_budget")), path)
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """A one-row frame as one JSON document; refuses other frames."""
+    if df.limit(2).count() != 1:
+        raise ValueError("metrics are one row")
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def report(df: DataFrame, title: str, rows: int = 1000) -> str:
