@@ -6,6 +6,7 @@ reads ``labels`` as predictions; their columns follow from ids, so SQL can state
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 from .functions import records as rec
 from .functions import text as tx
 from .operators import cascade, chunk, classify, dedup, generation, grounding, hparams, loop, metrics, split, validate, vectors
+from .sources import files
 from .sources.files import table
 from .streaming import log as stream_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FORMATS = ['{"prompt": "a", "completion": null}', '{"messages": [], "tools": []}', '{"messages": []}', '{"text": "t", "messages": null}', '{"text": "t"}', '{"label": 1}']
 
 
 def query(sql: str | None = None):
@@ -92,18 +93,36 @@ def shingle_counts(s, d):
     return docs(s, d).select("doc_id", F.size(tx.shingles(tx.normalize_text(F.col("text")))).cast("long").alias("n"))
 
 
-@query("""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>a</think> ' || source WHEN 1 THEN 'x</think>' || source ELSE source || '<think>tail' END AS t FROM documents)
-SELECT doc_id, trim(string_split(string_split(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</think>')[-1], '<think>')[1]) AS answer,
-trim(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</?think>', '', 'g')) AS untagged FROM m""")
+@query("""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>a</think> ' || text WHEN 1 THEN 'x</think>' || text ELSE text || '<think>tail' END AS t FROM documents)
+SELECT doc_id, md5(trim(string_split(string_split(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</think>')[-1], '<think>')[1], E' \\t\\n\\r\\f')) AS answer,
+md5(trim(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</?think>', '', 'g'), E' \\t\\n\\r\\f')) AS untagged FROM m""")
 def strip_thinking(s, d):
-    i, c = F.col("doc_id") % 3, F.col("source")
+    i, c = F.col("doc_id") % 3, F.col("text")
     t = F.when(i == 0, F.concat(F.lit("<think>a</think> "), c)).when(i == 1, F.concat(F.lit("x</think>"), c)).otherwise(F.concat(c, F.lit("<think>tail")))
-    return docs(s, d).select("doc_id", tx.strip_thinking(t).alias("answer"), tx.strip_think_tags(t).alias("untagged"))
+    return docs(s, d).select("doc_id", F.md5(tx.strip_thinking(t)).alias("answer"), F.md5(tx.strip_think_tags(t)).alias("untagged"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, f AS format FROM (VALUES (0, 'completions'), (1, 'tools'), (2, 'chat'), (3, 'chat'), (4, 'text'), (5, NULL)) v(i, f)")
+def _records(s, d):
+    """Records of each format, made of turns; one in six has none of the known keys."""
+    i, keys = F.col("turn") + F.col("conv_id"), (("prompt", "completion"), ("messages", "tools"), ("messages",), ("text", "messages"), ("text",), ("label",))
+    v = None
+    for k, names in enumerate(keys):
+        one = F.to_json(F.struct(*[F.col("text").alias(n) for n in names]), {"ignoreNullFields": "false"})
+        v = F.when(i % 6 == k, one) if v is None else v.when(i % 6 == k, one)
+    return table(s, d, "conversations").select("conv_id", "turn", v.alias("v"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE (turn + conv_id) % 6 WHEN 0 THEN json_object('prompt', text, 'completion', text) WHEN 1 THEN json_object('messages', text, 'tools', text) WHEN 2 THEN json_object('messages', text)
+ WHEN 3 THEN json_object('text', text, 'messages', text) WHEN 4 THEN json_object('text', text) ELSE json_object('label', text) END AS v FROM conversations), k AS (SELECT conv_id, turn, json_keys(v) AS k FROM r)
+SELECT conv_id, turn, CASE WHEN list_contains(k, 'prompt') AND list_contains(k, 'completion') THEN 'completions' WHEN list_contains(k, 'messages') AND list_contains(k, 'tools') THEN 'tools'
+ WHEN list_contains(k, 'messages') THEN 'chat' WHEN list_contains(k, 'text') THEN 'text' END AS format FROM k""")
 def format_detect(s, d):
-    return s.createDataFrame(list(enumerate(FORMATS)), "i long, v string").select("i", rec.detect_format(F.col("v")).alias("format"))
+    return _records(s, d).select("conv_id", "turn", rec.detect_format(F.col("v")).alias("format"))
+
+
+@query("""SELECT conv_id, turn, CAST(CASE (turn + conv_id) % 6 WHEN 0 THEN 2 * n WHEN 3 THEN n WHEN 4 THEN n END AS BIGINT) AS chars FROM (SELECT conv_id, turn, length(text) AS n FROM conversations) WHERE (turn + conv_id) % 6 IN (0, 3, 4)""")
+def record_sizes(s, d):
+    return _records(s, d).filter((F.col("turn") + F.col("conv_id")) % 6 % 4 != 1).filter(~((F.col("turn") + F.col("conv_id")) % 6).isin(2)).select("conv_id", "turn", rec.record_chars("v").alias("chars"))
 
 
 @query("SELECT conv_id, coalesce(string_agg(coalesce(text, 'None'), ' ' ORDER BY turn) FILTER (WHERE role IS DISTINCT FROM 'system'), '') AS text FROM conversations GROUP BY conv_id")
@@ -160,6 +179,12 @@ def family_head_share(s, d):
     return dedup.head_share(dedup.families(docs(s, d), "doc_id"))
 
 
+@query(f"""WITH t AS (SELECT DISTINCT source AS s, {NORM} AS t FROM documents)
+SELECT a.s AS split_a, b.s AS split_b, count(*) AS n FROM t a JOIN t b ON a.t = b.t AND a.s < b.s GROUP BY ALL""")
+def split_overlap(s, d):
+    return dedup.split_overlap(docs(s, d), "source")
+
+
 def _grams(t: str, key: str) -> str:
     w = f"list_filter(string_split({NORM}, ' '), lambda x: x <> '')"
     return f"SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] || ' ' || w[i + 5] || ' ' || w[i + 6] || ' ' || w[i + 7]))) AS g FROM (SELECT {key}, {w} AS w FROM {t})"
@@ -170,6 +195,24 @@ def contamination(s, d):
     return dedup.contamination(docs(s, d), table(s, d, "benchmark")).withColumn("overlap", r6("overlap"))
 
 
+@query(f"""WITH a AS ({_grams('documents', 'doc_id')}), b AS ({_grams('benchmark', 'item_id')}), x AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), y AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
+j AS (SELECT item_id, doc_id, count(*) AS m FROM a JOIN b USING (g) GROUP BY ALL), r AS (SELECT item_id, doc_id, m::DOUBLE / (x.n + y.n - m) AS j FROM j JOIN x USING (doc_id) JOIN y USING (item_id))
+SELECT item_id, doc_id, round(j, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS k FROM r) WHERE k = 1""")
+def cross_corpus(s, d):
+    return dedup.cross_corpus(docs(s, d), table(s, d, "benchmark")).withColumn("jaccard", r6("jaccard"))
+
+
+@query()
+def collapse_report(s, d):
+    return dedup.collapse_report(docs(s, d).select("doc_id", "text"), "doc_id")
+
+
+@query()
+def family_holdout(s, d):
+    fam = dedup.families(docs(s, d).select("doc_id", "text"), "doc_id")
+    return split.group_holdout(fam, "family").select("doc_id", "family", "split")
+
+
 # Splits and samples
 
 _LABELLED = "l AS (SELECT d.doc_id, d.lang, quality FROM documents d JOIN labels USING (doc_id))"
@@ -186,6 +229,19 @@ def stratified_split(s, d):
     return split.split_dataset(labelled(s, d).select("doc_id", "quality"), "doc_id", "quality")
 
 
+@query(f"""{_SPLIT}, c AS (SELECT split, CAST(quality AS VARCHAR) AS label, count(*) AS n FROM s GROUP BY ALL), z AS (SELECT v.split, coalesce(CAST(sum(n) AS BIGINT), 0) AS n FROM (VALUES ('train'), ('valid'), ('test')) v(split) LEFT JOIN c USING (split) GROUP BY 1),
+t AS (SELECT label, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1)
+SELECT 'empty_split' AS rule, split AS subject, n FROM z WHERE n = 0 UNION ALL SELECT 'small_class', label, n FROM t WHERE n < 1000
+UNION ALL SELECT 'class_not_in_split', t.label || '/' || z.split, t.n FROM t, z WHERE z.n > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.label = t.label AND c.split = z.split)""")
+def split_warnings(s, d):
+    return split.split_warnings(stratified_split(s, d), "quality", small=1000)
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, lang FROM r WHERE r % greatest(1, n // 4) = 0 AND r < 4 * greatest(1, n // 4)")
+def stride_sample(s, d):
+    return files.stride_sample(docs(s, d).select("doc_id", "lang"), "doc_id", 4)
+
+
 @query(f"{_SPLIT} SELECT split, quality, count(*) AS n FROM s GROUP BY ALL")
 def split_summary(s, d):
     return split.split_summary(stratified_split(s, d), "quality")
@@ -345,12 +401,13 @@ def _hard(t: str) -> str:
     return f"flatten(list_transform({raw}, lambda y: list_concat([y], CASE WHEN len({parts}) > 1 THEN list_filter({parts}, lambda z: {is_hard('z')}) ELSE [] END)))"
 
 
-_OUT = "CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 400) || ' ref 2031-' || doc_id ELSE substr(text, 1, 300) END"
+#: Every text is its own output, one in five with other values in it.
+_OUT = "CASE WHEN doc_id % 5 = 0 THEN translate(text, '1', '7') || ' ref 2031-' || doc_id ELSE text END"
 _GATE = f"WITH o AS (SELECT doc_id, text, {_OUT} AS out FROM documents), h AS (SELECT doc_id, length(out)::DOUBLE / greatest(length(text), 1) AS ratio, CAST(len(list_filter({_hard('out')}, lambda t: NOT contains(lower(text), lower(t)))) AS BIGINT) AS n_ungrounded FROM o)"
 
 
 def _gated(s, d):
-    out = F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring("text", 1, 400), F.lit(" ref 2031-"), F.col("doc_id"))).otherwise(F.substring("text", 1, 300))
+    out = F.when(F.col("doc_id") % 5 == 0, F.concat(F.translate("text", "1", "7"), F.lit(" ref 2031-"), F.col("doc_id"))).otherwise(F.col("text"))
     return grounding.gate(docs(s, d).withColumn("out", out), "text", "out")
 
 
@@ -369,25 +426,6 @@ def gate_summary(s, d):
     return grounding.gate_summary(_gated(s, d)).withColumn("zero_rate", r6("zero_rate")).withColumn("hallucinated_rate", r6("hallucinated_rate"))
 
 
-# The same over whole texts: every text is its own output, one in five with other values in it.
-_WHOLE = "CASE WHEN doc_id % 5 = 0 THEN translate(text, '1', '7') || ' ref 2031-' || doc_id ELSE text END"
-
-
-def _gated_whole(s, d):
-    out = F.when(F.col("doc_id") % 5 == 0, F.concat(F.translate("text", "1", "7"), F.lit(" ref 2031-"), F.col("doc_id"))).otherwise(F.col("text"))
-    return grounding.gate(docs(s, d).withColumn("out", out), "text", "out")
-
-
-@query(SQL["grounding_gate"].replace(_OUT, _WHOLE))
-def grounding_gate_whole(s, d):
-    return _gated_whole(s, d).select("doc_id", "n_ungrounded", r6("ratio").alias("ratio"), "over_budget", "clean")
-
-
-@query(SQL["gate_summary"].replace(_OUT, _WHOLE))
-def gate_summary_whole(s, d):
-    return grounding.gate_summary(_gated_whole(s, d)).withColumn("zero_rate", r6("zero_rate")).withColumn("hallucinated_rate", r6("hallucinated_rate"))
-
-
 # Generators, pairs and labels
 
 
@@ -526,6 +564,25 @@ def recommend_hparams(s, d):
     return hparams.recommend_frame(rec.turns_to_chats(table(s, d, "conversations")), rec.message_chars(F.col("messages")))
 
 
+@query(f"""WITH {LOG}, f AS (SELECT * FROM log WHERE feedback IS NOT NULL), k AS (SELECT * FROM f WHERE substr(input_hash, 1, 1) <> '0'), w AS (SELECT arg_max(coalesce(feedback_source, ''), pos) AS source FROM k GROUP BY input_hash)
+SELECT 3::BIGINT AS round, (SELECT count(DISTINCT input_hash) FROM k) AS curated_records, (SELECT count(*) FROM f WHERE substr(input_hash, 1, 1) = '0') AS excluded_holdout,
+(SELECT count(*) FROM w WHERE source = 'audit') AS structural_labels, 'tier1,tier2' AS target_tiers, 0.9::DOUBLE AS promotion_bar""")
+def curation_manifest(s, d):
+    log = prediction_log(s, d)
+    seen = log.withColumn("feedback_source", F.when(F.col("feedback_source") == "audit", "structural").otherwise(F.col("feedback_source")))
+    return loop.manifest(seen, _holdout(log), 3, 0.9, ("tier1", "tier2"))
+
+
+@query(f"""WITH {LOG}, f AS (SELECT * FROM log WHERE feedback IS NOT NULL) SELECT input_hash, arg_max(feedback, pos) AS label FROM f GROUP BY input_hash""")
+def curate_stream(s, d):
+    """The prediction log as a stream whose state keeps the last feedback of each text."""
+    base = f"{stream_log.shared_folder(s)}/curate-{uuid.uuid4().hex}"
+    prediction_log(s, d).write.parquet(f"{base}/in")
+    stream = s.readStream.schema(loop.LOG).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    stream_log.curate_stream(stream, f"{base}/state", f"{base}/checkpoint", 8).awaitTermination()
+    return stream_log.curated(s, f"{base}/state").select("input_hash", "label")
+
+
 @query()
 def prediction_log_stream(s, d):
     import os

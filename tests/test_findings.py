@@ -14,7 +14,7 @@ from sievelane.operators import cascade, common, dedup, metrics, split
 def test_gate_reads_whole_texts(spark, tmp_path):
     texts = ["word " * 300 + "call 2911 now", "word " * 300 + "call 2911 now", "short"]
     spark.createDataFrame([(5 * i, t) for i, t in enumerate(texts[:1])] + [(i, t) for i, t in enumerate(texts[1:], 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_ungrounded, r.ratio > 0.99) for r in catalogue.queries()["grounding_gate_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_ungrounded, r.ratio > 0.99) for r in catalogue.queries()["grounding_gate"](spark, str(tmp_path)).collect()}
     assert got == {0: (2, True), 1: (0, True), 2: (0, True)}
 
 
