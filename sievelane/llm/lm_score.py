@@ -7,7 +7,7 @@ The model is trained here, in numpy, on subword ids of a public tiktoken vocabul
 2. *Vocabulary.* The most frequent ids have input vectors of their own, the others share one. The
    output is factored, P(id | context) = P(class | context) P(id | class, class before): the most frequent
    ids are classes of their own, the rest share classes of equal mass. P(class | context) is the
-   attention model's. P(id | class, class before) comes from counts of all pairs of the corpus, drawn
+   attention model's, in two softmaxes: over groups of ``BRANCH`` classes, then within the group. P(id | class, class before) comes from counts of all pairs of the corpus, drawn
    towards the frequency in the class by ``PULL`` pseudo-counts. Probabilities of all ids sum to one.
 3. *Training.* Data-parallel in ``ROUNDS`` rounds: each task takes the current weights, runs Adam
    over its share of windows, and the weights are averaged in a tree, weighted by tokens. A hash of a
@@ -30,6 +30,7 @@ untrained model.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from copy import copy
 
@@ -43,8 +44,8 @@ from .common import cut, flat, slices
 from .secret_scan import encoder
 from .textkit import mix64
 
-DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES, PULL = 16, 32, 48, 36, 4096, 128, 50.0
-ROUNDS, BATCH, RATE, SEED = 3, 96, 0.01, 7
+DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES, BRANCH, PULL = 16, 32, 48, 36, 4096, 256, 16, 50.0
+ROUNDS, BATCH, RATE, SEED = 2, 64, 0.01, 7
 #: Windows scored in one numpy batch, and bytes of text that are encoded at a time.
 SCORE_BATCH, TEXT_BYTES = 48, 1 << 22
 
@@ -108,8 +109,9 @@ class Vocabulary:
         self.within = (w / np.bincount(self.group, w, minlength=classes)[self.group]).astype(np.float32)
         self.slots, self.classes = slots, classes
         self.pairs, self.joint, self.kind = np.zeros((classes + 1, v), np.float32), np.zeros((classes + 1, classes)), _kind(v)
-        share = np.bincount(self.group, w, minlength=classes)
-        self.prior = np.log(np.maximum(share, 0.5) / share.sum()).astype(np.float32)
+        self.branches = -(-classes // BRANCH)
+        share = np.maximum(np.bincount(self.group, w, minlength=self.branches * BRANCH), 1e-9).reshape(-1, BRANCH)
+        self.top, self.low = np.log(share.sum(1) / share.sum()).astype(np.float32), np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
 
     def learn(self, pairs: np.ndarray) -> None:
         self.pairs = pairs.astype(np.float32)
@@ -133,31 +135,55 @@ class Vocabulary:
         return out
 
 
-SHAPES = ("emb", "pos", "wq", "wk", "wv", "wo", "w1", "b1", "w2", "wout", "bout")
+SHAPES = ("emb", "pos", "wq", "wkv", "wo", "w1", "b1", "w2", "wtop", "btop", "wlow", "blow")
 
 
 def initial(voc: Vocabulary, seed: int = SEED) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    g = lambda *s: (r.standard_normal(s) * (0.3 / np.sqrt(s[0]) if len(s) > 1 and s[0] <= 64 else 0.1)).astype(np.float32)
-    return {"emb": g(voc.slots, DIM), "pos": g(WINDOW, DIM) * np.float32(0.3), "wq": g(DIM, DIM), "wk": g(DIM, DIM), "wv": g(DIM, DIM), "wo": g(DIM, DIM), "w1": g(DIM, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": g(HIDDEN, DIM), "wout": g(DIM, voc.classes), "bout": voc.prior.copy()}
+    g = lambda scale, *s: (r.standard_normal(s) * scale).astype(np.float32)
+    d = 0.3 / np.sqrt(DIM)
+    return {"emb": g(0.1, voc.slots, DIM), "pos": g(0.02, WINDOW, DIM), "wq": g(d, DIM, DIM), "wkv": g(d, DIM, 2 * DIM), "wo": g(d, DIM, DIM), "w1": g(d, DIM, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": g(0.3 / np.sqrt(HIDDEN), HIDDEN, DIM), "wtop": g(d, DIM, voc.branches), "btop": voc.top.copy(), "wlow": g(d, voc.branches, DIM, BRANCH), "blow": voc.low.copy()}
 
 
 _OPEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))[WINDOW - STRIDE :]
 _SHUT = np.where(np.tril(np.ones((WINDOW, WINDOW), bool))[WINDOW - STRIDE :], 0, -1e9).astype(np.float32)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, exact: bool = False):
-    """Probabilities of the classes (classes first) at the last STRIDE positions of windows x
-    (b, WINDOW); ``live`` marks inputs that aren't padding. Also what the gradients need. Softmaxes
-    are shifted by the largest value of the batch, which is quick; if a row lies so far below it that
-    its sum vanishes, all is done again with each row's own maximum."""
+def steady_heap() -> None:
+    """Let this worker keep freed memory up to 128 MB. The arrays of a batch are freed and made again all the
+    time; without it the C library returns their pages to the system, which clears them each time."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # another C library
+        return
+    for option, size in ((-3, 1 << 28), (-1, 1 << 27), (-2, 1 << 24)):  # mmap and trim thresholds, top pad
+        mallopt(option, size)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place, over the last axis. Shifted by the largest value of all, which is quick; rows so far below
+    it that their sums vanish are done again with their own maximum."""
+    top = x.max(initial=0)
+    low = np.flatnonzero(x.max(-1) < top - 60) if top - x.min(initial=0) > 60 else ()
+    if len(low):
+        x[low] -= x[low].max(-1, keepdims=True) - top
+    x -= top
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
+    return x
+
+
+def encode_windows(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, exact: bool = False):
+    """Vectors of the last STRIDE positions of windows x (b, WINDOW) and what the gradients need; ``live``
+    marks inputs that aren't padding. Attention isn't divided by its totals, which are divided out of its
+    result. It is shifted by its largest value, and by that of each row if a total vanishes."""
     b, kind = len(x), p["emb"].dtype
     h = p["emb"].take(x.ravel(), 0).reshape(b, WINDOW, DIM)
     h += p["pos"]
-    flat_ = h.reshape(-1, DIM)
-    hq = np.ascontiguousarray(h[:, WINDOW - STRIDE :])
-    q = (hq.reshape(-1, DIM) @ (p["wq"] / np.sqrt(DIM).astype(kind))).reshape(b, STRIDE, DIM)
-    k, v = (flat_ @ p["wk"]).reshape(b, WINDOW, DIM), (flat_ @ p["wv"]).reshape(b, WINDOW, DIM)
+    hq = np.ascontiguousarray(h[:, WINDOW - STRIDE :]).reshape(-1, DIM)
+    q = (hq @ (p["wq"] / np.sqrt(DIM).astype(kind))).reshape(b, STRIDE, DIM)
+    kv = (h.reshape(-1, DIM) @ p["wkv"]).reshape(b, WINDOW, 2 * DIM)
+    k, v = np.ascontiguousarray(kv[:, :, :DIM]), np.ascontiguousarray(kv[:, :, DIM:])
     a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
     if exact:
         a += _SHUT + np.where(live, 0, -1e9).astype(kind)[:, None, :]
@@ -168,94 +194,120 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, exact: bo
     a *= _OPEN
     if not live.all():
         a *= live.astype(kind)[:, None, :]
-    total = a @ np.ones(WINDOW, kind)
+    total = (a @ np.ones(WINDOW, kind)).reshape(-1, 1)
+    if not exact and total.min(initial=1) < 1e-25:
+        return encode_windows(p, x, live, True)
+    np.maximum(total, 1e-30, out=total)
     o = (a @ v).reshape(-1, DIM)
-    o /= np.maximum(total, 1e-30).reshape(-1, 1)
+    o /= total
     g = o @ p["wo"]
-    g += hq.reshape(-1, DIM)
+    g += hq
     r = g @ p["w1"]
     r += p["b1"]
     np.maximum(r, 0, out=r)
     z = r @ p["w2"]
     z += g
-    prob = p["wout"].T @ z.T
-    prob += p["bout"][:, None]
-    prob -= prob.max(0) if exact else prob.max()
-    np.exp(prob, out=prob)
-    share = np.ones(len(prob), kind) @ prob
-    if not exact and min(total.min(initial=1), share.min(initial=1)) < 1e-25:
-        return forward(p, x, live, True)
-    prob /= share
-    return prob, (h, hq, q, k, v, a, total, o, g, r, z)
+    return z, (h, hq, q, k, v, a, total, o, g, r)
+
+
+def class_log_probs(p: dict[str, np.ndarray], z: np.ndarray, y: np.ndarray):
+    """log P(class y) of each row of z, and what the gradients need: rows sorted by branch, the branches'
+    ends, and both softmaxes."""
+    branch = (y // BRANCH).astype(np.uint16)
+    order = np.argsort(branch, kind="stable")
+    z, branch, leaf = z[order], branch[order], y[order] % BRANCH
+    ends = np.searchsorted(branch, np.arange(len(p["wlow"]) + 1))
+    top = z @ p["wtop"]
+    top += p["btop"]
+    top = _softmax(top)
+    low = p["blow"][branch]
+    for s in range(len(p["wlow"])):
+        if ends[s] < ends[s + 1]:
+            low[ends[s] : ends[s + 1]] += z[ends[s] : ends[s + 1]] @ p["wlow"][s]
+    low = _softmax(low)
+    at = np.arange(len(z))
+    got = np.empty(len(z), z.dtype)
+    got[order] = np.log(np.maximum(top[at, branch], 1e-30)) + np.log(np.maximum(low[at, leaf], 1e-30))
+    return got, (order, z, branch, leaf, ends, top, low)
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index, as running sums over the sorted rows."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    at, run = at[order], np.cumsum(rows[order], 0, dtype=np.float64)
-    last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
-    run = run[last]
-    run[1:] -= run[:-1].copy()
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[at[last]] = run
-    return out
+    """Sums of rows by index."""
+    out = np.zeros(n * rows.shape[1], rows.dtype)
+    np.add.at(out, (at.astype(np.int64)[:, None] * rows.shape[1] + np.arange(rows.shape[1])).ravel(), rows.ravel())
+    return out.reshape(n, -1)
 
 
 def gradients(p, x, live, y, ask) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over asked targets and its gradients."""
-    d, (h, hq, q, k, v, a, total, o, g, r, z) = forward(p, x, live)
-    b, n = len(x), max(1, int(ask.sum()))
-    at, y, asked = np.arange(ask.size), y.ravel(), ask.ravel()
-    loss = -float(np.log(np.maximum(d[y, at], 1e-30))[asked].sum()) / n
-    d[y, at] -= 1
-    d *= (asked / np.float32(n)).astype(d.dtype)
-    out = {"wout": z.T @ d.T, "bout": d @ np.ones(len(at), d.dtype)}
-    dz = d.T @ p["wout"].T
+    z, (h, hq, q, k, v, a, total, o, g, r) = encode_windows(p, x, live)
+    asked = np.flatnonzero(ask)
+    n, b, kind = max(1, len(asked)), len(x), z.dtype
+    whole = len(asked) == ask.size
+    got, (order, zs, branch, leaf, ends, top, low) = class_log_probs(p, z if whole else z[asked], y.ravel() if whole else y.ravel()[asked])
+    loss = -float(got.sum()) / n
+    at = np.arange(len(zs))
+    for d, i in ((top, branch), (low, leaf)):
+        d[at, i] -= 1
+        d /= n
+    ones = np.ones(len(zs), kind)
+    out = {"wtop": zs.T @ top, "btop": ones @ top, "wlow": np.zeros_like(p["wlow"]), "blow": np.zeros_like(p["blow"])}
+    ds = top @ p["wtop"].T
+    for s in range(len(p["wlow"])):
+        i, j = ends[s], ends[s + 1]
+        if i < j:
+            out["wlow"][s] = zs[i:j].T @ low[i:j]
+            out["blow"][s] = ones[i:j] @ low[i:j]
+            ds[i:j] += low[i:j] @ p["wlow"][s].T
+    dz = np.empty_like(z) if whole else np.zeros_like(z)
+    dz[order if whole else asked[order]] = ds
     dr = dz @ p["w2"].T
     dr *= r > 0
-    out |= {"w2": r.T @ dz, "w1": g.T @ dr, "b1": np.ones(len(at), dr.dtype) @ dr}
+    out |= {"w2": r.T @ dz, "w1": g.T @ dr, "b1": np.ones(len(dr), kind) @ dr}
     dg = dr @ p["w1"].T
     dg += dz
     out["wo"] = o.T @ dg
-    do = dg @ p["wo"].T  # weights a aren't divided by their totals, so this is
-    do /= np.maximum(total, 1e-30).reshape(-1, 1)
+    do = dg @ p["wo"].T
+    do /= total
     back = np.einsum("ij,ij->i", do, o).reshape(b, STRIDE, 1)  # sum of da * a over keys
     do = do.reshape(b, STRIDE, DIM)
-    dv = np.ascontiguousarray(a.transpose(0, 2, 1)) @ do
+    dkv = np.empty((b, WINDOW, 2 * DIM), kind)
+    dkv[:, :, DIM:] = a.transpose(0, 2, 1) @ do
     ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
     ds -= back
     ds *= a
-    dq, dk = ds @ k, np.ascontiguousarray(ds.transpose(0, 2, 1)) @ q
-    dq /= np.sqrt(DIM).astype(dq.dtype)
-    two = lambda m: m.reshape(-1, DIM)
-    out |= {"wq": two(hq).T @ two(dq), "wk": two(h).T @ two(dk), "wv": two(h).T @ two(dv)}
-    dh = two(dk) @ p["wk"].T
-    dh += two(dv) @ p["wv"].T
-    dg += two(dq) @ p["wq"].T
-    dh = dh.reshape(b, WINDOW, DIM)
+    dq = (ds @ k).reshape(-1, DIM)
+    dq /= np.sqrt(DIM).astype(kind)
+    dkv[:, :, :DIM] = ds.transpose(0, 2, 1) @ q
+    dkv = dkv.reshape(-1, 2 * DIM)
+    out |= {"wq": hq.T @ dq, "wkv": h.reshape(-1, DIM).T @ dkv}
+    dh = (dkv @ p["wkv"].T).reshape(b, WINDOW, DIM)
+    dg += dq @ p["wq"].T
     dh[:, WINDOW - STRIDE :] += dg.reshape(b, STRIDE, DIM)
     out["pos"] = dh.sum(0)
-    out["emb"] = _sums(x.ravel(), two(dh), len(p["emb"]))
+    out["emb"] = _sums(x.ravel(), dh.reshape(-1, DIM), len(p["emb"]))
     return loss, {name: m.astype(p[name].dtype, copy=False) for name, m in out.items()}
 
 
 def windows(ids: np.ndarray, off: np.ndarray, slot: np.ndarray):
     """(inputs, live, index of the first target, number of targets, text) of all windows of a
-    batch of texts, as functions of chosen windows."""
+    batch of texts, as functions of chosen windows. Input t is the id before t, 0 where a text begins."""
     size = np.diff(off)
     count = -(-size // STRIDE)
     text = np.repeat(np.arange(len(size)), count)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = off[text] + k * STRIDE
+    begin = off[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     left = np.minimum(off[text + 1] - begin, STRIDE)
-    shifted = np.concatenate((np.zeros(1, slot.dtype), slot[ids]))  # input t is the id before t
+    before = WINDOW - STRIDE
+    padded = np.zeros(len(ids) + WINDOW + 1, slot.dtype)
+    padded[before + 1 : before + 1 + len(ids)] = slot[ids]
+    padded[before + off[:-1][size > 0]] = 0  # what precedes a text is no input of it
+    views = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
+    lead = np.where(begin == off[text], before, 0).astype(np.int8)
+    ends, at = (before + left).astype(np.int8), np.arange(WINDOW, dtype=np.int8)
 
     def take(rows: np.ndarray):
-        at = begin[rows, None] + np.arange(-(WINDOW - STRIDE), STRIDE)
-        low = off[text[rows]][:, None]
-        live = (at >= low) & (at < (begin + left)[rows, None])
-        x = np.where(live & (at > low), shifted[np.clip(at, 0, len(ids))], 0)
-        return x, live
+        live = (at >= lead[rows, None]) & (at < ends[rows, None])
+        return views[begin[rows]] * live, live
 
     return take, begin, left, text
 
@@ -278,11 +330,20 @@ def _round(ids: np.ndarray, off: np.ndarray, begin: np.ndarray, left: np.ndarray
     return (mix64(mix64(ends) + place) % np.uint64(rounds)).astype(np.int64)
 
 
+def _views(flat_: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights that lie one after the other in a vector."""
+    ends = np.cumsum([like[n].size for n in SHAPES])
+    return {n: flat_[e - like[n].size : e].reshape(like[n].shape) for n, e in zip(SHAPES, ends.tolist())}
+
+
 def _train(shared, turn: int, rounds: int):
     def run(batches):
-        p, voc = shared.value
-        p = {n: m.copy() for n, m in p.items()}
-        m1, m2, room = ({n: np.zeros_like(m) for n, m in p.items()} for _ in range(3))
+        steady_heap()
+        start, voc = shared.value
+        flat_ = np.concatenate([start[n].ravel() for n in SHAPES]).astype(np.float32)
+        p, grad = _views(flat_, start), np.zeros_like(flat_)
+        into = _views(grad, start)
+        one, two, free = (np.zeros_like(flat_) for _ in range(3))
         step, tokens, held = 0, 0, []
 
         def learn(x, live, y, ask):
@@ -290,21 +351,21 @@ def _train(shared, turn: int, rounds: int):
             step += 1
             tokens += int(ask.sum())
             _, grads = gradients(p, x, live, y, ask)
-            rate = np.float32(RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step))
             for n, g in grads.items():
-                one, two, free = m1[n], m2[n], room[n]
-                one *= np.float32(0.9)
-                two *= np.float32(0.98)
-                np.multiply(g, g, out=free)
-                free *= np.float32(0.02)
-                two += free
-                g *= np.float32(0.1)
-                one += g
-                np.sqrt(two, out=free)
-                free += np.float32(1e-8)
-                np.divide(one, free, out=free)
-                free *= rate
-                p[n] -= free
+                into[n][...] = g
+            rate = np.float32(RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step))
+            np.multiply(one, np.float32(0.9), out=one)
+            np.multiply(two, np.float32(0.98), out=two)
+            np.multiply(grad, grad, out=free)
+            np.multiply(free, np.float32(0.02), out=free)
+            np.add(two, free, out=two)
+            np.multiply(grad, np.float32(0.1), out=grad)
+            np.add(one, grad, out=one)
+            np.sqrt(two, out=free)
+            np.add(free, np.float32(1e-8), out=free)
+            np.divide(one, free, out=free)
+            np.multiply(free, rate, out=free)
+            np.subtract(flat_, free, out=flat_)
 
         for _, ids, off in _texts(batches, voc.kind):
             take, begin, left, text = windows(ids, off, voc.slot)
@@ -358,10 +419,7 @@ def train(tokens: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> dict[str,
         best = got.collect()
         shared.unpersist()
         if best:
-            flat_, at = np.frombuffer(best[0].weights, np.float32), 0
-            for n in SHAPES:
-                p[n] = flat_[at : at + p[n].size].reshape(p[n].shape).copy()
-                at += p[n].size
+            p = _views(np.frombuffer(best[0].weights, np.float32).copy(), p)
     return p
 
 
@@ -417,18 +475,21 @@ def count_pairs(tokens: DataFrame, voc: Vocabulary) -> np.ndarray:
 
 def _score(shared):
     def run(batches):
+        steady_heap()
         p, voc = shared.value
         for docs, ids, off in _texts(batches, voc.kind):
             n = len(off) - 1
             take, begin, left, text = windows(ids, off, voc.slot)
             total = np.zeros(len(ids))
+            y = voc.group[ids]
             for i in range(0, len(text), SCORE_BATCH):
                 rows = np.arange(i, min(i + SCORE_BATCH, len(text)))
                 x, live = take(rows)
-                prob, _ = forward(p, x, live)
-                ask = np.flatnonzero(np.arange(STRIDE) < left[rows, None])
-                at = begin[rows[ask // STRIDE]] + ask % STRIDE
-                total[at] = np.log(np.maximum(prob[voc.group[ids[at]], ask], 1e-37))
+                z, _ = encode_windows(p, x, live)
+                lo, hi = begin[rows[0]], begin[rows[-1]] + left[rows[-1]]  # windows lie side by side
+                if hi - lo < len(z):
+                    z = z[(np.arange(STRIDE) < left[rows, None]).ravel()]
+                total[lo:hi] = class_log_probs(p, z, y[lo:hi])[0]
             size = np.diff(off)
             if len(ids):
                 total += voc.log_within(ids, voc.before(ids, off))

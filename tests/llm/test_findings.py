@@ -236,16 +236,18 @@ def naive_log_probs(p, voc, ids):
         begin = t // s * s - (w - s)
         inputs = [(u - begin, 0 if u == 0 else voc.slot[ids[u - 1]]) for u in range(max(begin, 0), t + 1)]
         h = np.array([p["emb"][slot] + p["pos"][place] for place, slot in inputs], np.float64)
-        a = (h[-1] @ p["wq"]) @ (h @ p["wk"]).T / np.sqrt(lm_score.DIM)
+        k, v = h @ p["wkv"][:, : lm_score.DIM], h @ p["wkv"][:, lm_score.DIM :]
+        a = (h[-1] @ p["wq"]) @ k.T / np.sqrt(lm_score.DIM)
         a = np.exp(a - a.max())
-        g = h[-1] + (a / a.sum() @ (h @ p["wv"])) @ p["wo"]
+        g = h[-1] + (a / a.sum() @ v) @ p["wo"]
         z = g + np.maximum(g @ p["w1"] + p["b1"], 0) @ p["w2"]
-        logits = z @ p["wout"] + p["bout"]
         own = voc.group[target]
+        branch, leaf = divmod(own, lm_score.BRANCH)
+        share = lambda logits, i: logits[i] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
         before = voc.classes if t == 0 else voc.group[ids[t - 1]]
         among = voc.pairs[before] + lm_score.PULL * voc.within
         among = among[target] / among[voc.group == own].sum()
-        out.append(logits[own] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + np.log(among))
+        out.append(share(z @ p["wtop"] + p["btop"], branch) + share(z @ p["wlow"][branch] + p["blow"][branch], leaf) + np.log(among))
     return out
 
 
@@ -268,7 +270,7 @@ def test_lm_scores_match_a_naive_model():
     assert all((counted.get(c, np.zeros(300)) == row).all() for c, row in enumerate(pairs))
     voc.learn(pairs)
     for scale in (1, 40):  # the second has rows that vanish beside the largest value of the batch
-        q = {n: (m * scale).astype(np.float32) if n in ("wq", "wout") else m for n, m in p.items()}
+        q = {n: (m * scale).astype(np.float32) if n in ("wq", "wtop", "wlow") else m for n, m in p.items()}
         out = next(lm_score._score(SimpleNamespace(value=(q, voc)))(iter([batch])))
         for t, total, nll in zip(texts, out.column("log_prob").to_pylist(), out.column("nll").to_pylist()):
             want = sum(naive_log_probs(q, voc, t)) if scale == 1 else None
