@@ -24,9 +24,10 @@ tables give empty results or default actions; URLs of any length are compared wh
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,29 +69,41 @@ def key(url: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, parts: int) -> list[str]:
-    """At most ``parts - 1`` keys that split the keys into parts of about equal size."""
-    drawn = [r.key for r in keys.filter("key is not null").orderBy(F.xxhash64("key"), "key").limit(DRAWN * parts).collect()]
-    drawn.sort()
+    """At most ``parts - 1`` keys that split the keys into parts of about equal size, from a sample of about
+    ``2 DRAWN`` keys for each part; no more than twice as many reach the driver."""
+    keys = keys.filter("key is not null")
+    share = 2 * DRAWN * parts / max(1, keys.count())
+    drawn = sorted(r.key for r in (keys.sample(share, 7) if share < 1 else keys).limit(4 * DRAWN * parts).collect())
     return sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]):
-    part, stack = None, []
+    """Rows come by part and key, a rule before the keys that it covers. A rule covers the rows from its own
+    to the end of its prefix; rules are applied in order, so of nested ones the innermost stays. ``open_`` is
+    the stack of rules whose prefix may go on in the next batch."""
+    part, open_ = None, []
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for b, k, page, url, rule, action in zip(*(flat(batch, c).to_pylist() for c in ("part", "key", "page_id", "url", "rule_id", "action"))):
-            if b != part:
-                part, stack = b, []
-            while stack and not k.startswith(stack[-1][0]):
-                stack.pop()
-            if rule is not None:
-                stack.append((k, rule, action))
-            else:
-                top = stack[-1] if stack else (None, 0, DEFAULT)
-                for o, v in zip(out, (page, url, k, top[1], top[2], len(stack))):
-                    o.append(v)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], names=["page_id", "url", "key", "rule_id", "action", "n_rules"])
+        parts, keys, n = np.asarray(flat(batch, "part")), flat(batch, "key"), len(batch)
+        is_rule = np.asarray(flat(batch, "rule_id").is_valid())
+        ids, actions = flat(batch, "rule_id"), flat(batch, "action")
+        inner, count, known = np.zeros(n, np.int64), np.zeros(n, np.int64), [(0, DEFAULT)]
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), n]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if parts[lo] != part:
+                part, open_ = parts[lo], []
+            rules = [(lo, *x) for x in open_] + [(i, keys[i].as_py(), ids[i].as_py(), actions[i].as_py()) for i in (lo + np.flatnonzero(is_rule[lo:hi])).tolist()]
+            open_ = []
+            for i, prefix, rule, action in rules:
+                end = i + bisect_left(range(i, hi), True, key=lambda j: not keys[j].as_py().startswith(prefix))
+                inner[i:end] = len(known)
+                count[i:end] += 1
+                known.append((rule, action))
+                if end == hi:
+                    open_.append((prefix, rule, action))
+        pages = pa.array(np.flatnonzero(~is_rule))
+        which = pa.array(inner[~is_rule])
+        of = [pa.array(c, t).take(which) for c, t in zip(zip(*known), (pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(flat(batch, c).take(pages) for c in ("page_id", "url", "key")), *of, pa.array(count[~is_rule])], names=["page_id", "url", "key", "rule_id", "action", "n_rules"])
 
 
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -101,7 +114,7 @@ def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def part(keys: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, k) for k in keys], dtype="int32")
+        return pd.Series(np.searchsorted(np.array(bounds, object), keys.to_numpy(object), "right").astype(np.int32))
 
     good = keyed.filter("key is not null").select(part("key").alias("part"), "key", F.lit(None).cast("long").alias("rule_id"), "page_id", "url", F.lit(None).cast("string").alias("action"))
     spread = rules.select(F.explode(F.sequence(part("key"), part(F.concat("key", F.lit(TOP))))).alias("part"), "key", "rule_id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "action")
