@@ -16,6 +16,9 @@ rounded by its own probability.
 Random numbers come from a hash of (seed, smallest id of the pair), so the result depends on the
 seed and the rows, not on partitions.
 
+Rows that agree in ``doc_id``, ``source`` and size are interchangeable: they are counted, not ranked, and
+numbered from their count, so a source whose ids are all null is no task of its own.
+
 ``copies(docs, weights)`` returns ``doc_id, source, expected, copies`` for every row (0 copies
 included). ``mix(docs, weights)`` returns each row of ``docs`` ``copies`` times with its columns.
 
@@ -37,6 +40,8 @@ from .textkit import mix64
 
 #: Rows of one cell (their number grows with the table), cells that one reduction step combines, and the seed.
 CELL_ROWS, FAN, SEED = 20_000, 16, 20240521
+#: Interchangeable rows that are numbered at a time.
+AT_ONCE = 100_000
 #: Exponent that turns a source's size into its target weight: 1 keeps proportions, 0 makes all equal.
 TEMPERATURE = 0.7
 _EPS = 1e-9
@@ -109,13 +114,14 @@ def expected(docs: DataFrame, weights: dict[str | None, float] | None = None, bu
     return docs.join(rate, docs["source"].eqNullSafe(rate["_s"])).drop("_s")
 
 
-def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, size: str | None = None, seed: int = SEED, temperature: float | None = None) -> DataFrame:
+def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, size: str | None = None, seed: int = SEED, temperature: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """Copies of every row; see the module text. ``unit`` numbers the rows: it is the hash of
-    (doc_id, source, rank among rows with the same two)."""
-    narrow = docs.select("doc_id", "source", *([size] if size else []))
-    narrow = narrow.withColumn("_r", F.expr("row_number() over (partition by doc_id, source order by doc_id)"))
+    (doc_id, source, size, the columns ``within``, number among rows with the same)."""
+    keys = ["doc_id", "source", *([size] if size else []), *within]
+    many = docs.groupBy(*keys).count().withColumn("_b", F.explode(F.expr(f"sequence(0L, (count - 1) div {AT_ONCE})")))
+    narrow = many.repartition(*keys, "_b").withColumn("_r", F.explode(F.expr(f"sequence(_b * {AT_ONCE} + 1, least(count, (_b + 1) * {AT_ONCE}))"))).drop("count", "_b")
     units = expected(narrow, weights, budget, size, temperature)
-    units = units.select("doc_id", "source", "_r", "expected", F.xxhash64("doc_id", "source", "_r").alias("unit"))
+    units = units.select("doc_id", "source", *within, "_r", "expected", F.xxhash64(*keys, "_r").alias("unit"))
     units = cut(units.withColumn("p", F.col("expected") - F.floor("expected")))
     cells = 1
     n = units.count()
@@ -137,7 +143,7 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, budg
     for d in done[1:]:
         rounded = rounded.unionByName(d)
     base = F.floor("expected") + F.when(F.col("expected") - F.floor("expected") >= 1 - _EPS, 1).otherwise(0)
-    return units.join(rounded.select("unit", F.col("p").alias("q")), "unit", "left").select("doc_id", "source", "expected", (base + F.round(F.coalesce("q", F.lit(0.0)))).cast("long").alias("copies"), "_r")
+    return units.join(rounded.select("unit", F.col("p").alias("q")), "unit", "left").select("doc_id", "source", *within, "expected", (base + F.round(F.coalesce("q", F.lit(0.0)))).cast("long").alias("copies"), "_r")
 
 
 def _with_cell(f):
@@ -149,13 +155,16 @@ def _with_cell(f):
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, size: str | None = None, seed: int = SEED, temperature: float | None = None) -> DataFrame:
-    """Each row of ``docs`` as often as ``copies`` says. Texts move once, by the hash of (doc_id,
-    source); rows that share both are told apart by their rank after the join."""
-    key = lambda d, s: F.xxhash64(d, s)
-    c = copies(docs, weights, budget, size, seed, temperature).groupBy("doc_id", "source").agg(F.expr("transform(array_sort(collect_list(struct(_r, copies))), x -> x.copies)").alias("_c"))
-    c = c.filter("exists(_c, x -> x > 0)").select(key(F.col("doc_id"), F.col("source")).alias("_k"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_c")
-    row = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")).withColumn("_h", key(F.col("row.doc_id"), F.col("row.source")))
-    hit = row.join(c, (F.col("_h") == F.col("_k")) & F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s")))
-    hit = hit.withColumn("_n", F.expr("row_number() over (partition by _h, row.doc_id, row.source order by row.text)"))
-    times = F.expr("case when _c[_n - 1] > 0 then sequence(1, int(_c[_n - 1])) end")
-    return hit.select("row", F.explode(times).alias("_i")).select("row.*")
+    """Each row of ``docs`` as often as ``copies`` says. Rows that share id and source are told apart by the
+    hash of their text, so that a source of null ids is spread; texts move once, by the hash of the three."""
+    text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
+    salted = docs.select("doc_id", "source", *([size] if size else []), F.xxhash64(text).alias("_t"))
+    c = copies(salted, weights, budget, size, seed, temperature, ("_t",)).groupBy("doc_id", "source", "_t").agg(F.array_sort(F.collect_list("copies")).alias("_c"))
+    c = cut(c.filter("exists(_c, x -> x > 0)").select(F.xxhash64("doc_id", "source", "_t").alias("_k"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_t").alias("_x"), "_c"))
+    row = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.xxhash64(text).alias("_t")).withColumn("_h", F.xxhash64("row.doc_id", "row.source", "_t"))
+    hit = row.join(c, (F.col("_h") == F.col("_k")) & F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_x")))
+    if c.filter("size(_c) > 1").isEmpty():
+        hit = hit.select("row", F.col("_c")[0].alias("_times"))
+    else:
+        hit = hit.withColumn("_n", F.expr("row_number() over (partition by _h, row.doc_id, row.source order by _h)")).select("row", F.expr("_c[_n - 1]").alias("_times"))
+    return hit.filter("_times > 0").select("row", F.explode(F.expr("sequence(1, int(_times))")).alias("_i")).select("row.*")
