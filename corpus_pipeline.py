@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its
 predecessor kept. All stages but the last return the columns of ``documents``.
+
+Edge cases: every stage keeps other columns, whatever their names, and gives an empty table for an empty
+one. Null and empty texts go in the first stage. Rows that repeat a ``doc_id`` are one document from the second
+stage on; rows with a null ``doc_id`` can't be paired and stay, those of equal text once. A null source is a
+source of its own. Ties are settled by ``doc_id``. Each operator's module says more.
 """
 
 from __future__ import annotations
@@ -60,4 +65,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
         release(spark)
+        if k:
+            delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Drop what a later stage has read and written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,24 +31,43 @@ def centroids(df: DataFrame, vec: str = "embedding", label: str = "label") -> Da
     return whole.select("label", unit(F.col("c")).alias("centroid"))
 
 
+def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+    """Normalised vectors, zeros for null ones."""
+    m = np.zeros((len(column), dim))
+    at = np.flatnonzero(column.notna())
+    if len(at):
+        m[at] = np.stack(column.iloc[at].to_numpy())
+    return m / (np.sqrt((m * m).sum(1, keepdims=True)) + EPS)
+
+
 def nearest_centroid(df: DataFrame, cents: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """key, predicted, confidence (best minus second cosine). Centroids, one for each class, are
-    gathered into one row; ties go to the later label."""
-    table = cents.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
-    v = df.withColumn("_v", unit(F.col(vec))).join(F.broadcast(table))
-    sims = F.transform("cs", lambda c: F.struct(dot(F.col("_v"), c["centroid"]).alias("sim"), c["label"].alias("label")))
-    ranked = v.withColumn("_s", F.reverse(F.array_sort(sims)))
-    second = F.coalesce(F.get("_s", F.lit(1))["sim"], F.lit(0.0))
-    return ranked.select(key, F.get("_s", F.lit(0))["label"].alias("predicted"), (F.get("_s", F.lit(0))["sim"] - second).alias("confidence"))
+    """key, predicted, confidence (best minus second cosine). Centroids, one for each class, are gathered
+    into one matrix that every task gets; rows are scored a batch at a time. Ties go to the later label;
+    a null vector has no prediction."""
+    rows = sorted(cents.select("label", "centroid").collect(), key=lambda r: r.label)
+    labels = np.array([r.label for r in rows], object)
+    table = np.array([r.centroid for r in rows], float)
+    kinds = f"predicted {cents.schema['label'].dataType.simpleString()}, confidence double"
+
+    @F.pandas_udf(kinds)
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"predicted": pd.Series([None] * len(vectors), dtype=object), "confidence": np.nan})
+        sims = _matrix(vectors, table.shape[1]) @ table.T
+        last = sims.shape[1] - 1 - np.argmax(sims[:, ::-1], 1)
+        top = sims[np.arange(len(sims)), last]
+        sims[np.arange(len(sims)), last] = -np.inf
+        second = sims.max(1) if sims.shape[1] > 1 else np.zeros(len(sims))
+        none = vectors.isna().to_numpy()
+        return pd.DataFrame({"predicted": pd.Series(np.where(none, None, labels[last])), "confidence": np.where(none, np.nan, top - second)})
+
+    return df.select(key, best(F.col(vec)).alias("_b")).select(key, "_b.predicted", "_b.confidence")
 
 
 def top_k(queries: DataFrame, index: DataFrame, key: str, vec: str = "embedding", k: int = 3, blocks: int = 8) -> DataFrame:
     """The k most similar rows of ``index`` of each row of ``queries`` (not itself; ties by key).
     Exact: each block of the index is scored in matrix products against all queries that reach
     it, and only its k best candidates of each query are shuffled."""
-    import numpy as np
-    import pandas as pd
-
     n = blocks
     kind = queries.schema[key].dataType.simpleString()
     q = queries.select(F.col(key).alias("q"), F.col(vec).alias("v")).filter("v is not null").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n)))
@@ -64,7 +85,10 @@ def top_k(queries: DataFrame, index: DataFrame, key: str, vec: str = "embedding"
         for lo in range(0, len(a), 1024):
             s = va[lo : lo + 1024] @ vb.T
             for qi, row in zip(a["q"].to_numpy()[lo : lo + 1024], s):
-                order = np.lexsort((ids, -row.round(12)))
+                near = np.arange(len(row))
+                if len(row) > k + 1:  # all that tie with the last one count
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1] - 1e-11)
+                order = near[np.lexsort((ids[near], -row[near].round(12)))]
                 take = [j for j in order[: k + 1] if ids[j] != qi][:k]
                 out += [(qi, ids[j], float(row[j])) for j in take]
         return pd.DataFrame(out, columns=["q", "x", "sim"])
@@ -86,5 +110,10 @@ def hashed_embedding(df: DataFrame, text: str, dim: int = 256, n: int = 3) -> Da
     t = normalize_text(F.col(text))
     grams = F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n))), F.lit(dim)).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    ones = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
-    return df.withColumn("embedding", ones)
+    @F.pandas_udf("array<double>")
+    def counted(lists: pd.Series) -> pd.Series:
+        size = lists.map(len).to_numpy()
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if size.sum() else np.zeros(0, np.int64)
+        return pd.Series(list(np.bincount(np.repeat(np.arange(len(size)), size) * dim + flat, minlength=len(size) * dim).astype(float).reshape(-1, dim)))
+
+    return df.withColumn("embedding", counted(F.coalesce(grams, F.array().cast("array<int>"))))

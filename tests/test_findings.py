@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelane import catalogue
-from sievelane.operators import cascade, common, dedup, metrics, split
+from sievelane.operators import cascade, common, dedup, metrics, split, vectors
 
 
 def test_gate_reads_whole_texts(spark, tmp_path):
@@ -65,3 +65,21 @@ def test_grams_are_those_of_the_text():
         want = {t[i : i + 4] for i in range(max(1, len(t) - 3))} if t else set()
         assert sorted(got.tolist()) == sorted(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in want)
     assert dedup.signature(np.zeros(0, np.uint64)) is None and len(dedup.signature(np.arange(9, dtype=np.uint64))) == 64
+
+
+def test_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(120, 6)).round(1)
+    v[3] = v[9] = v[50]
+    df = spark.createDataFrame([(i, f"l{i % 4}", x.tolist()) for i, x in enumerate(v)] + [(500, None, None)], "vec_id long, label string, embedding array<double>")
+    n = v / (np.linalg.norm(v, axis=1, keepdims=True) + vectors.EPS)
+    cents = np.stack([n[np.arange(120) % 4 == k].mean(0) for k in range(4)])
+    sims = n @ (cents / np.linalg.norm(cents, axis=1, keepdims=True)).T
+    got = {r.vec_id: r for r in vectors.nearest_centroid(df, vectors.centroids(df), "vec_id").collect()}
+    assert all(got[i].predicted == f"l{s.argmax()}" and abs(got[i].confidence - (np.sort(s)[-1] - np.sort(s)[-2])) < 1e-9 for i, s in enumerate(sims)) and got[500].predicted is None
+    near = n @ n.T
+    want = {(i, r + 1): int(j) for i in range(0, 120, 10) for r, j in enumerate([j for j in np.lexsort((np.arange(120), -near[i].round(12))) if j != i][:3])}
+    for blocks in (1, 3):
+        assert {(r.vec_id, r.rank): r.neighbour for r in vectors.top_k(df.filter("vec_id % 10 = 0"), df, "vec_id", blocks=blocks).collect() if r.vec_id < 500} == want
+    texts = spark.createDataFrame([("abab",), ("ab",), (None,)], "t string")
+    assert [sum(r.embedding) for r in vectors.hashed_embedding(texts, "t", 16).collect()] == [2.0, 0.0, 0.0]
