@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelane.functions import text as tx
-from sievelane.operators import cascade, chunk, dedup, grounding, loop, metrics, split, validate
+from sievelane.operators import cascade, chunk, dedup, grounding, hparams, loop, metrics, split, validate
 
 
 def test_shingles(spark):
@@ -91,3 +91,15 @@ def test_chunks_keep_words():
     text = "# A\n\n" + " ".join(f"w{i}" for i in range(3000)) + "\n\n# B\n\nshort"
     got = chunk.chunks(text, 400, 800)
     assert " ".join(got).split() == text.split() and max(map(len, got)) <= 800
+
+
+def test_hparams():
+    small = hparams.recommend(45, 7376, 4.0)
+    assert (small["epochs"], small["batch_size"], small["iters"], small["num_layers"], small["max_seq_length"]) == (5, 4, 100, 8, 3072)
+    large = hparams.recommend(90_000, 50_000, 14.0, task="cpt", memory_gb=24)
+    assert (large["epochs"], large["learning_rate"], large["batch_size"], large["iters"], large["steps_per_eval"], large["save_every"], large["max_seq_length"], large["mask_prompt"]) == (1.5, 1e-5, 8, 16875, 1406, 100, 13312, False)
+    assert hparams.recommend(15, 0, 8.0, memory_gb=16)["grad_checkpoint"] and not hparams.recommend(15, 0, 4.0)["grad_checkpoint"]
+    with pytest.raises(ValueError):
+        hparams.recommend(0, 0, 4.0)
+    text = hparams.config(small, "m", "d", 8)
+    assert "batch_size: 4\n" in text and "scale: 16.0" in text and "epochs" not in text
