@@ -171,6 +171,15 @@ def gold(row: DataFrame, order: tuple[str, ...] = ("expected", "label")) -> Colu
     raise ValueError(f"none of {order} in {row.columns}")
 
 
+def gold_of(v: Column, order: tuple[str, ...] = ("expected", "label")) -> Column:
+    """The gold label of each record (one JSON object as a string): that of the first key which the record has, a
+    null among them; a record without any of them fails the query."""
+    keys, out = F.json_object_keys(v), F.raise_error(F.concat(F.lit("no gold in "), F.substring(v, 1, 80))).cast("string")
+    for k in reversed(order):
+        out = F.when(F.array_contains(keys, k), F.get_json_object(v, f"$.{k}")).otherwise(out)
+    return F.when(v.isNotNull(), out)
+
+
 def gold_projection(df: DataFrame, pred: str = "predicted", label: str = "label") -> DataFrame:
     """id, text, predicted, expected; refuses a table with rows that have no gold."""
     bad = df.filter(F.col(label).isNull()).agg(F.count("*").alias("n"), F.min("id").alias("id")).first()

@@ -90,5 +90,12 @@ def chunk_documents(df: DataFrame, key: str = "source", text: str = "text", targ
     return df.select(F.col(key), F.col(text)).mapInPandas(run, schema)
 
 
+def chunk_counts(df: DataFrame, key: str = "source", text: str = "text", target: int = 2000, most: int = 4000, least: int = 50) -> DataFrame:
+    """key, kept, dropped: chunks of each document that ``chunk_documents`` keeps, and those that are too small."""
+    every = chunk_documents(df, key, text, target, most, 0)
+    small = F.col("approx_tokens") < least
+    return every.groupBy(key).agg(F.sum((~small).cast("long")).alias("kept"), F.sum(small.cast("long")).alias("dropped"))
+
+
 def chunk_summary(ch: DataFrame) -> DataFrame:
     return ch.agg(F.count("*").alias("n"), F.min("approx_tokens").alias("least"), F.median("approx_tokens").cast("long").alias("median"), F.max("approx_tokens").alias("most"), F.sum("approx_tokens").alias("tokens"))

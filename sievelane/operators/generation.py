@@ -139,3 +139,27 @@ def last_by_key(df: DataFrame, key: str, pos: str) -> DataFrame:
     """The last record of each key."""
     w = W.partitionBy(key).orderBy(F.desc(pos))
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def limited(df: DataFrame, pos: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``pos``; 0 stands for no limit."""
+    return df.orderBy(pos).limit(n) if n else df
+
+
+def ordered_by_id(df: DataFrame, key: str = "id", natural: bool = True) -> DataFrame:
+    """Rows by id: as the numbers or strings that they are, or as strings."""
+    return df.orderBy(F.col(key) if natural else F.col(key).cast("string"))
+
+
+def llm_classify(df: DataFrame, fn: Callable[[list[str]], list[tuple[str, list[float], list[float]]]], labels: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``predicted``, ``out_of_label_space``, ``conf_margin`` and ``conf_logprob``. The model gives an
+    answer, the gaps between its two best tokens and the log probabilities of its tokens for each text."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_answer", T.StringType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_margins", "_logprobs")]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = fn(["" if t is None else t for t in b[text]])
+            yield b.assign(**{c: pd.Series([g[i] for g in got], index=b.index, dtype=object) for i, c in enumerate(("_answer", "_margins", "_logprobs"))})
+
+    matched = match_label(df.mapInPandas(run, schema), labels, "_answer")
+    return token_confidence(matched, "_margins", "_logprobs").drop("_answer", "_margins", "_logprobs")

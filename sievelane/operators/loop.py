@@ -143,3 +143,8 @@ def adjudicate(champion: DataFrame, challenger: DataFrame, bar: float, slice_id:
     if out["decision"] == "PROMOTE":
         spark.createDataFrame([(out["version"], slice_id, float(new.accuracy))], "version long, promoted_from_slice string, accuracy double").write.mode("append").parquet(versions_path)
     return out
+
+
+def with_records(log: DataFrame, records: DataFrame) -> DataFrame:
+    """The log and further records, which need not have all of its columns."""
+    return log.unionByName(conform(records), allowMissingColumns=True)

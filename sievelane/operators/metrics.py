@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import norm_label
 from .common import global_rank
+from .split import stratified_sample
 
 #: Blocks of which a running accuracy takes the sum before it adds up groups.
 GROUP = 10_000
@@ -149,3 +150,44 @@ def output_guardrails(df: DataFrame, output: str, source: str, latency: str, esc
 def sizing(df: DataFrame, label: str, minimum: int = 50) -> DataFrame:
     """Classes against the least number of rows that they should have."""
     return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).withColumn("enough", F.col("n") >= minimum)
+
+
+def confusion_matrix(df: DataFrame, gold: str = "gold", pred: str = "predicted", most: int = 200) -> DataFrame:
+    """One row for each label, gold or predicted, and a column of counts for each. Refuses more than
+    ``most`` labels, since each is a column."""
+    c = confusion(df, gold, pred)
+    both = c.select(F.col("gold").alias("label")).union(c.select(F.col("predicted").alias("label"))).filter("label is not null").distinct()
+    labels = sorted(r.label for r in both.limit(most + 1).collect())
+    if len(labels) > most:
+        raise ValueError(f"more than {most} labels")
+    counts = [F.sum(F.when(F.col("predicted") == x, F.col("n")).otherwise(0)).alias(x) for x in labels]
+    return both.join(c, both["label"] == c["gold"], "left").groupBy("label").agg(*counts).fillna(0, labels)
+
+
+def headroom(df: DataFrame, key: str, gold: str, floor: str, ceiling: str, per_class: int = 30, seed: int = 42) -> DataFrame:
+    """One row: accuracy of a cheap and of a strong predictor on a stratified sample, and what lies between."""
+    sample = stratified_sample(df, key, gold, per_class, seed)
+    ok = lambda c: F.avg((norm_label(F.col(gold)) == norm_label(F.col(c))).cast("double"))
+    return sample.agg(F.count("*").alias("n"), ok(floor).alias("floor"), ok(ceiling).alias("ceiling")).withColumn("headroom", F.col("ceiling") - F.col("floor"))
+
+
+def drift_check(fresh: DataFrame, shipped: float, tolerance: float = 0.02, gold: str = "gold", pred: str = "predicted") -> DataFrame:
+    """One row: accuracy of a fresh sample against the number that was shipped."""
+    a = summary(fresh, gold, pred).select("accuracy", "n")
+    return a.withColumn("shipped", F.lit(float(shipped))).withColumn("change", F.col("accuracy") - F.col("shipped")).withColumn("drifted", F.col("change") < -F.lit(float(tolerance)))
+
+
+def receipts(events: DataFrame, decisions: DataFrame, key: str, correct: Column) -> DataFrame:
+    """One row: accuracy over all events of a stream and over its distinct keys; ``decisions`` has each key once."""
+    joined = events.join(decisions, key)
+    once = decisions.join(events.select(key).distinct(), key)
+    return joined.agg(F.count("*").alias("events"), F.avg(correct.cast("double")).alias("by_volume")).crossJoin(once.agg(F.count("*").alias("distinct_keys"), F.avg(correct.cast("double")).alias("by_key")))
+
+
+def evaluation_report(df: DataFrame, gold: str = "gold", pred: str = "predicted", most: int = 20) -> str:
+    """Markdown: scores, classes and the ``most`` frequent confusions."""
+    s = summary(df, gold, pred).first()
+    out = [f"accuracy {s.accuracy:.4f}, macro F1 {s.macro_f1:.4f}, {s.n} rows, {s.classes} classes, {s.hallucinated} predictions outside of them", "", "| label | precision | recall | f1 | support |", "|---|---|---|---|---|"]
+    out += [f"| {r.label} | {r.precision:.4f} | {r.recall:.4f} | {r.f1:.4f} | {r.support} |" for r in per_class(df, gold, pred).orderBy("label").collect()]
+    worst = confusion(df, gold, pred).filter("gold <> predicted").orderBy(F.desc("n"), "gold", "predicted").limit(most).collect()
+    return "\n".join([*out, "", "| gold | predicted | n |", "|---|---|---|", *(f"| {r.gold} | {r.predicted} | {r.n} |" for r in worst)]) + "\n"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 EPS = 1e-12
 
@@ -103,6 +105,19 @@ def blocks_for(rows: int, per_block: int = 20_000) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
+def embed(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
+    """Adds what an embedder, a Python function over a batch of texts, gives for each text; a null text is
+    embedded as an empty one."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = fn(["" if t is None else t for t in b[text]])
+            yield b.assign(**{out: pd.Series([[float(x) for x in v] for v in got], index=b.index, dtype=object)})
+
+    return df.mapInPandas(run, schema)
+
+
 def hashed_embedding(df: DataFrame, text: str, dim: int = 256, n: int = 3) -> DataFrame:
     """Adds ``embedding``: counts of character n-grams by hash, for use without a model."""
     from ..functions.text import normalize_text

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelane.functions import records
-from sievelane.operators import dedup, generation, loop, validate
+from sievelane.operators import chunk, classify, dedup, generation, loop, metrics, validate, vectors
 from sievelane.sources import files
 from sievelane.streaming import log as stream_log
 
@@ -146,3 +146,60 @@ def test_collapse_report_and_overlaps(spark):
 def test_issue_samples(spark):
     rows = spark.createDataFrame([("train", i, "{bad") for i in range(30)], "split string, line long, value string")
     assert sorted(r.line for r in validate.issue_samples(rows).collect()) == list(range(20))
+
+
+def test_chunk_counts(spark):
+    df = spark.createDataFrame([("a", "# A\n\n" + "word " * 900 + "\n\n# B\n\nshort"), ("b", "tiny"), ("c", None)], "source string, text string")
+    got = {r.source: (r.kept, r.dropped) for r in chunk.chunk_counts(df, target=200, most=400, least=10).collect()}
+    kept = {r.source: r["count"] for r in chunk.chunk_documents(df, target=200, most=400, least=10).groupBy("source").count().collect()}
+    assert {k: v[0] for k, v in got.items() if v[0]} == kept and got["b"] == (0, 1)
+
+
+def test_embedder_and_model_are_functions(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
+    assert [r.embedding for r in vectors.embed(df, "text", lambda ts: [[len(t), 1] for t in ts]).orderBy("id").collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    labels = spark.createDataFrame([("Billing",), ("Refund",)], "label string")
+    answers = {"abc": ("billing!", [0.5, 0.1], [-1.0, -3.0]), "": ("what", [], [])}
+    got = {r.id: r for r in generation.llm_classify(df, lambda ts: [answers[t] for t in ts], labels).collect()}
+    assert (got[1].predicted, got[1].out_of_label_space) == ("Billing", False) and abs(got[1].conf_margin - 0.3) < 1e-9 and got[1].conf_logprob == -2.0
+    assert got[2].out_of_label_space and (got[2].conf_margin, got[2].conf_logprob) == (0.0, -99.0)
+
+
+def test_matrix_headroom_drift_receipts_report(spark):
+    rows = [(i, "ab"[i % 2], "ab"[i % 2] if i % 4 else "c", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, gold string, predicted string, strong string")
+    m = {r.label: r for r in metrics.confusion_matrix(df).collect()}
+    assert set(m) == {"a", "b", "c"} and (m["a"].a, m["a"].c, m["b"].b, m["c"].a) == (10, 10, 20, 0)
+    with pytest.raises(ValueError):
+        metrics.confusion_matrix(df, most=2)
+    h = metrics.headroom(df, "id", "gold", "predicted", "strong", 20).first()
+    assert (h.n, h.floor, h.ceiling, h.headroom) == (40, 0.75, 1.0, 0.25)
+    d = metrics.drift_check(df, 0.9).first()
+    assert (d.accuracy, d.drifted) == (0.75, True) and not metrics.drift_check(df, 0.76).first().drifted
+    events = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2 + [(99,)], "id long")
+    r = metrics.receipts(events, df, "id", F.col("gold") == F.col("predicted")).first()
+    assert (r.events, r.by_volume, r.distinct_keys, r.by_key) == (8, 0.25, 2, 0.5)
+    assert "accuracy 0.7500" in metrics.evaluation_report(df) and "| a | c | 10 |" in metrics.evaluation_report(df)
+
+
+def test_limits_orders_unions_and_gold(spark):
+    df = spark.createDataFrame([(2,), (10,), (1,)], "id long")
+    assert [r.id for r in generation.limited(df, "id", 2).collect()] == [1, 2] and generation.limited(df, "id", 0).count() == 3
+    assert [r.id for r in generation.ordered_by_id(df).collect()] == [1, 2, 10] and [r.id for r in generation.ordered_by_id(df, natural=False).collect()] == [1, 10, 2]
+    log = loop.conform(spark.createDataFrame([(1, "t")], "pos long, text string"))
+    assert loop.with_records(log, spark.createDataFrame([("u", "fixed")], "text string, feedback string")).filter("feedback = 'fixed'").count() == 1
+    v = spark.createDataFrame([('{"expected": null, "label": "x"}',), ('{"label": "y"}',), (None,)], "v string").select(records.gold_of(F.col("v")).alias("g"))
+    assert [r.g for r in v.collect()] == [None, "y", None]
+    with pytest.raises(Exception, match="no gold"):
+        spark.createDataFrame([("{}",)], "v string").select(records.gold_of(F.col("v"))).collect()
+
+
+def test_boosted_trees_and_refusals(spark):
+    rows = [(i, "ab"[i % 2], [float(i % 2), 0.5], float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label string, embedding array<double>, extra double")
+    bundle, report = classify.train_classifier(df, "id", extras=["extra"], trees=3)
+    assert bundle.classifier == "gbt" and report["accuracy"] == 1.0 and {r.predicted for r in classify.predict(bundle, df).collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        classify.train_classifier(df.filter("label = 'a'"), "id")
+    with pytest.raises(ValueError):
+        classify.train_classifier(df.withColumn("extra", F.lit(None).cast("double")), "id", extras=["extra"])
