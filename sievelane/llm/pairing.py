@@ -29,11 +29,11 @@ from .common import cut, flat
 from .textkit import mix64
 
 #: Rows that one partition should hold, rows that a task packs at a time, and sets a hash may have.
-PART_ROWS, PACK_ROWS, HOT = 1 << 21, 1 << 21, 4096
+PART_ROWS, PACK_ROWS, HOT = 1 << 21, 1 << 19, 4096
 #: Weight (in hashes) of either side of one block of pairs, about 8 bytes each.
 BLOCK_WEIGHT = 1 << 21
 #: Candidate pairs that a task holds before it packs them.
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 20
 BITS = 54
 #: Counters of the frequency table (4 bytes each), and how many of them one shuffled row holds.
 COUNTERS, CHUNK = 1 << 20, 1 << 14

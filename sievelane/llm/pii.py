@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat
+from .common import cut, flat, join_classes
 
 ROUNDS, DOUBT, TRUST, ACCEPT = 3, 2.0, 0.6, 0.6
 CANDIDATE = re.compile(
@@ -49,6 +49,8 @@ CANDIDATE = re.compile(
     r"|(?<![\w.@+\-])(?P<code>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}\d{6,9})(?!\w)"
     r"|(?<![\w.@\-])(?P<num>\+?\(?\d(?:[ .()/\-]{0,2}\d){5,})(?!\w)"
 )
+#: Trusted patterns that are broadcast at most.
+FEW = 100_000
 #: Java's filter before Python: a text without these has no candidate.
 HINT = "@|[0-9]"
 MIN_DIGITS, WORD = 7, re.compile(r"[^\W\d_]+")
@@ -172,7 +174,9 @@ def score(found: DataFrame, rounds: int = ROUNDS, doubt: float = DOUBT, trust: f
     scored = seeds
     for _ in range(rounds):
         sums = edges.select("value", "pattern").join(scored, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        conf = sums.join(sizes, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + doubt)).alias("conf")).filter(F.col("conf") >= trust)
+        conf = cut(sums.join(sizes, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + doubt)).alias("conf")).filter(F.col("conf") >= trust))
+        if conf.count() <= FEW:  # then a pattern that very many values have isn't shuffled
+            conf = F.broadcast(conf)
         new = edges.filter("seed is null").select("value", "pattern").join(conf, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
         new = new.filter(F.col("score") >= accept).groupBy("value").agg(F.expr("max_by(struct(kind, score), struct(score, -ascii(kind), reverse(kind)))").alias("b")).select("value", "b.kind", "b.score")
         scored = cut(seeds.unionByName(new))
@@ -182,4 +186,6 @@ def score(found: DataFrame, rounds: int = ROUNDS, doubt: float = DOUBT, trust: f
 def extract(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(HINT))
     found = cut(docs.mapInArrow(_find, "doc_id long, start long, value string, seed string, patterns array<string>"))
-    return found.select("doc_id", "start", "value").join(score(found), "value").select("doc_id", "start", F.length("value").cast("long").alias("length"), "kind", F.round("score", 6).alias("score"), "origin", F.md5("value").alias("value_md5"))
+    # a value may be in a third of all rows, so frequent ones are joined by broadcast
+    kinds = cut(score(found).join(found.groupBy("value").agg(F.count("*").alias("m")), "value"))
+    return join_classes(found.select("doc_id", "start", "value"), kinds, "value").select("doc_id", "start", F.length("value").cast("long").alias("length"), "kind", F.round("score", 6).alias("score"), "origin", F.md5("value").alias("value_md5"))
