@@ -8,7 +8,7 @@ cost doesn't depend on the number of documents:
 2. The other pieces are counted by length in ``BINS`` bins of equal width (rounded up).
 3. *Patterns* are all multisets of up to ``DEPTH`` bins that fill a sequence exactly, and each bin
    alone. Non-negative least squares fits repeat counts of patterns to the histogram; a weight makes short
-   lengths, which are easy to place, matter less. Counts are rounded down to what the histogram
+   lengths, which are easy to place, matter less. Counts are rounded, at most to what the histogram
    still offers, and the residual histogram is fitted again until a round places nothing.
 4. What is left is packed best-fit decreasing on the histogram: patterns again, each with the
    number of times that it fits. Every piece now has a slot in some pattern.
@@ -37,7 +37,9 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-CAPACITY, BINS, DEPTH, CELLS = 2048, 64, 3, 256
+CAPACITY, BINS, DEPTH = 2048, 64, 3
+#: Cells in which the pieces of a bin are numbered, at least, and documents for which there is one more.
+CELLS, CELL_ROWS = 256, 100_000
 TOKENS = "cast(ceil(length(text) / 4) as bigint)"
 
 
@@ -139,26 +141,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = BINS, depth: int
     width = capacity // bins
     length = F.expr(length) if isinstance(length, str) else length
     rows = docs.select(F.col("doc_id"), length.alias("n")).filter("n > 0")
-    rows = rows.withColumn("cell", F.expr(f"cast(pmod(xxhash64(doc_id, n), {CELLS}) as int)"))
+    cells = max(CELLS, min(1 << 16, docs.count() // CELL_ROWS))
+    rows = rows.withColumn("cell", F.expr(f"cast(pmod(xxhash64(doc_id, n), {cells}) as int)"))
     piece = F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})"))
     rows = rows.select("doc_id", "n", "cell", piece.alias("piece")).withColumn("n_tokens", F.expr(f"least(n - piece * {capacity}, {capacity})"))
     rows = rows.withColumn("bin", F.expr(f"cast(ceil(n_tokens / {width}) as int)"))
     rows = cut(rows.withColumn("local", F.expr("row_number() over (partition by cell, bin order by doc_id, n, piece)")))
-    sizes = rows.groupBy("cell", "bin").count()  # at most CELLS x bins rows
-    per: dict[int, dict[int, int]] = {}
-    for r in sizes.collect():
-        per.setdefault(r.bin, {})[r.cell] = r["count"]
-    histogram, base = np.zeros(bins, np.int64), []
-    for b in sorted(per):
-        for c in sorted(per[b]):
-            base.append((c, b, int(histogram[b - 1])))
-            histogram[b - 1] += per[b][c]
+    sizes = rows.groupBy("cell", "bin").count()
+    histogram = np.zeros(bins, np.int64)
+    for r in sizes.groupBy("bin").agg(F.sum("count").alias("n")).collect():  # a row for each bin
+        histogram[r.bin - 1] = r.n
     chosen = plan(histogram, depth)
     spark = docs.sparkSession
-    base_df = spark.createDataFrame(base, "cell int, bin int, base long")
+    base_df = sizes.select("cell", "bin", F.expr("sum(count) over (partition by bin order by cell) - count").alias("base"))
     # a full sequence is a pattern with one slot of the largest bin, so it needs no case of its own
     slot_df = spark.createDataFrame(slots(chosen), T.StructType([T.StructField(c, T.LongType() if c in ("lo", "hi", "pack") else T.IntegerType()) for c in ("bin", "lo", "hi", "pack", "slot")]))
-    placed = rows.join(F.broadcast(base_df), ["cell", "bin"]).withColumn("rank", F.col("base") + F.col("local") - 1)
+    placed = rows.join(base_df, ["cell", "bin"]).withColumn("rank", F.col("base") + F.col("local") - 1)
     placed = placed.join(F.broadcast(slot_df), "bin").filter("rank >= lo and rank < hi")
     placed = placed.withColumn("pack_id", F.col("pack") + F.col("rank") - F.col("lo"))
     offset = F.expr("coalesce(sum(n_tokens) over (partition by pack_id order by slot rows between unbounded preceding and 1 preceding), 0L)")
