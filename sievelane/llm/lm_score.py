@@ -46,8 +46,9 @@ from .textkit import mix64
 
 DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES, BRANCH, PULL = 16, 32, 48, 36, 4096, 256, 16, 50.0
 ROUNDS, BATCH, RATE, SEED = 2, 64, 0.01, 7
-#: Windows scored in one numpy batch, and bytes of text that are encoded at a time.
-SCORE_BATCH, TEXT_BYTES = 48, 1 << 22
+#: Windows that numpy works on at a time, so that its arrays stay near the core (a step sums several), and
+#: bytes of text that are encoded at a time.
+MICRO, TEXT_BYTES = 32, 1 << 22
 
 
 def encode(enc, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -349,10 +350,16 @@ def _train(shared, turn: int, rounds: int):
         def learn(x, live, y, ask):
             nonlocal step, tokens
             step += 1
-            tokens += int(ask.sum())
-            _, grads = gradients(p, x, live, y, ask)
-            for n, g in grads.items():
-                into[n][...] = g
+            whole = int(ask.sum())
+            tokens += whole
+            grad[:] = 0
+            for i in range(0, len(x), MICRO):
+                own = slice(i, i + MICRO)
+                _, grads = gradients(p, x[own], live[own], y[own], ask[own])
+                share = np.float32(int(ask[own].sum()) / max(1, whole))
+                for n, g in grads.items():
+                    g *= share
+                    into[n] += g
             rate = np.float32(RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step))
             np.multiply(one, np.float32(0.9), out=one)
             np.multiply(two, np.float32(0.98), out=two)
@@ -482,8 +489,8 @@ def _score(shared):
             take, begin, left, text = windows(ids, off, voc.slot)
             total = np.zeros(len(ids))
             y = voc.group[ids]
-            for i in range(0, len(text), SCORE_BATCH):
-                rows = np.arange(i, min(i + SCORE_BATCH, len(text)))
+            for i in range(0, len(text), MICRO):
+                rows = np.arange(i, min(i + MICRO, len(text)))
                 x, live = take(rows)
                 z, _ = encode_windows(p, x, live)
                 lo, hi = begin[rows[0]], begin[rows[-1]] + left[rows[-1]]  # windows lie side by side
