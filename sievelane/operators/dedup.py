@@ -172,8 +172,8 @@ def label_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def replay(edges: pd.DataFrame) -> pd.DataFrame:
-    """Rows that the greedy rule drops in one component: buckets by (first, band), pairs in order;
-    a row that is already dropped neither keeps nor is dropped again."""
+    """Rows that the greedy rule drops, one pair after the other: buckets by (first, band), pairs in order;
+    a row that is already dropped neither keeps nor is dropped again. ``dropped`` gives the same."""
     gone: set[int] = set()
     for a, b in edges.sort_values(["first", "band", "a", "b"])[["a", "b"]].itertuples(index=False):
         if a not in gone and b not in gone:
@@ -181,12 +181,26 @@ def replay(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"p": pd.Series(sorted(gone), dtype="int64")})
 
 
+def dropped(edges: DataFrame) -> DataFrame:
+    """p of the rows that the greedy rule drops. A row is dropped at the first pair whose kept row isn't
+    dropped before; that depends on rows before it only, so repeating the definition for all rows at once
+    settles them in order of the longest chain that leads to them. No task holds a connected group."""
+    e = cut(edges.select("a", "b", F.struct("first", "band", "a", "b").alias("o")))
+    when = cut(e.groupBy("b").agg(F.min("o").alias("t")))
+    seen = None
+    while True:
+        state = when.agg(F.count("*"), F.sum(F.expr("cast(pmod(xxhash64(b, t), 1000000007) as decimal(38,0))"))).first()
+        if state == seen:
+            return when.select(F.col("b").alias("p"))
+        seen = state
+        before = when.select(F.col("b").alias("a"), "t")
+        when = cut(e.join(before, "a", "left").filter("t is null or t > o").groupBy("b").agg(F.min("o").alias("t")))
+
+
 def near_dedup(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """Survivors of the exact and then the greedy near-duplicate pass; empty texts stay
     (once), and so do nulls (once)."""
-    edges = lsh_edges(df, pos, text, threshold)
-    comp = label_components(edges, "a", "b")
-    gone = edges.join(comp, F.col("a") == F.col("node")).groupBy("component").applyInPandas(lambda g: replay(g), "p long")
+    gone = dropped(lsh_edges(df, pos, text, threshold))
     return exact_dedup(df, pos, text).join(gone.withColumnRenamed("p", pos), pos, "left_anti")
 
 
@@ -194,8 +208,7 @@ def collapse_report(df: DataFrame, pos: str, text: str = "text", threshold: floa
     """One row: rows, survivors of the exact pass, near-duplicates that the second pass drops, whether they are
     more than ``share`` of the survivors, and up to ``samples`` pairs of beginnings (kept, dropped) as examples."""
     edges = lsh_edges(df, pos, text, threshold)
-    comp = label_components(edges, "a", "b")
-    gone = cut(edges.join(comp, F.col("a") == F.col("node")).groupBy("component").applyInPandas(lambda g: replay(g), "p long"))
+    gone = dropped(edges)
     pairs = edges.select("first", "band", "a", "b").join(gone.withColumnRenamed("p", "b"), "b", "left_semi").join(gone.withColumnRenamed("p", "a"), "a", "left_anti")
     some = pairs.orderBy("first", "band", "a", "b").limit(samples)
     begin = lambda x: df.select(F.col(pos).cast("long").alias(x), F.substring(F.col(text), 1, 80).alias(f"text_{x}"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,15 @@ def test_vectors_match_brute_force(spark):
         assert {(r.vec_id, r.rank): r.neighbour for r in vectors.top_k(df.filter("vec_id % 10 = 0"), df, "vec_id", blocks=blocks).collect() if r.vec_id < 500} == want
     texts = spark.createDataFrame([("abab",), ("ab",), (None,)], "t string")
     assert [sum(r.embedding) for r in vectors.hashed_embedding(texts, "t", 16).collect()] == [2.0, 0.0, 0.0]
+
+
+def test_rows_drop_as_in_the_sequential_rule(spark):
+    rng = np.random.default_rng(13)
+    for n in (6, 40, 90):
+        pairs = {tuple(sorted(int(x) for x in rng.integers(0, n, 2))) for _ in range(2 * n)}
+        rows = [(int(rng.integers(0, 5)), int(rng.integers(0, 3)), a, b) for a, b in pairs if a != b for _ in range(int(rng.integers(1, 3)))]
+        rows += [(0, 0, i, i + 1) for i in range(n, n + 12)]  # a chain
+        edges = pd.DataFrame(rows, columns=["first", "band", "a", "b"])
+        got = sorted(r.p for r in dedup.dropped(spark.createDataFrame(rows, "first long, band int, a long, b long")).collect())
+        assert got == dedup.replay(edges)["p"].tolist()
+    assert dedup.dropped(spark.createDataFrame([], "first long, band int, a long, b long")).count() == 0
