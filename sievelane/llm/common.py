@@ -37,11 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished, checkpointed phases. The first collection only
-    finds plans that Python has just let go of; their shuffles are free in the one after."""
-    for _ in range(3):
+    finds plans that Python has just let go of; their shuffles are free in the one after. On one
+    machine there is one collection and no wait."""
+    for k in range(1 if spark.sparkContext.master.startswith("local[") else 3):
+        time.sleep(0.3 * (k > 0))
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
 
 
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
