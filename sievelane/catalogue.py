@@ -488,8 +488,9 @@ def cascade_calibrated(s, d):
 
 @query()
 def clopper_pearson(s, d):
-    n = table(s, d, "labels").count()
-    return s.createDataFrame([(k, n, cascade.upper_bound(k, n)) for k in (0, 1, n // 10, n)], "errors long, n long, bound double")
+    """Upper bounds of the share of documents of low quality, by source."""
+    n = docs(s, d).join(table(s, d, "labels"), "doc_id").groupBy("source").agg(F.sum((F.col("quality") == 0).cast("long")).alias("errors"), F.count("*").alias("n"))
+    return n.withColumn("bound", cascade.upper_bounds("errors", "n"))
 
 
 # The feedback loop
@@ -584,7 +585,7 @@ def curate_stream(s, d):
     return stream_log.curated(s, f"{base}/state").select("input_hash", "label")
 
 
-@query()
+@query("SELECT event_type AS tier, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
 def prediction_log_stream(s, d):
     import os
 
@@ -592,7 +593,7 @@ def prediction_log_stream(s, d):
     read = s.readStream.schema(table(s, d, "events").schema)
     rows = read.parquet(path) if os.path.isdir(path) else read.option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.select(F.col("event_id").alias("pos"), "ts", F.col("event_type").alias("tier"), F.concat(F.lit("q"), F.col("user_id")).alias("text"), F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"))
-    return loop.tier_coverage(stream_log.run_through(s, rows))
+    return loop.tier_coverage(stream_log.run_through(s, rows)).withColumn("share", r6("share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def align(tiers: dict[str, DataFrame]) -> DataFrame:
@@ -71,6 +72,12 @@ def upper_bound(k: int, n: int, confidence: float = 0.95) -> float:
     return hi
 
 
+@F.pandas_udf(T.DoubleType())
+def upper_bounds(k: pd.Series, n: pd.Series) -> pd.Series:
+    """``upper_bound`` at 95 % of each row's (errors, trials)."""
+    return pd.Series([upper_bound(int(a), int(b)) for a, b in zip(k, n)])
+
+
 def architectures(tiers: list[str]) -> list[tuple[str, ...]]:
     """All subsequences of the tiers in order, longest first."""
     return [c for k in range(len(tiers), 0, -1) for c in combinations(tiers, k)]

@@ -96,3 +96,8 @@ def test_rows_drop_as_in_the_sequential_rule(spark):
         got = sorted(r.p for r in dedup.dropped(spark.createDataFrame(rows, "first long, band int, a long, b long")).collect())
         assert got == dedup.replay(edges)["p"].tolist()
     assert dedup.dropped(spark.createDataFrame([], "first long, band int, a long, b long")).count() == 0
+
+
+def test_bounds_of_a_table(spark):
+    got = spark.createDataFrame([(0, 10), (3, 200), (5, 5)], "k long, n long").withColumn("b", cascade.upper_bounds("k", "n")).collect()
+    assert [r.b for r in got] == [cascade.upper_bound(r.k, r.n) for r in got]
