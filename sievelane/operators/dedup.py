@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
@@ -105,32 +104,58 @@ def _groups(texts: list[str]):
 
 
 def _bands(batches):
-    """(p, band, key) of texts."""
+    """(p, band, key, number of grams) of texts."""
     grams, rows = Grams(), HASHES // BANDS
     for batch in batches:
-        ids = iter(batch.column(0).to_pylist())
+        ids, at = batch.column(0).to_pylist(), 0
         for group in _groups(batch.column(1).to_pylist()):
-            out = [(p, b, s[b * rows : (b + 1) * rows].tobytes()) for p, h in zip(ids, grams(group)) if (s := signature(h)) is not None for b in range(BANDS)]
+            own, at = ids[at : at + len(group)], at + len(group)
+            out = [(p, b, s[b * rows : (b + 1) * rows].tobytes(), len(h)) for p, h in zip(own, grams(group)) if (s := signature(h)) is not None for b in range(BANDS)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["p", "band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["p", "band", "key", "n"])
 
 
 def _gram_hashes(batches):
     """(p, g): sorted 64-bit hashes of the distinct grams of texts."""
     grams = Grams()
     for batch in batches:
-        ids = iter(batch.column(0).to_pylist())
+        ids, at = batch.column(0).to_pylist(), 0
         for group in _groups(batch.column(1).to_pylist()):
+            own, at = ids[at : at + len(group)], at + len(group)
             got = [np.sort(h) for h in grams(group)]
             off = np.cumsum([0, *map(len, got)])
-            yield pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in group], pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))], names=["p", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(got).view(np.int64)))], names=["p", "g"])
 
 
-@F.pandas_udf(T.DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of sets of distinct hashes."""
-    both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-    return pd.Series([n / (len(x) + len(y) - n) if len(x) + len(y) else 0.0 for n, x, y in zip(both, a, b)])
+def _jaccard(threshold: float):
+    """Pairs of a block whose sets of hashes reach the threshold, with their similarity."""
+
+    def run(pairs: pa.Table, grams: pa.Table) -> pa.Table:
+        sets = dict(zip(grams["p"].to_pylist(), (np.asarray(g.values) for g in grams["g"])))
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], float)
+        size = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(a, b)], float)
+        j = both / np.maximum(size - both, 1)
+        keep = pa.array(np.flatnonzero(j >= threshold))
+        return pa.table({"a": pairs["a"].take(keep), "b": pairs["b"].take(keep), "jaccard": j[np.asarray(keep)]})
+
+    return run
+
+
+#: Texts on either side of a block of pairs.
+BLOCK = 1000
+
+
+def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of the pairs that reach the threshold. Pairs are compared in blocks by the smallest
+    partner of b, so that a group of similar texts ships each once; large blocks are cut into a grid."""
+    pairs = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("block")), "b")
+    cuts = [pairs.select("block", x).distinct().groupBy("block").agg(F.expr(f"cast(ceil(count(*) / {float(BLOCK)}) as int)").alias(f"cut_{x}")) for x in "ab"]
+    large = cuts[0].join(cuts[1], "block").filter("cut_a > 1 or cut_b > 1")
+    pairs = pairs.join(large, "block", "left").select("a", "b", F.expr("concat_ws(':', block, pmod(xxhash64(a), coalesce(cut_a, 1)), pmod(xxhash64(b), coalesce(cut_b, 1)))").alias("key"))
+    pairs = cut(pairs)
+    wanted = pairs.select("key", F.explode(F.array("a", "b")).alias("p")).distinct().join(grams, "p").select(F.col("key").alias("block"), "p", "g")
+    return pairs.groupBy("key").cogroup(wanted.groupBy("block")).applyInArrow(_jaccard(threshold), "a long, b long, jaccard double")
 
 
 def lsh_edges(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -140,17 +165,16 @@ def lsh_edges(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.
     checkpointed, since callers use it more than once. Positions are integers."""
     base = exact_dedup(df.select(F.col(pos).cast("long").alias("p"), F.col(text).alias("t")), "p", "t").select("p", tx.normalize_text(F.col("t")).alias("t")).filter("length(t) > 0")
     base = cut(base)
-    keyed = base.mapInArrow(_bands, "p long, band int, key binary")
+    keyed = cut(base.mapInArrow(_bands, "p long, band int, key binary, n int"))
     buckets = keyed.groupBy("band", "key").agg(F.min("p").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
     keyed = cut(keyed.join(buckets, ["band", "key"]))
-    a, b = (keyed.select("band", "key", "first", F.col("p").alias(x)) for x in "ab")
-    shared = cut(a.join(b, ["band", "key", "first"]).filter("a < b").select("first", "band", "a", "b"))
+    a, b = (keyed.select("band", "key", "first", F.col("p").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    alike = f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9"  # sizes that the threshold allows
+    shared = cut(a.join(b, ["band", "key", "first"]).filter("a < b").filter(alike).select("first", "band", "a", "b"))
     pairs = shared.select("a", "b").distinct()
-    wanted = keyed.select("p").distinct()
+    wanted = shared.select(F.explode(F.array("a", "b")).alias("p")).distinct()
     grams = cut(base.join(wanted, "p", "left_semi").mapInArrow(_gram_hashes, "p long, g array<long>"))
-    ga, gb = (grams.select(F.col("p").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
-    good = pairs.join(ga, "a").join(gb, "b").select("a", "b", jaccard("ga", "gb").alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return cut(shared.join(good, ["a", "b"]).select("first", "band", "a", "b", "jaccard"))
+    return cut(shared.join(verified(pairs, grams, threshold), ["a", "b"]).select("first", "band", "a", "b", "jaccard"))
 
 
 def label_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,16 @@ def test_rows_drop_as_in_the_sequential_rule(spark):
 def test_bounds_of_a_table(spark):
     got = spark.createDataFrame([(0, 10), (3, 200), (5, 5)], "k long, n long").withColumn("b", cascade.upper_bounds("k", "n")).collect()
     assert [r.b for r in got] == [cascade.upper_bound(r.k, r.n) for r in got]
+
+
+def test_bands_and_grams_belong_to_their_rows(monkeypatch):
+    monkeypatch.setattr(dedup, "AT_ONCE", 30)
+    texts = [f"text number {i} with some words {i * 7}" for i in range(9)] + ["", "tiny"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 111), pa.int64()), pa.array(texts)], names=["p", "t"])
+    grams = {100 + i: np.sort(dedup.Grams()([t])[0]) for i, t in enumerate(texts)}
+    got = {p: np.asarray(g).view(np.uint64) for out in dedup._gram_hashes(iter([batch])) for p, g in zip(out.column("p").to_pylist(), (np.array(x, np.int64) for x in out.column("g").to_pylist()))}
+    assert got.keys() == grams.keys() and all((got[p] == grams[p]).all() for p in grams)
+    bands = [r for out in dedup._bands(iter([batch])) for r in out.to_pylist()]
+    width = dedup.HASHES // dedup.BANDS
+    want = {(p, b): (dedup.signature(g)[b * width : (b + 1) * width].tobytes(), len(g)) for p, g in grams.items() if len(g) for b in range(dedup.BANDS)}
+    assert {(r["p"], r["band"]): (r["key"], r["n"]) for r in bands} == want
