@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import NGRAM, THRESHOLD, groups
+from .ngram_join import NGRAM, THRESHOLD, connected
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    gone = groups(docs, n, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    gone = connected(docs, n, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     again = docs.groupBy(F.col("doc_id").cast("long").alias("_again")).count().filter("_again is null or count > 1").select("_again")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_id", F.col("row.doc_id").cast("long"))
     left = row.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti")

@@ -25,7 +25,9 @@ that is broadcast, and collisions in it can cost time but never a pair.
 connected group of similar documents, its own if there is none), ``links`` (number of other documents
 that are similar to it, copies included) and ``best`` (the highest similarity to one of them, 6 digits,
 null without). Links are counted where they are verified, so pairs of a group of copies are never
-written. ``similar_pairs(docs)`` returns pairs ``doc_a < doc_b, jaccard``: a class as a star of its
+written. ``connected(docs)`` returns ``doc_id`` and ``class_id`` alone, without the work of a pair for each link: a first pass
+links each set with the few next in size at each hash, a second one looks only at pairs of sets that the
+first has not connected. ``similar_pairs(docs)`` returns pairs ``doc_a < doc_b, jaccard``: a class as a star of its
 smallest member, and all pairs of the smallest members of two classes. ``all_pairs`` expands it.
 
 Edge cases: null, empty and punctuation-only texts have no shingles and pair with nothing; texts
@@ -52,6 +54,8 @@ from .textkit import distinct_shingles, set_digest
 NGRAM, THRESHOLD, DEEP = 3, 0.55, 8
 #: Cells of the suffix filter's histogram, and pairs that are compared at a time.
 CELLS, PAIRS_AT_ONCE = 128, 20_000
+#: Sets behind it that a set meets at a hash in the first pass of ``connected``.
+NEAR = 4
 #: Members of a class that one row of the expansion holds; two such rows give at most PART^2 pairs.
 PART = 256
 
@@ -172,9 +176,9 @@ def _verify(n: int, threshold: float, clash: np.ndarray, links: bool):
     return run
 
 
-def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _joined(docs: DataFrame, n: int, threshold: float, links: bool, whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (``doc_id, name``), classes (``name, rep, n, m``: smallest document, size, number of members)
-    and what ``_verify`` found of pairs of classes."""
+    and what ``_verify`` found of pairs of classes; unless ``whole``, only what connects them, as (name, root)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -193,27 +197,48 @@ def _joined(docs: DataFrame, n: int, threshold: float, links: bool) -> tuple[Dat
         o = need(na, nb)
         return np.maximum(x - na, y - nb) < np.minimum(DEEP, o) - o
 
-    rows = docs.select("text").mapInArrow(_prefixes(n, threshold, table, parts, clash), pairing.ROW)
-    pairs = cut(pairing.candidates(rows, parts, lambda na, nb: na >= threshold * nb - 1e-9, test, lambda met, na, nb: met >= np.minimum(DEEP, need(na, nb))))
-    del rows
-    release(spark)
+    def verified(**limits):
+        rows = docs.select("text").mapInArrow(_prefixes(n, threshold, table, parts, clash), pairing.ROW)
+        pairs = cut(pairing.candidates(rows, parts, lambda na, nb: na >= threshold * nb - 1e-9, test, lambda met, na, nb: met >= np.minimum(DEEP, need(na, nb)), **limits))
+        del rows
+        release(spark)
+
+        pairs = cut(pairing.blocks(pairs).select("key", "a", "b"))
+        release(spark)
+        texts = pairing.payload(pairs, {"a": classes, "b": classes}, docs, "text")
+        found = cut(pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold, clash, links), _LINKS if links else _PAIRS))
+        del texts
+        release(spark)
+        return found
+
+    if whole:
+        return members, classes, verified()
+    near = cut(components(verified(near=NEAR).select("name", "root"), "name", "root"))
+    known = pairing.known_groups(near)
+    found = verified(known=known and spark.sparkContext.broadcast(known)).select("name", "root")
+    return members, classes, near.toDF("name", "root").unionByName(found)
+
+
+def _linked(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(``name, group``) of the classes that ``edges`` (name, root) or a document with several texts connect."""
+    several = members.groupBy("doc_id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo < hi")
+    same = members.join(several, "doc_id").filter("name > lo").select("name", F.col("lo").alias("root"))
+    return components(edges.unionByName(same), "name", "root").withColumnsRenamed({"node": "name", "component": "group"})
+
 
-    pairs = cut(pairing.blocks(pairs).select("key", "a", "b"))
-    release(spark)
-    texts = pairing.payload(pairs, {"a": classes, "b": classes}, docs, "text")
-    found = cut(pairs.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(_verify(n, threshold, clash, links), _LINKS if links else _PAIRS))
-    del texts
-    release(spark)
-    return members, classes, found
+def connected(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id`` of documents with shingles, as ``groups`` gives them; see the module text."""
+    members, classes, edges = _joined(docs, n, threshold, links=True, whole=False)
+    whole = classes.select("name", "rep", "m").join(_linked(members, edges), "name", "left").withColumn("group", F.coalesce("group", "name"))
+    whole = cut(whole.join(whole.groupBy("group").agg(F.min("rep").alias("class_id")), "group").select("name", "m", "class_id"))
+    return join_classes(members, whole, "name").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def groups(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: its group, its links and its highest similarity; see the module text."""
     members, classes, found = _joined(docs, n, threshold, links=True)
     per = found.groupBy("name").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
-    several = members.groupBy("doc_id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo < hi")
-    same = members.join(several, "doc_id").filter("name > lo").select("name", F.col("lo").alias("root"))
-    linked = components(found.select("name", "root").unionByName(same), "name", "root").withColumnsRenamed({"node": "name", "component": "group"})
+    linked = _linked(members, found.select("name", "root"))
     whole = classes.select("name", "rep", "m").join(per, "name", "left").join(linked, "name", "left").withColumn("group", F.coalesce("group", "name"))
     low = whole.groupBy("group").agg(F.min("rep").alias("class_id"))
     whole = cut(whole.join(low, "group").select("name", "m", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.when(F.col("m") > 1, 1.0).otherwise(F.col("best")).alias("best")))

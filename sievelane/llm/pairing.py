@@ -10,6 +10,9 @@ frequency table expects more than ``HOT`` sets is spread over a triangle of cell
 divided in g parts, cell (i, j) gets parts i and j and pairs one with the other, so no task holds
 more than about 2 ``HOT`` sets of one hash, and no pair is lost.
 
+Where only connected groups are asked for, pairs of sets that are known to be connected are passed over:
+a run of them is one step, so a group of k sets costs about k steps at a hash and not k^2 / 2.
+
 Within a partition a hash is compared by 32 of its bits. Partitions have a bounded number of rows,
 so chance matches stay rare at any size; they cost a comparison and never a pair.
 """
@@ -30,8 +33,11 @@ from .textkit import mix64
 
 #: Rows that one partition should hold, rows that a task packs at a time, and sets a hash may have.
 PART_ROWS, PACK_ROWS, HOT = 1 << 21, 1 << 19, 4096
-#: Weight (in hashes) of either side of one block of pairs, about 8 bytes each.
-BLOCK_WEIGHT = 1 << 21
+#: Weight (in hashes) of either side of one block of pairs, about 8 bytes each; what a set weighs besides;
+#: sets of either side of a block with more than BLOCK_SETS^2 pairs.
+BLOCK_WEIGHT, SET_WEIGHT, BLOCK_SETS = 1 << 19, 128, 1 << 9
+#: Names whose connected group is known beforehand, 12 bytes each.
+KNOWN = 1 << 20
 #: Candidate pairs that a task holds before it packs them.
 HELD_PAIRS = 1 << 20
 BITS = 54
@@ -214,7 +220,25 @@ def _pack_pairs(a: np.ndarray, b: np.ndarray, numbers: list[np.ndarray], parts:
 Test = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, parts: int, search: bool):
+def known_groups(linked: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted names and small numbers of their groups, of (``node``, ``component``): those of the largest groups,
+    at most ``KNOWN`` names. What is left out costs comparisons, never a pair."""
+    sizes = linked.groupBy("component").count()
+    least, names = None, 0
+    for r in sizes.groupBy("count").agg(F.count("*").alias("groups")).orderBy(F.desc("count")).toLocalIterator():
+        names += r["count"] * r.groups
+        if least is not None and names > KNOWN:
+            break
+        least = r["count"]
+    if least is None:
+        return None
+    got = linked.join(sizes.filter(F.col("count") >= least), "component").select("node", "component").limit(KNOWN).toArrow()
+    names, label = np.asarray(got["node"]).view(np.uint64), np.unique(np.asarray(got["component"]), return_inverse=True)[1].ravel()
+    order = np.argsort(names)
+    return names[order], label[order].astype(np.uint32)
+
+
+def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, parts: int, search: bool, near: int | None = None, known=None):
     def run(batches: Iterator[pa.RecordBatch]):
         got = _unpack(batches)
         if got is None:
@@ -232,6 +256,12 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
         key, pos = key[fresh], pos[fresh]
         h, c = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
         side, pos, n, asked = pos >> np.uint32(30), (pos & np.uint32((1 << 30) - 1)).astype(np.int64), (sizes & ~ASKED).astype(np.int64)[c], (sizes >= ASKED)[c]
+        if known is not None:
+            table, label = known.value
+            at = np.minimum(np.searchsorted(table, names), len(table) - 1)
+            group = np.where(table[at] == names, label[at], len(table) + np.arange(len(names)))[c]
+            ends = np.append(np.flatnonzero((h[1:] != h[:-1]) | (group[1:] != group[:-1])) + 1, len(h))
+            after = np.repeat(ends, np.diff(ends, prepend=0))  # the first row behind a run of one group
         held, many = [], 0
 
         def out():
@@ -239,21 +269,28 @@ def _match(reach: Callable[[np.ndarray, np.ndarray], np.ndarray], test: Test, pa
             a, b = p >> 32, p & 0xFFFFFFFF
             return _pack_pairs(names[a], names[b], [met, sizes[a], sizes[b]], parts)
 
-        i, step = np.flatnonzero(np.concatenate((h[1:] == h[:-1], [False]))), 1
-        while len(i):
-            i = i[i + step < len(h)]
-            i = i[(h[i] == h[i + step])]
-            i = i[reach(n[i], n[i + step])]
-            j = i + step
+        i, step = np.flatnonzero(np.concatenate((h[1:] == h[:-1], [False]))), 0
+        j = i + 1
+        while len(i) and step != near:
+            live = j < len(h)
+            i, j = i[live], j[live]
+            live = h[i] == h[j]
+            i, j = i[live], j[live]
+            live = reach(n[i], n[j])
+            i, j = i[live], j[live]
             good = test(n[i], n[j], pos[i], pos[j]) & ((side[i] == 0) | (side[i] != side[j]))
             if search:
                 good &= asked[i] != asked[j]
+            if known is not None:
+                apart = group[i] != group[j]
+                good &= apart
             if good.any():
                 held.append(c[i[good]] << 32 | c[j[good]])
                 many += len(held[-1])
             if many > HELD_PAIRS:
                 yield out()
                 held, many = [], 0
+            j = j + 1 if known is None else np.where(apart, j + 1, after[j])
             step += 1
         if held:
             yield out()
@@ -283,12 +320,13 @@ def _distinct(keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def candidates(rows: DataFrame, parts: int, reach, test: Test, keep, search: bool = False) -> DataFrame:
+def candidates(rows: DataFrame, parts: int, reach, test: Test, keep, search: bool = False, near: int | None = None, known=None) -> DataFrame:
     """Distinct pairs of names (a, b) and sizes (w_a, w_b) of sets that share hashes. ``test(n, m, pos, pos)``
     says which matches count, ``keep(met, n, m)`` which pairs stay, given the number of their matches;
     ``reach(n, m)`` for n <= m must stay false as m grows. With ``search``, one of the two is marked as a
-    query (``ASKED`` in its size); ``asked`` says whether it is a."""
-    met = rows.repartitionById(parts, F.col("part")).mapInArrow(_match(reach, test, parts, search), ROW)
+    query (``ASKED`` in its size); ``asked`` says whether it is a. With ``near``, a set meets only so many of those
+    behind it at each hash; ``known``, a broadcast of ``known_groups``, leaves out pairs inside a group."""
+    met = rows.repartitionById(parts, F.col("part")).mapInArrow(_match(reach, test, parts, search, near, known), ROW)
     return met.repartitionById(parts, F.col("part")).mapInArrow(_distinct(keep), "a long, b long, w_a long, w_b long, asked boolean")
 
 
@@ -307,14 +345,15 @@ def payload(pairs: DataFrame, sides: dict[str, DataFrame], docs: DataFrame, colu
 def blocks(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b, w_a, w_b) with a ``key``: pairs of a block are compared in one task, which
     gets each set once. A block is named by the smallest partner of b; blocks that are too heavy are
-    cut into a grid by the weights of their two sides."""
+    cut into a grid by the weights of their two sides, those with too many pairs by the numbers of their sets."""
     low = pairs.groupBy("b").agg(F.min("a").alias("block"))
     pairs = pairs.join(low, "b")
-    weight = None
+    weight = pairs.groupBy("block").agg(F.count("*").alias("many"))
     for x in "ab":
-        side = pairs.select("block", x, f"w_{x}").distinct().groupBy("block").agg(F.expr(f"cast(ceil(sum(w_{x}) / {float(BLOCK_WEIGHT)}) as int)").alias(f"cut_{x}"))
-        weight = side if weight is None else weight.join(side, "block")
-    heavy = weight.filter("cut_a > 1 or cut_b > 1")
+        side = pairs.select("block", x, f"w_{x}").distinct().groupBy("block").agg(F.sum(F.col(f"w_{x}") + SET_WEIGHT).alias("w"), F.count("*").alias("sets"))
+        cells = F.expr(f"cast(greatest(ceil(w / {float(BLOCK_WEIGHT)}), if(many > {BLOCK_SETS**2}, ceil(sets / {float(BLOCK_SETS)}), 1)) as int)")
+        weight = weight.join(side, "block").withColumn(f"cut_{x}", cells).drop("w", "sets")
+    heavy = weight.filter("cut_a > 1 or cut_b > 1").drop("many")
     pairs = pairs.join(heavy, "block", "left")
     return pairs.withColumn("key", F.expr("concat_ws(':', block, pmod(xxhash64(a), coalesce(cut_a, 1)), pmod(xxhash64(b), coalesce(cut_b, 1)))")).drop("block", "cut_a", "cut_b")
 
