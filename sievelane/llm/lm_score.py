@@ -17,7 +17,7 @@ The model is trained here, in numpy, on subword ids of a public tiktoken vocabul
 4. *Scoring.* Windows of ``WINDOW`` inputs overlap by ``WINDOW - STRIDE``: each predicts its last
    ``STRIDE`` tokens and sees the ones before as context, so each token of each document is scored
    exactly once. Attention is batched over windows, masked for causality and padding. Softmaxes are
-   shifted by their maximum.
+   shifted by their maximum where values are far from zero.
 
 ``score(docs)`` returns ``doc_id, n_tokens, log_prob`` (natural log of the whole text),
 ``nll`` (per token) and ``perplexity``.
@@ -46,14 +46,14 @@ from .textkit import mix64
 
 DIM, HIDDEN, WINDOW, STRIDE, SLOTS, CLASSES, BRANCH, PULL = 16, 32, 48, 36, 4096, 256, 16, 50.0
 ROUNDS, BATCH, RATE, SEED = 2, 64, 0.01, 7
-#: Windows that numpy works on at a time, so that its arrays stay near the core (a step sums several), and
-#: bytes of text that are encoded at a time.
-MICRO, TEXT_BYTES = 32, 1 << 22
+#: Windows that numpy works on at a time (a step sums several if it has more), and bytes of text that are
+#: encoded at a time.
+MICRO, TEXT_BYTES = 64, 1 << 22
 
 
 def encode(enc, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of texts and the offsets of its texts; a null counts as an empty text."""
-    parts = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in col.to_pylist()]
+    parts = [np.array(enc.encode_ordinary(t) if t else [], np.uint32) for t in col.to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum([0, *map(len, parts)])
 
 
@@ -161,133 +161,156 @@ def steady_heap() -> None:
         mallopt(option, size)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, over the last axis. Shifted by the largest value of all, which is quick; rows so far below
-    it that their sums vanish are done again with their own maximum."""
-    top = x.max(initial=0)
-    low = np.flatnonzero(x.max(-1) < top - 60) if top - x.min(initial=0) > 60 else ()
-    if len(low):
-        x[low] -= x[low].max(-1, keepdims=True) - top
-    x -= top
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
-    return x
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) and its sums over the first axis, which a softmax is the quotient of. If a value is large or a
+    sum vanishes, x is shifted by the maxima of its columns first, in place."""
+    if x.max(initial=0) < 60:
+        e = np.exp(x)
+        total = e.sum(0)
+        if total.min(initial=1) > 1e-25:
+            return e, total
+    x -= x.max(0)
+    e = np.exp(x)
+    return e, e.sum(0)
 
 
 def encode_windows(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, exact: bool = False):
     """Vectors of the last STRIDE positions of windows x (b, WINDOW) and what the gradients need; ``live``
     marks inputs that aren't padding. Attention isn't divided by its totals, which are divided out of its
-    result. It is shifted by its largest value, and by that of each row if a total vanishes."""
+    result. It is shifted by its largest value if that is large, and by that of each row if a total vanishes.
+    Keys come with positions last, as the product with queries takes them."""
     b, kind = len(x), p["emb"].dtype
     h = p["emb"].take(x.ravel(), 0).reshape(b, WINDOW, DIM)
     h += p["pos"]
     hq = np.ascontiguousarray(h[:, WINDOW - STRIDE :]).reshape(-1, DIM)
     q = (hq @ (p["wq"] / np.sqrt(DIM).astype(kind))).reshape(b, STRIDE, DIM)
-    kv = (h.reshape(-1, DIM) @ p["wkv"]).reshape(b, WINDOW, 2 * DIM)
-    k, v = np.ascontiguousarray(kv[:, :, :DIM]), np.ascontiguousarray(kv[:, :, DIM:])
-    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    k = p["wkv"][:, :DIM].T @ h.transpose(0, 2, 1)
+    v = (h.reshape(-1, DIM) @ p["wkv"][:, DIM:]).reshape(b, WINDOW, DIM)
+    a = q @ k
+    part = np.flatnonzero(~live.all(1))
     if exact:
         a += _SHUT + np.where(live, 0, -1e9).astype(kind)[:, None, :]
         a -= a.max(2, keepdims=True)
-    else:
-        a -= a.max()
+    elif (top := a.max(initial=0)) > 60:
+        a -= top
     np.exp(a, out=a)
     a *= _OPEN
-    if not live.all():
-        a *= live.astype(kind)[:, None, :]
-    total = (a @ np.ones(WINDOW, kind)).reshape(-1, 1)
+    if len(part):
+        a[part] *= live[part].astype(kind)[:, None, :]
+    total = a.reshape(-1, WINDOW) @ np.ones(WINDOW, kind)
     if not exact and total.min(initial=1) < 1e-25:
         return encode_windows(p, x, live, True)
-    np.maximum(total, 1e-30, out=total)
+    share = (1 / np.maximum(total, 1e-30))[:, None]
     o = (a @ v).reshape(-1, DIM)
-    o /= total
+    o *= share
     g = o @ p["wo"]
     g += hq
     r = g @ p["w1"]
-    r += p["b1"]
-    np.maximum(r, 0, out=r)
+    wide, bias = r.reshape(b, -1), np.empty((STRIDE, HIDDEN), kind)  # long rows: numpy is slow over short ones
+    bias[:] = p["b1"]
+    bias = bias.ravel()
+    np.maximum(wide, -bias, out=wide)
+    wide += bias
     z = r @ p["w2"]
     z += g
-    return z, (h, hq, q, k, v, a, total, o, g, r)
+    return z, (h, hq, q, k, v, a, share, o, g, r)
 
 
 def class_log_probs(p: dict[str, np.ndarray], z: np.ndarray, y: np.ndarray):
     """log P(class y) of each row of z, and what the gradients need: rows sorted by branch, the branches'
-    ends, and both softmaxes."""
+    ends, and both softmaxes before they are divided by their totals; their columns are the sorted rows."""
     branch = (y // BRANCH).astype(np.uint16)
     order = np.argsort(branch, kind="stable")
-    z, branch, leaf = z[order], branch[order], y[order] % BRANCH
-    ends = np.searchsorted(branch, np.arange(len(p["wlow"]) + 1))
-    top = z @ p["wtop"]
-    top += p["btop"]
-    top = _softmax(top)
-    low = p["blow"][branch]
-    for s in range(len(p["wlow"])):
-        if ends[s] < ends[s + 1]:
-            low[ends[s] : ends[s + 1]] += z[ends[s] : ends[s + 1]] @ p["wlow"][s]
-    low = _softmax(low)
+    z, branch, leaf = z.take(order, 0), branch.take(order), y.take(order) % BRANCH
+    ends = [0, *np.cumsum(np.bincount(branch, minlength=len(p["wlow"]))).tolist()]
+    top = p["wtop"].T @ z.T
+    top += p["btop"][:, None]
+    low = np.empty((len(z), BRANCH), z.dtype)
+    for w, i, j in zip(p["wlow"], ends, ends[1:]):
+        if i < j:
+            np.dot(z[i:j], w, low[i:j])
+    low += p["blow"].take(branch, 0)
+    low = np.ascontiguousarray(low.T)
     at = np.arange(len(z))
+    at_top, at_low = branch * np.int64(len(z)) + at, leaf * np.int64(len(z)) + at
+    (e_top, all_top), (e_low, all_low) = _exp(top), _exp(low)
     got = np.empty(len(z), z.dtype)
-    got[order] = np.log(np.maximum(top[at, branch], 1e-30)) + np.log(np.maximum(low[at, leaf], 1e-30))
-    return got, (order, z, branch, leaf, ends, top, low)
-
-
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index."""
-    out = np.zeros(n * rows.shape[1], rows.dtype)
-    np.add.at(out, (at.astype(np.int64)[:, None] * rows.shape[1] + np.arange(rows.shape[1])).ravel(), rows.ravel())
-    return out.reshape(n, -1)
-
-
-def gradients(p, x, live, y, ask) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over asked targets and its gradients."""
-    z, (h, hq, q, k, v, a, total, o, g, r) = encode_windows(p, x, live)
-    asked = np.flatnonzero(ask)
-    n, b, kind = max(1, len(asked)), len(x), z.dtype
-    whole = len(asked) == ask.size
-    got, (order, zs, branch, leaf, ends, top, low) = class_log_probs(p, z if whole else z[asked], y.ravel() if whole else y.ravel()[asked])
-    loss = -float(got.sum()) / n
-    at = np.arange(len(zs))
-    for d, i in ((top, branch), (low, leaf)):
-        d[at, i] -= 1
-        d /= n
+    got[order] = top.take(at_top) - np.log(all_top) + low.take(at_low) - np.log(all_low)
+    return got, (order, z, at_top, at_low, ends, e_top, e_low, all_top, all_low)
+
+
+def add_gradients(p, x, live, y, ask, n: int, into: dict[str, np.ndarray]) -> float:
+    """Loss over asked targets, divided by n; its gradients are added to ``into``."""
+    z, (h, hq, q, k, v, a, share, o, g, r) = encode_windows(p, x, live)
+    b, kind = len(x), z.dtype
+    got, (order, zs, at_top, at_low, ends, top, low, all_top, all_low) = class_log_probs(p, z, y.ravel())
+    weight = ask.ravel().astype(kind)
+    weight /= n
+    loss = -float(got @ weight)
+    weight = weight.take(order)
+    for d, total, at in ((top, all_top, at_top), (low, all_low, at_low)):
+        d *= weight / total
+        d.ravel()[at] -= weight
     ones = np.ones(len(zs), kind)
-    out = {"wtop": zs.T @ top, "btop": ones @ top, "wlow": np.zeros_like(p["wlow"]), "blow": np.zeros_like(p["blow"])}
-    ds = top @ p["wtop"].T
-    for s in range(len(p["wlow"])):
-        i, j = ends[s], ends[s + 1]
-        if i < j:
-            out["wlow"][s] = zs[i:j].T @ low[i:j]
-            out["blow"][s] = ones[i:j] @ low[i:j]
-            ds[i:j] += low[i:j] @ p["wlow"][s].T
-    dz = np.empty_like(z) if whole else np.zeros_like(z)
-    dz[order if whole else asked[order]] = ds
+    into["wtop"] += zs.T @ top.T
+    into["btop"] += top @ ones
+    ds = top.T @ p["wtop"].T
+    low, dl = np.ascontiguousarray(low.T), np.empty_like(ds)
+    dw, db = np.zeros_like(p["wlow"]), np.zeros_like(p["blow"])
+    for s, w in enumerate(np.ascontiguousarray(p["wlow"].transpose(0, 2, 1))):
+        if (i := ends[s]) < (j := ends[s + 1]):
+            own = low[i:j]
+            np.dot(zs[i:j].T, own, dw[s])
+            np.dot(ones[i:j], own, db[s])
+            np.dot(own, w, dl[i:j])
+    into["wlow"] += dw
+    into["blow"] += db
+    ds += dl
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dz = ds.take(back, 0)
     dr = dz @ p["w2"].T
-    dr *= r > 0
-    out |= {"w2": r.T @ dz, "w1": g.T @ dr, "b1": np.ones(len(dr), kind) @ dr}
+    dr *= (r > 0).view(np.int8)
+    into["w2"] += r.T @ dz
+    into["w1"] += g.T @ dr
+    into["b1"] += ones @ dr
     dg = dr @ p["w1"].T
     dg += dz
-    out["wo"] = o.T @ dg
+    into["wo"] += o.T @ dg
     do = dg @ p["wo"].T
-    do /= total
-    back = np.einsum("ij,ij->i", do, o).reshape(b, STRIDE, 1)  # sum of da * a over keys
+    do *= share
+    back = ((do * o) @ np.ones(DIM, kind)).reshape(b, STRIDE, 1)  # sum of da * a over keys
     do = do.reshape(b, STRIDE, DIM)
     dkv = np.empty((b, WINDOW, 2 * DIM), kind)
-    dkv[:, :, DIM:] = a.transpose(0, 2, 1) @ do
+    np.matmul(a.transpose(0, 2, 1), do, out=dkv[:, :, DIM:])
     ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
     ds -= back
     ds *= a
-    dq = (ds @ k).reshape(-1, DIM)
+    dq = (ds @ k.transpose(0, 2, 1)).reshape(-1, DIM)
     dq /= np.sqrt(DIM).astype(kind)
-    dkv[:, :, :DIM] = ds.transpose(0, 2, 1) @ q
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
     dkv = dkv.reshape(-1, 2 * DIM)
-    out |= {"wq": hq.T @ dq, "wkv": h.reshape(-1, DIM).T @ dkv}
+    into["wq"] += hq.T @ dq
+    into["wkv"] += h.reshape(-1, DIM).T @ dkv
     dh = (dkv @ p["wkv"].T).reshape(b, WINDOW, DIM)
     dg += dq @ p["wq"].T
     dh[:, WINDOW - STRIDE :] += dg.reshape(b, STRIDE, DIM)
-    out["pos"] = dh.sum(0)
-    out["emb"] = _sums(x.ravel(), dh.reshape(-1, DIM), len(p["emb"]))
-    return loss, {name: m.astype(p[name].dtype, copy=False) for name, m in out.items()}
+    into["pos"] += dh.sum(0)
+    _add_rows(into["emb"], x.ravel(), dh.reshape(-1, DIM))
+    return loss
+
+
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add rows to those of ``to`` by index. Two numbers count as one complex number: half the additions."""
+    two, half = np.result_type(to, np.complex64), rows.shape[1] // 2
+    places = np.arange(len(to) * half).reshape(-1, half).take(at, 0)
+    np.add.at(to.reshape(-1).view(two), places.ravel(), rows.reshape(-1).view(two))
+
+
+def gradients(p, x, live, y, ask) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over asked targets and its gradients."""
+    into = {name: np.zeros_like(m) for name, m in p.items()}
+    return add_gradients(p, x, live, y, ask, max(1, int(ask.sum())), into), into
 
 
 def windows(ids: np.ndarray, off: np.ndarray, slot: np.ndarray):
@@ -355,11 +378,7 @@ def _train(shared, turn: int, rounds: int):
             grad[:] = 0
             for i in range(0, len(x), MICRO):
                 own = slice(i, i + MICRO)
-                _, grads = gradients(p, x[own], live[own], y[own], ask[own])
-                share = np.float32(int(ask[own].sum()) / max(1, whole))
-                for n, g in grads.items():
-                    g *= share
-                    into[n] += g
+                add_gradients(p, x[own], live[own], y[own], ask[own], max(1, whole), into)
             rate = np.float32(RATE * min(1, step / 20) * np.sqrt(1 - 0.98**step) / (1 - 0.9**step))
             np.multiply(one, np.float32(0.9), out=one)
             np.multiply(two, np.float32(0.98), out=two)
@@ -495,7 +514,7 @@ def _score(shared):
                 z, _ = encode_windows(p, x, live)
                 lo, hi = begin[rows[0]], begin[rows[-1]] + left[rows[-1]]  # windows lie side by side
                 if hi - lo < len(z):
-                    z = z[(np.arange(STRIDE) < left[rows, None]).ravel()]
+                    z = z.take(np.flatnonzero(np.arange(STRIDE) < left[rows, None]), 0)
                 total[lo:hi] = class_log_probs(p, z, y[lo:hi])[0]
             size = np.diff(off)
             if len(ids):
