@@ -81,6 +81,6 @@ def _wide(flat: np.ndarray, owner: np.ndarray, at: np.ndarray, left: np.ndarray)
 
 @F.pandas_udf(T.LongType())
 def shingle_count(texts: pd.Series) -> pd.Series:
-    """Number of distinct grams; -1, as the size of no array, for null."""
+    """Number of distinct grams, null for null."""
     out = [np.bincount(distinct(some)[0], minlength=len(some)) for some in groups(["" if t is None else t for t in texts], AT_ONCE)]
-    return pd.Series(np.where(texts.isna(), -1, np.concatenate(out) if out else np.zeros(0, np.int64)))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64), dtype="Int64").mask(texts.isna().to_numpy())

@@ -95,3 +95,10 @@ def test_equal_vectors_are_ordered_by_id(spark):
 def test_halves_round_as_in_sql():
     half = np.array([0.5, 1.5, 2.5, -2.5, 0.3]) / 1e12
     assert (vectors._rounded(half) * 1e12).round().tolist() == [1, 2, 3, -3, 0]
+
+
+def test_shingles_are_counted(spark):
+    texts = [None, "", "abc", "aaaaaa", "añb cdé 🙂🙂"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", grams.shingle_count(F.col("t")).alias("n"), F.size(tx.shingles(F.col("t"))).alias("m")).collect():
+        assert r.n == r.m
